@@ -3,13 +3,13 @@
 Spark's exact ``percentile`` merges one value→count map per group in a
 single task, and a window with ``orderBy`` but no ``partitionBy`` moves every
 row into one partition.  Both break at cluster scale.  The helpers here
-compute exact global prefix sums in three distributed steps:
+compute exact prefix sums in three distributed steps:
 
 1. collapse the input to one row per distinct order value (partial
    aggregation first, so a value held by a third of all rows costs one row);
 2. split the distinct values into range buckets whose bounds come from
-   ``percentile_approx`` (a mergeable sketch; only the bucket bounds reach
-   the plan, as a scalar subquery), and total each bucket (``buckets`` rows);
+   ``percentile_approx`` (a mergeable sketch; only ``buckets`` bounds per
+   group are kept), and total each bucket;
 3. inside each bucket, a running sum over a window partitioned by bucket,
    plus the bucket's offset from a window over the bucket totals.
 
@@ -38,65 +38,84 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
-                buckets: int | None = None, accuracy: int = 100_000) -> DataFrame:
-    """Add ``<w>_before`` = sum of ``w`` over rows with a smaller ``order_col``.
+                by: Sequence[str] = (), buckets: int | None = None,
+                accuracy: int = 100_000) -> DataFrame:
+    """Add ``<w>_before`` = sum of ``w`` over rows of the same ``by`` group
+    with a smaller ``order_col``.
 
-    ``df`` must already have one row per distinct value of ``order_col``
-    (nulls excluded); ``weight_cols`` are non-negative counts or sums.
+    ``df`` must have one row per distinct (``by``, ``order_col``), nulls
+    excluded; ``weight_cols`` are non-negative counts or sums.
     """
+    by = list(by)
     b = buckets or default_buckets(df)
     probs = [i / b for i in range(1, b)]
-    bounds = df.agg(F.percentile_approx(order_col, probs, accuracy).alias("b")).scalar()
+    sketch = F.percentile_approx(order_col, probs, accuracy)
     v = F.col(order_col)
-    with_bucket = df.withColumn(_BUCKET, F.size(F.filter(bounds, lambda x: x <= v)))
-
-    totals = with_bucket.groupBy(_BUCKET).agg(*[F.sum(w).alias(w + "__tot") for w in weight_cols])
-    # ``totals`` has at most ``b`` rows: a global window over it is bounded.
-    w_all = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    if by:
+        bounds = df.groupBy(*by).agg(sketch.alias("__bounds"))
+        with_bucket = (df.join(bounds, by)
+                       .withColumn(_BUCKET, F.size(F.filter("__bounds", lambda x: x <= v)))
+                       .drop("__bounds"))
+    else:
+        bounds = df.agg(sketch.alias("b")).scalar()
+        with_bucket = df.withColumn(_BUCKET, F.size(F.filter(bounds, lambda x: x <= v)))
+
+    keys = by + [_BUCKET]
+    totals = with_bucket.groupBy(*keys).agg(*[F.sum(w).alias(w + "__tot") for w in weight_cols])
+    # at most ``b`` bucket rows per group: the window over them is small
+    w_all = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        _BUCKET,
+        *keys,
         *[F.coalesce(F.sum(w + "__tot").over(w_all), F.lit(0)).alias(w + "__off") for w in weight_cols],
     )
-
-    w_in = Window.partitionBy(_BUCKET).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    w_in = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     running = with_bucket.select(
         "*", *[F.coalesce(F.sum(w).over(w_in), F.lit(0)).alias(w + "__in") for w in weight_cols]
     )
-    out = running.join(F.broadcast(offsets), _BUCKET)
+    out = running.join(offsets if by else F.broadcast(offsets), keys)
     return out.select(
-        *[c for c in df.columns],
+        *df.columns,
         *[(F.col(w + "__off") + F.col(w + "__in")).alias(w + "_before") for w in weight_cols],
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
-                    buckets: int | None = None) -> DataFrame:
-    """One row with ``q_<i>`` = exact linear-interpolated quantile for ``probs[i]``.
+def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
+                      by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``value`` per ``by`` group.
 
     Same definition as SQL ``percentile_cont``: position ``h = (n-1)p`` in
-    the sorted non-null values, interpolated between ranks ``floor(h)`` and
-    ``ceil(h)``.  Nulls and NaN are ignored.
+    the sorted non-null values, ``v[floor h] + (h - floor h)(v[ceil h] - v[floor h])``.
+    Nulls and NaN are ignored.  Output: ``by`` columns, ``n``, ``q_0..q_k``.
     """
-    x = F.col(column)
-    vals = df.select(x.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    ranked = prefix_sums(counts, "v", ["c"], buckets)
-    n = counts.agg(F.sum("c")).scalar()
+    by = list(by)
+    x = F.col(value).cast("double")
+    vals = df.select(*by, x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    counts = vals.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
+    ranked = prefix_sums(counts, "v", ["c"], by=by, buckets=buckets)
+    if by:
+        with_n = ranked.join(counts.groupBy(*by).agg(F.sum("c").alias("n")), by)
+    else:  # one global count, as a scalar subquery
+        with_n = ranked.withColumn("n", counts.agg(F.sum("c")).scalar())
 
     aggs: list[Column] = []
     for i, p in enumerate(probs):
-        h = (n - 1).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        covers = lambda r: (F.col("c_before") <= r) & (r < F.col("c_before") + F.col("c"))
-        aggs.append(F.min(F.when(covers(lo), F.col("v"))).alias(f"lo_{i}"))
-        aggs.append(F.min(F.when(covers(hi), F.col("v"))).alias(f"hi_{i}"))
-    picked = ranked.agg(*aggs)
+        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
+        for tag, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            covers = (F.col("c_before") <= r) & (r < F.col("c_before") + F.col("c"))
+            aggs.append(F.min(F.when(covers, F.col("v"))).alias(f"{tag}_{i}"))
+    picked = with_n.groupBy(*by, "n").agg(*aggs)
     out = []
     for i, p in enumerate(probs):
-        h = (n - 1).cast("double") * F.lit(float(p))
+        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
         lo_v, hi_v = F.col(f"lo_{i}"), F.col(f"hi_{i}")
         out.append((lo_v + (h - F.floor(h)) * (hi_v - lo_v)).alias(f"q_{i}"))
-    return picked.select(*out)
+    return picked.select(*by, "n", *out)
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
+                    buckets: int | None = None) -> DataFrame:
+    """One row: ``n`` and ``q_<i>`` for ``probs[i]`` over the whole column."""
+    return grouped_quantiles(df, column, probs, (), buckets)
 
 
 def rank_sum_auc(df: DataFrame, label: str, score: str,
@@ -111,7 +130,7 @@ def rank_sum_auc(df: DataFrame, label: str, score: str,
                  .groupBy(F.col(score).cast("double").alias("s"))
                  .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
                       F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg")))
-    ranked = prefix_sums(per_score, "s", ["neg"], buckets)
+    ranked = prefix_sums(per_score, "s", ["neg"], buckets=buckets)
     return ranked.agg(
         (F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") * 0.5))
          / F.nullif(F.sum("pos").cast("double") * F.sum("neg").cast("double"), F.lit(0.0))

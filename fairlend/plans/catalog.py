@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fairlend.operators import gaps
+from fairlend.operators import clean, describe, gaps, profile
+from fairlend.operators import features as feats
 from fairlend.plans import fixture as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +33,243 @@ def register(name: str):
 def county_gap_top25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25 counties with the largest approval gap (flagship)."""
     return gaps.top_gaps(gaps.county_gaps(fx.applications(spark, sf_dir)))
+
+
+@register("county_stats")
+def county_stats(spark, sf_dir):
+    """Per-county counts and per-group approval rates, no threshold."""
+    df = feats.add_comparison_group(feats.add_race_group(clean.prep_gap(fx.applications(spark, sf_dir))))
+    return gaps.group_gap(df)
+
+
+@register("county_min_sample")
+def county_min_sample(spark, sf_dir):
+    """Counties with at least 50 rows on each side."""
+    return gaps.min_sample(county_stats(spark, sf_dir))
+
+
+@register("county_gap")
+def county_gap(spark, sf_dir):
+    """Gap for every county, threshold off (one-sided counties get null)."""
+    return gaps.county_gaps(fx.applications(spark, sf_dir), min_n=0)
+
+
+@register("county_fips")
+def county_fips(spark, sf_dir):
+    """Padded FIPS and display label for each county of the gap table."""
+    g = gaps.county_gaps(fx.applications(spark, sf_dir), min_n=0)
+    return gaps.add_fips(g).select("state_code", "county_code", "county_fips", "county_label")
+
+
+def _mapped(spark, sf_dir):
+    return gaps.county_map(fx.county_dimension(spark, sf_dir),
+                           gaps.county_gaps(fx.applications(spark, sf_dir)))
+
+
+@register("county_left_join")
+def county_left_join(spark, sf_dir):
+    """County dimension ⟕ thresholded gaps, with the has_gap flag."""
+    return _mapped(spark, sf_dir)
+
+
+@register("gap_range")
+def gap_range(spark, sf_dir):
+    """Min and max gap over counties with an estimate."""
+    return gaps.gap_range(_mapped(spark, sf_dir))
+
+
+@register("state_gap_map")
+def state_gap_map(spark, sf_dir):
+    """Per-state map rows with the shared colour range."""
+    return gaps.state_gap_map(_mapped(spark, sf_dir))
+
+
+@register("ranked_gap_table")
+def ranked_gap_table(spark, sf_dir):
+    """Ranked top-25 report table."""
+    return gaps.ranked_gap_table(_mapped(spark, sf_dir))
+
+
+# --- cleaning (O14, O19–O31) --------------------------------------------------
+
+@register("clean_applications")
+def clean_applications_q(spark, sf_dir):
+    """The full cleaning chain over the raw rows."""
+    return fx.applications(spark, sf_dir)
+
+
+@register("clean_audit")
+def clean_audit(spark, sf_dir):
+    """Rows left after each cleaning rule, one aggregation pass."""
+    return clean.audit_cleaning(fx.raw_applications(spark, sf_dir))
+
+
+@register("drop_null_keys")
+def drop_null_keys(spark, sf_dir):
+    """Raw rows with county, race and income present."""
+    df = clean.drop_null_keys(fx.raw_applications(spark, sf_dir))
+    return df.select("l_orderkey", "l_linenumber", "state_code", "county_code",
+                     "applicant_race_1", "action_taken")
+
+
+@register("coerce_numeric")
+def coerce_numeric(spark, sf_dir):
+    """Text measures → double, junk → null, over all raw rows."""
+    df = clean.coerce_numeric(fx.raw_applications(spark, sf_dir))
+    return df.select("l_orderkey", "l_linenumber", "loan_amount", "income", "interest_rate")
+
+
+@register("nonneg_or_null")
+def nonneg_or_null(spark, sf_dir):
+    """Rows whose coerced measures are non-negative or missing."""
+    df = clean.keep_nonneg_or_null(clean.coerce_numeric(fx.raw_applications(spark, sf_dir)))
+    return df.select("l_orderkey", "l_linenumber", "loan_amount", "income", "interest_rate")
+
+
+@register("union_years")
+def union_years(spark, sf_dir):
+    """Early years lack the rate column; union by name fills it with null."""
+    raw = fx.raw_applications(spark, sf_dir)
+    early = raw.where(F.col("activity_year") <= 1997).drop("interest_rate")
+    late = raw.where(F.col("activity_year") > 1997)
+    u = clean.union_years([early, late])
+    return u.groupBy("activity_year").agg(F.count(F.lit(1)).alias("n"),
+                                          F.count("interest_rate").alias("n_rate"))
+
+
+@register("derive_approved")
+def derive_approved(spark, sf_dir):
+    """State restriction, decided actions and the approval label."""
+    df = clean.derive_approved(clean.restrict_states(fx.raw_applications(spark, sf_dir)))
+    return df.groupBy("state_code", "action_taken", "approved").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("fill_defaults")
+def fill_defaults(spark, sf_dir):
+    """Null income / amount → 0.0, null loan type → -1."""
+    df = clean.fill_defaults(fx.applications(spark, sf_dir))
+    return df.select("l_orderkey", "l_linenumber", "income", "loan_amount", "loan_type")
+
+
+_PREP_COLS = ["l_orderkey", "l_linenumber", "activity_year", "county_code", "approved",
+              "income", "loan_amount", "loan_type", "interest_rate", "loan_to_income", "race_group"]
+
+
+@register("prep_approval")
+def prep_approval(spark, sf_dir):
+    """The approval-model rows with their features."""
+    return feats.model_features(clean.prep_approval(fx.applications(spark, sf_dir))).select(*_PREP_COLS)
+
+
+@register("prep_rate")
+def prep_rate(spark, sf_dir):
+    """The rate-model rows with their features."""
+    return feats.model_features(clean.prep_rate(fx.applications(spark, sf_dir))).select(*_PREP_COLS)
+
+
+@register("sample_by_key")
+def sample_by_key(spark, sf_dir):
+    """10 % key-hash sample of the cleaned rows (partitioning-independent)."""
+    return clean.sample_by_key(fx.applications(spark, sf_dir), 0.1, ["l_orderkey", "l_linenumber"])
+
+
+@register("sample_bernoulli")
+def sample_bernoulli(spark, sf_dir):
+    """10 % seeded Bernoulli sample, as in the study (rows-only check)."""
+    return clean.sample_bernoulli(fx.applications(spark, sf_dir), 0.1)
+
+
+# --- features (O32–O34) ----------------------------------------------------------
+
+@register("loan_to_income")
+def loan_to_income(spark, sf_dir):
+    """Both variants of the guarded ratio."""
+    apps = fx.applications(spark, sf_dir)
+    df = feats.add_loan_to_income(feats.add_loan_to_income(apps, 0.0, "lti_zero"), None, "lti_null")
+    return df.select("l_orderkey", "l_linenumber", "income", "loan_amount", "lti_zero", "lti_null")
+
+
+@register("race_group_5")
+def race_group_5(spark, sf_dir):
+    """Five-label grouping, counted per source code."""
+    df = feats.add_race_group(fx.applications(spark, sf_dir), "five")
+    return df.groupBy("applicant_race_1", "race_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("race_group_7")
+def race_group_7(spark, sf_dir):
+    """Seven-label report grouping, counted per source code."""
+    df = feats.add_race_group(fx.applications(spark, sf_dir), "seven")
+    return df.groupBy("applicant_race_1", "race_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("comparison_group")
+def comparison_group(spark, sf_dir):
+    """Comparison groups with unassigned rows dropped."""
+    df = feats.add_comparison_group(feats.add_race_group(fx.applications(spark, sf_dir)))
+    return df.groupBy("race_group", "comparison_group").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- profiling (O15–O18) -------------------------------------------------------------
+
+@register("null_counts")
+def null_counts(spark, sf_dir):
+    """Nulls per column of the raw rows."""
+    return profile.null_counts(fx.raw_applications(spark, sf_dir))
+
+
+@register("distinct_values")
+def distinct_values(spark, sf_dir):
+    """Distinct action codes of the raw rows."""
+    return profile.distinct_values(fx.raw_applications(spark, sf_dir), "action_taken")
+
+
+@register("value_counts")
+def value_counts(spark, sf_dir):
+    """Race code frequencies of the raw rows (nulls dropped)."""
+    return profile.value_counts(fx.raw_applications(spark, sf_dir), "applicant_race_1")
+
+
+@register("describe_column")
+def describe_column(spark, sf_dir):
+    """Describe the coerced interest rate."""
+    return profile.describe_column(fx.applications(spark, sf_dir), "interest_rate")
+
+
+# --- descriptive tables (O36–O41) ------------------------------------------------------
+
+@register("approval_by_race")
+def approval_by_race(spark, sf_dir):
+    return describe.approval_by_race(fx.applications(spark, sf_dir))
+
+
+@register("approval_over_time")
+def approval_over_time(spark, sf_dir):
+    return describe.approval_over_time(fx.applications(spark, sf_dir))
+
+
+@register("loan_type_approval")
+def loan_type_approval(spark, sf_dir):
+    return describe.loan_type_approval(fx.applications(spark, sf_dir))
+
+
+@register("interest_by_race")
+def interest_by_race(spark, sf_dir):
+    return describe.interest_by_race(fx.applications(spark, sf_dir))
+
+
+@register("summary_statistics")
+def summary_statistics(spark, sf_dir):
+    return describe.summary_statistics(fx.applications(spark, sf_dir))
+
+
+@register("income_histogram")
+def income_histogram(spark, sf_dir):
+    """Income in bins of 50 (thousands)."""
+    return describe.histogram(fx.applications(spark, sf_dir), "income", 50.0)
+
+
+@register("loan_amount_histogram")
+def loan_amount_histogram(spark, sf_dir):
+    """Loan amount in bins of 10,000."""
+    return describe.histogram(fx.applications(spark, sf_dir), "loan_amount", 10000.0)

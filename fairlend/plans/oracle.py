@@ -100,3 +100,227 @@ SELECT state_code, county_code, total_applications, advantaged_n, disadvantaged_
 FROM county_gaps
 ORDER BY approval_disparity_gap DESC NULLS LAST, state_code, county_code
 LIMIT 25"""
+
+GAP_STATS_BASE = with_ctes(RAW, APPS, GAP_ROWS, COUNTY_STATS)
+
+ORACLE["county_stats"] = GAP_STATS_BASE + "SELECT * FROM county_stats"
+
+ORACLE["county_min_sample"] = GAP_STATS_BASE + """
+SELECT * FROM county_stats WHERE advantaged_n >= 50 AND disadvantaged_n >= 50"""
+
+ORACLE["county_gap"] = GAP_STATS_BASE + """
+SELECT *, advantaged_approval_rate - disadvantaged_approval_rate AS approval_disparity_gap
+FROM county_stats"""
+
+ORACLE["county_fips"] = GAP_STATS_BASE + """
+SELECT state_code, county_code,
+       lpad(CAST(CAST(trunc(county_code) AS INTEGER) AS VARCHAR), 5, '0') AS county_fips,
+       CAST(CAST(trunc(county_code) AS INTEGER) AS VARCHAR) AS county_label
+FROM county_stats"""
+
+MAPPED = """mapped AS (
+  SELECT c.county_fips, c.statefp, c.name, g.state_code, g.total_applications, g.advantaged_n,
+         g.disadvantaged_n, g.advantaged_approval_rate, g.disadvantaged_approval_rate,
+         g.approval_disparity_gap, g.approval_disparity_gap IS NOT NULL AS has_gap
+  FROM counties c LEFT JOIN (
+    SELECT *, lpad(CAST(CAST(trunc(county_code) AS INTEGER) AS VARCHAR), 5, '0') AS county_fips
+    FROM county_gaps) g ON c.county_fips = g.county_fips)"""
+
+MAP_BASE = with_ctes(RAW, APPS, GAP_ROWS, COUNTY_STATS, COUNTY_GAPS, COUNTIES, MAPPED)
+
+ORACLE["county_left_join"] = MAP_BASE + "SELECT * FROM mapped"
+
+ORACLE["gap_range"] = MAP_BASE + """
+SELECT min(approval_disparity_gap) AS gap_min, max(approval_disparity_gap) AS gap_max
+FROM mapped WHERE has_gap"""
+
+ORACLE["state_gap_map"] = MAP_BASE + """
+SELECT CASE WHEN statefp = '06' THEN 'CA' WHEN statefp = '48' THEN 'TX' END AS map_state,
+       county_fips, name, approval_disparity_gap, has_gap AS estimated,
+       (SELECT min(approval_disparity_gap) FROM mapped WHERE has_gap) AS gap_min,
+       (SELECT max(approval_disparity_gap) FROM mapped WHERE has_gap) AS gap_max
+FROM mapped WHERE statefp IN ('06', '48')"""
+
+ORACLE["ranked_gap_table"] = MAP_BASE + """
+SELECT CAST(row_number() OVER (ORDER BY approval_disparity_gap DESC, county_fips) AS INTEGER) AS rank,
+       name AS county, state_code AS state, county_fips AS fips,
+       round(approval_disparity_gap, 4) AS approval_gap
+FROM mapped WHERE has_gap
+ORDER BY approval_disparity_gap DESC, county_fips LIMIT 25"""
+
+# --- cleaning ---------------------------------------------------------------
+
+ORACLE["clean_applications"] = BASE + "SELECT * FROM applications"
+
+ORACLE["clean_audit"] = with_ctes(RAW) + """,
+flags AS (
+  SELECT county_code IS NOT NULL AND applicant_race_1 IS NOT NULL AND income IS NOT NULL AS k,
+         state_code IN ('CA', 'TX') AS s, action_taken IN (1, 2, 3) AS a,
+         coalesce(TRY_CAST(income AS DOUBLE) >= 0, TRUE) AS i,
+         coalesce(TRY_CAST(interest_rate AS DOUBLE) >= 0, TRUE) AS r,
+         coalesce(TRY_CAST(loan_amount AS DOUBLE) >= 0, TRUE) AS l
+  FROM raw_applications)
+SELECT * FROM (
+  SELECT 0 AS step_no, 'raw' AS step, count(*) AS rows FROM flags
+  UNION ALL SELECT 1, 'null_keys_dropped', count(*) FILTER (WHERE k) FROM flags
+  UNION ALL SELECT 2, 'state_restricted', count(*) FILTER (WHERE k AND s) FROM flags
+  UNION ALL SELECT 3, 'decision_restricted', count(*) FILTER (WHERE k AND s AND a) FROM flags
+  UNION ALL SELECT 4, 'income_nonneg', count(*) FILTER (WHERE k AND s AND a AND i) FROM flags
+  UNION ALL SELECT 5, 'interest_rate_nonneg', count(*) FILTER (WHERE k AND s AND a AND i AND r) FROM flags
+  UNION ALL SELECT 6, 'loan_amount_nonneg', count(*) FILTER (WHERE k AND s AND a AND i AND r AND l) FROM flags)"""
+
+ORACLE["drop_null_keys"] = with_ctes(RAW) + """
+SELECT l_orderkey, l_linenumber, state_code, county_code, applicant_race_1, action_taken
+FROM raw_applications
+WHERE county_code IS NOT NULL AND applicant_race_1 IS NOT NULL AND income IS NOT NULL"""
+
+ORACLE["coerce_numeric"] = with_ctes(RAW) + """
+SELECT l_orderkey, l_linenumber, TRY_CAST(loan_amount AS DOUBLE) AS loan_amount,
+       TRY_CAST(income AS DOUBLE) AS income, TRY_CAST(interest_rate AS DOUBLE) AS interest_rate
+FROM raw_applications"""
+
+ORACLE["nonneg_or_null"] = with_ctes(RAW) + """
+SELECT * FROM (
+  SELECT l_orderkey, l_linenumber, TRY_CAST(loan_amount AS DOUBLE) AS loan_amount,
+         TRY_CAST(income AS DOUBLE) AS income, TRY_CAST(interest_rate AS DOUBLE) AS interest_rate
+  FROM raw_applications) t
+WHERE (income >= 0 OR income IS NULL) AND (interest_rate >= 0 OR interest_rate IS NULL)
+  AND (loan_amount >= 0 OR loan_amount IS NULL)"""
+
+ORACLE["union_years"] = with_ctes(RAW) + """
+SELECT activity_year, count(*) AS n, count(interest_rate) AS n_rate FROM (
+  SELECT activity_year, NULL AS interest_rate FROM raw_applications WHERE activity_year <= 1997
+  UNION ALL
+  SELECT activity_year, interest_rate FROM raw_applications WHERE activity_year > 1997) u
+GROUP BY activity_year"""
+
+ORACLE["derive_approved"] = with_ctes(RAW) + """
+SELECT state_code, action_taken,
+       CAST(CASE WHEN action_taken IN (1, 2) THEN 1 WHEN action_taken = 3 THEN 0 END AS INT) AS approved,
+       count(*) AS n
+FROM raw_applications
+WHERE state_code IN ('CA', 'TX') AND action_taken IN (1, 2, 3)
+GROUP BY ALL"""
+
+ORACLE["fill_defaults"] = BASE + """
+SELECT l_orderkey, l_linenumber, coalesce(income, 0.0::DOUBLE) AS income,
+       coalesce(loan_amount, 0.0::DOUBLE) AS loan_amount, coalesce(loan_type, -1) AS loan_type
+FROM applications"""
+
+PREP_SELECT = f"""
+SELECT l_orderkey, l_linenumber, activity_year, county_code, approved, income, loan_amount,
+       loan_type, interest_rate,
+       CASE WHEN income > 0 AND loan_amount > 0 THEN loan_amount / income ELSE 0.0::DOUBLE END AS loan_to_income,
+       {RACE5} AS race_group
+FROM (SELECT l_orderkey, l_linenumber, activity_year, county_code, approved, interest_rate,
+             applicant_race_1, coalesce(income, 0.0::DOUBLE) AS income,
+             coalesce(loan_amount, 0.0::DOUBLE) AS loan_amount, coalesce(loan_type, -1) AS loan_type
+      FROM applications WHERE {{where}}) f"""
+
+ORACLE["prep_approval"] = BASE + PREP_SELECT.format(
+    where="approved IN (0, 1) AND activity_year IS NOT NULL AND county_code IS NOT NULL") + """
+WHERE income >= 0 AND loan_amount >= 0"""
+
+ORACLE["prep_rate"] = BASE + PREP_SELECT.format(
+    where="approved = 1 AND interest_rate IS NOT NULL AND interest_rate > 0 AND interest_rate < 25 "
+          "AND county_code IS NOT NULL")
+
+ORACLE["sample_by_key"] = BASE + """
+SELECT * FROM applications
+WHERE CAST(CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)), 1, 8)
+                AS BIGINT) AS DOUBLE) / 4294967296.0 < 0.1"""
+
+# --- features -----------------------------------------------------------------
+
+ORACLE["loan_to_income"] = BASE + """
+SELECT l_orderkey, l_linenumber, income, loan_amount,
+       CASE WHEN income > 0 AND loan_amount > 0 THEN loan_amount / income ELSE 0.0::DOUBLE END AS lti_zero,
+       CASE WHEN income > 0 AND loan_amount > 0 THEN loan_amount / income END AS lti_null
+FROM applications"""
+
+ORACLE["race_group_5"] = BASE + f"""
+SELECT applicant_race_1, {RACE5} AS race_group, count(*) AS n FROM applications GROUP BY ALL"""
+
+ORACLE["race_group_7"] = BASE + f"""
+SELECT applicant_race_1, {RACE7} AS race_group, count(*) AS n FROM applications GROUP BY ALL"""
+
+ORACLE["comparison_group"] = with_ctes(RAW, APPS) + f""",
+g AS (SELECT {RACE5} AS race_group FROM applications)
+SELECT race_group,
+       CASE WHEN race_group IN ('White', 'Asian') THEN 'Advantaged' ELSE 'Disadvantaged' END AS comparison_group,
+       count(*) AS n
+FROM g WHERE race_group IN ('White', 'Asian', 'Black', 'Native American') GROUP BY ALL"""
+
+# --- profiling ------------------------------------------------------------------
+
+_RAW_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "activity_year", "state_code",
+             "county_code", "action_taken", "applicant_race_1", "loan_type", "loan_amount",
+             "income", "interest_rate"]
+
+ORACLE["null_counts"] = with_ctes(RAW) + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM raw_applications"
+    for c in _RAW_COLS)
+
+ORACLE["distinct_values"] = with_ctes(RAW) + "SELECT DISTINCT action_taken FROM raw_applications"
+
+ORACLE["value_counts"] = with_ctes(RAW) + """
+SELECT applicant_race_1, count(*) AS n FROM raw_applications
+WHERE applicant_race_1 IS NOT NULL GROUP BY applicant_race_1 ORDER BY n DESC, applicant_race_1"""
+
+
+def _describe_sql(measures: list[str], source: str, std_label: str, with_measure: bool) -> str:
+    parts = []
+    for m in measures:
+        lead = f"'{m}' AS measure, " if with_measure else ""
+        stats = [("count", f"CAST(count({m}) AS DOUBLE)"), ("mean", f"avg({m})"),
+                 (std_label, f"stddev_samp({m})"), ("min", f"min({m})"),
+                 ("25%", f"quantile_cont({m}, 0.25)"), ("50%", f"quantile_cont({m}, 0.5)"),
+                 ("75%", f"quantile_cont({m}, 0.75)"), ("max", f"max({m})")]
+        for label, expr in stats:
+            parts.append(f"SELECT {lead}'{label}' AS statistic, round({expr}, 6) AS value FROM {source}")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["describe_column"] = BASE + _describe_sql(["interest_rate"], "applications", "std", False)
+
+# --- descriptive tables -------------------------------------------------------------
+
+ORACLE["approval_by_race"] = BASE + f"""
+SELECT {RACE7} AS race_group, avg(approved) AS approval_rate, count(*) AS applications
+FROM applications GROUP BY ALL ORDER BY approval_rate DESC, race_group"""
+
+ORACLE["approval_over_time"] = BASE + """
+SELECT activity_year, avg(approved) AS approval_rate FROM applications
+GROUP BY activity_year ORDER BY activity_year"""
+
+ORACLE["loan_type_approval"] = BASE + """
+SELECT loan_type, avg(approved) AS approval_rate, count(*) AS applications,
+       CASE loan_type WHEN 1 THEN 'Conventional' WHEN 2 THEN 'FHA' WHEN 3 THEN 'VA'
+                      WHEN 4 THEN 'RHS/FSA' END AS loan_label
+FROM applications GROUP BY loan_type ORDER BY loan_type NULLS LAST"""
+
+ORACLE["interest_by_race"] = BASE + f"""
+SELECT race_group, round(avg(interest_rate), 6) AS avg_interest_rate, count(*) AS loans
+FROM (SELECT {RACE7} AS race_group, interest_rate FROM applications WHERE interest_rate IS NOT NULL) t
+WHERE race_group <> 'Unknown / Other'
+GROUP BY race_group ORDER BY avg_interest_rate DESC, race_group"""
+
+ORACLE["summary_statistics"] = BASE.rstrip("\n") + """,
+m AS (SELECT loan_amount, income, interest_rate,
+             CASE WHEN income > 0 AND loan_amount > 0 THEN loan_amount / income END AS loan_to_income
+      FROM applications)
+""" + _describe_sql(["loan_amount", "income", "interest_rate", "loan_to_income"], "m", "stddev", True)
+
+
+def _hist_sql(col: str, width: float) -> str:
+    return BASE + f"""
+SELECT CAST(floor({col} / {width}) AS BIGINT) AS bin,
+       CAST(floor({col} / {width}) AS BIGINT) * CAST({width} AS DOUBLE) AS bin_start,
+       (CAST(floor({col} / {width}) AS BIGINT) + 1) * CAST({width} AS DOUBLE) AS bin_end,
+       count(*) AS n
+FROM applications WHERE {col} IS NOT NULL AND NOT isnan({col})
+GROUP BY 1 ORDER BY 1"""
+
+
+ORACLE["income_histogram"] = _hist_sql("income", 50.0)
+ORACLE["loan_amount_histogram"] = _hist_sql("loan_amount", 10000.0)
