@@ -39,7 +39,7 @@ def default_buckets(df: DataFrame) -> int:
 
 def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
                 by: Sequence[str] = (), buckets: int | None = None,
-                accuracy: int = 100_000) -> DataFrame:
+                accuracy: int = 100_000, _broadcast_bounds: bool = False) -> DataFrame:
     """Add ``<w>_before`` = sum of ``w`` over rows of the same ``by`` group
     with a smaller ``order_col``.
 
@@ -47,18 +47,18 @@ def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
     excluded; ``weight_cols`` are non-negative counts or sums.
     """
     by = list(by)
+    if not by:  # one global group: a constant key, and a one-row bounds table
+        out = prefix_sums(df.withColumn("__all", F.lit(0)), order_col, weight_cols,
+                          ["__all"], buckets, accuracy, _broadcast_bounds=True)
+        return out.drop("__all")
     b = buckets or default_buckets(df)
     probs = [i / b for i in range(1, b)]
     sketch = F.percentile_approx(order_col, probs, accuracy)
     v = F.col(order_col)
-    if by:
-        bounds = df.groupBy(*by).agg(sketch.alias("__bounds"))
-        with_bucket = (df.join(bounds, by)
-                       .withColumn(_BUCKET, F.size(F.filter("__bounds", lambda x: x <= v)))
-                       .drop("__bounds"))
-    else:
-        bounds = df.agg(sketch.alias("b")).scalar()
-        with_bucket = df.withColumn(_BUCKET, F.size(F.filter(bounds, lambda x: x <= v)))
+    bounds = df.groupBy(*by).agg(sketch.alias("__bounds"))
+    with_bucket = (df.join(F.broadcast(bounds) if _broadcast_bounds else bounds, by)
+                   .withColumn(_BUCKET, F.size(F.filter("__bounds", lambda x: x <= v)))
+                   .drop("__bounds"))
 
     keys = by + [_BUCKET]
     totals = with_bucket.groupBy(*keys).agg(*[F.sum(w).alias(w + "__tot") for w in weight_cols])
@@ -72,7 +72,7 @@ def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
     running = with_bucket.select(
         "*", *[F.coalesce(F.sum(w).over(w_in), F.lit(0)).alias(w + "__in") for w in weight_cols]
     )
-    out = running.join(offsets if by else F.broadcast(offsets), keys)
+    out = running.join(F.broadcast(offsets) if _broadcast_bounds else offsets, keys)
     return out.select(
         *df.columns,
         *[(F.col(w + "__off") + F.col(w + "__in")).alias(w + "_before") for w in weight_cols],

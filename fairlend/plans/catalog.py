@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlend.operators import clean, describe, gaps, profile
+from fairlend.operators import clean, describe, gaps, metrics, models, profile
 from fairlend.operators import features as feats
 from fairlend.plans import fixture as fx
 
@@ -273,3 +273,116 @@ def income_histogram(spark, sf_dir):
 def loan_amount_histogram(spark, sf_dir):
     """Loan amount in bins of 10,000."""
     return describe.histogram(fx.applications(spark, sf_dir), "loan_amount", 10000.0)
+
+
+# --- adjusted models (O50–O61) -----------------------------------------------------------
+
+def _approval_rows(spark, sf_dir):
+    return feats.model_features(clean.prep_approval(fx.applications(spark, sf_dir)))
+
+
+def _rate_rows(spark, sf_dir):
+    return feats.model_features(clean.prep_rate(fx.applications(spark, sf_dir)))
+
+
+def _fit(rows, fitter):
+    with feats.persisted(rows) as cached:
+        return fitter(cached)
+
+
+@register("category_index")
+def category_index(spark, sf_dir):
+    """Level → index of the four categorical columns (frequency order)."""
+    return models.category_index(_approval_rows(spark, sf_dir))
+
+
+@register("one_hot_slot_counts")
+def one_hot_slot_counts(spark, sf_dir):
+    """Rows per one-hot slot of the assembled vector."""
+    return _fit(_approval_rows(spark, sf_dir), models.one_hot_slot_counts)
+
+
+@register("feature_names")
+def feature_names(spark, sf_dir):
+    """Slot names of the assembled vector, in slot order."""
+    return _fit(_approval_rows(spark, sf_dir), models.feature_names)
+
+
+@register("approval_model")
+def approval_model(spark, sf_dir):
+    """Logistic fit; one row with width, intercept, accuracy, AUC."""
+    rows = _approval_rows(spark, sf_dir)
+    with feats.persisted(rows) as cached:
+        fitted = models.fit_approval_model(cached)
+        return metrics.model_summary_row(fitted, "logistic")
+
+
+@register("approval_coefficients")
+def approval_coefficients(spark, sf_dir):
+    """Named coefficients with odds ratios, intercept last."""
+    return _fit(_approval_rows(spark, sf_dir), models.fit_approval_model).coefficients
+
+
+@register("approval_predictions")
+def approval_predictions(spark, sf_dir):
+    """In-sample scores with class probability."""
+    return models.approval_predictions(_fit(_approval_rows(spark, sf_dir), models.fit_approval_model))
+
+
+@register("logit_group_rates")
+def logit_group_rates(spark, sf_dir):
+    """O53 identity: saturated logistic fit reproduces each group's approval rate."""
+    rates = _fit(_approval_rows(spark, sf_dir), models.group_rate_logit)
+    return rates.select("race_group", F.round("fitted_rate", 5).alias("fitted_rate"))
+
+
+@register("rate_model")
+def rate_model(spark, sf_dir):
+    """Linear fit; one row with width, intercept, R², RMSE."""
+    rows = _rate_rows(spark, sf_dir)
+    with feats.persisted(rows) as cached:
+        fitted = models.fit_rate_model(cached)
+        return metrics.model_summary_row(fitted, "linear")
+
+
+@register("rate_coefficients")
+def rate_coefficients(spark, sf_dir):
+    """Named rate-model coefficients, intercept last."""
+    return _fit(_rate_rows(spark, sf_dir), models.fit_rate_model).coefficients
+
+
+@register("rate_predictions")
+def rate_predictions(spark, sf_dir):
+    """In-sample rate predictions."""
+    return models.rate_predictions(_fit(_rate_rows(spark, sf_dir), models.fit_rate_model))
+
+
+def _sig6(c):
+    """Round to 6 significant digits via scientific formatting (engine-neutral)."""
+    return F.format_string("%.5e", c).cast("double")
+
+
+@register("ridge_one_feature")
+def ridge_one_feature(spark, sf_dir):
+    """O54 identity: one-feature L2 fit of rate on income equals the closed form."""
+    fit = _fit(_rate_rows(spark, sf_dir), lambda d: models.ridge_one_feature(d, "income", "interest_rate"))
+    return fit.select(_sig6("intercept").alias("intercept"), _sig6("slope").alias("slope"))
+
+
+@register("binary_metrics")
+def binary_metrics(spark, sf_dir):
+    """Accuracy and rank-sum AUC of a score/prediction against approval."""
+    apps = fx.applications(spark, sf_dir).withColumn(
+        "predicted", (F.coalesce(F.col("income"), F.lit(0.0)) > 50).cast("int"))
+    m = metrics.binary_metrics(apps, "approved", "income", "predicted")
+    return m.select(F.round("accuracy", 9).alias("accuracy"), F.round("auc", 9).alias("auc"))
+
+
+@register("regression_metrics")
+def regression_metrics(spark, sf_dir):
+    """R² and RMSE of the county-mean rate as a predictor of the rate."""
+    rows = _rate_rows(spark, sf_dir)
+    county_mean = rows.groupBy("county_code").agg(F.avg("interest_rate").alias("county_rate"))
+    scored = rows.join(county_mean, "county_code")
+    m = metrics.regression_metrics(scored, "interest_rate", "county_rate")
+    return m.select("n", F.round("r2", 9).alias("r2"), F.round("rmse", 9).alias("rmse"))

@@ -324,3 +324,77 @@ GROUP BY 1 ORDER BY 1"""
 
 ORACLE["income_histogram"] = _hist_sql("income", 50.0)
 ORACLE["loan_amount_histogram"] = _hist_sql("loan_amount", 10000.0)
+
+# --- models -------------------------------------------------------------------------
+
+APPROVAL_ROWS = f"""approval_rows AS (
+  SELECT *, {RACE5} AS race_group,
+         CASE WHEN income > 0 AND loan_amount > 0 THEN loan_amount / income ELSE 0.0::DOUBLE END AS loan_to_income
+  FROM (SELECT activity_year, county_code, approved, applicant_race_1, interest_rate,
+               coalesce(income, 0.0::DOUBLE) AS income, coalesce(loan_amount, 0.0::DOUBLE) AS loan_amount,
+               coalesce(loan_type, -1) AS loan_type
+        FROM applications
+        WHERE approved IN (0, 1) AND activity_year IS NOT NULL AND county_code IS NOT NULL) f
+  WHERE income >= 0 AND loan_amount >= 0)"""
+
+LEVELS = """levels AS (
+  SELECT column_name, ord, label, n,
+         CAST(row_number() OVER (PARTITION BY column_name ORDER BY n DESC, label) - 1 AS INTEGER) AS idx
+  FROM (SELECT 'race_group' AS column_name, 0 AS ord, race_group AS label, count(*) AS n
+          FROM approval_rows GROUP BY race_group
+        UNION ALL SELECT 'loan_type', 1, CAST(loan_type AS VARCHAR), count(*) FROM approval_rows GROUP BY loan_type
+        UNION ALL SELECT 'county_code', 2, CAST(county_code AS VARCHAR), count(*) FROM approval_rows GROUP BY county_code
+        UNION ALL SELECT 'activity_year', 3, CAST(activity_year AS VARCHAR), count(*) FROM approval_rows
+          GROUP BY activity_year) c)"""
+
+SLOTS = """slots AS (
+  SELECT l.column_name, l.label, l.n, l.idx,
+         CAST(3 + coalesce((SELECT count(*) FROM levels p WHERE p.ord < l.ord), 0) + l.idx AS INTEGER) AS slot,
+         l.column_name || '_vec_' || l.label AS feature
+  FROM levels l)"""
+
+MODEL_BASE = with_ctes(RAW, APPS, APPROVAL_ROWS, LEVELS, SLOTS)
+
+ORACLE["category_index"] = MODEL_BASE + "SELECT column_name, label, idx FROM levels"
+
+ORACLE["one_hot_slot_counts"] = MODEL_BASE + "SELECT slot, feature, n AS rows FROM slots"
+
+ORACLE["feature_names"] = MODEL_BASE + """
+SELECT 0 AS slot, 'income' AS feature UNION ALL SELECT 1, 'loan_amount'
+UNION ALL SELECT 2, 'loan_to_income' UNION ALL SELECT slot, feature FROM slots"""
+
+ORACLE["logit_group_rates"] = with_ctes(RAW, APPS, APPROVAL_ROWS) + """
+SELECT race_group, round(avg(approved), 5) AS fitted_rate FROM approval_rows GROUP BY race_group"""
+
+RATE_ROWS = """rate_rows AS (
+  SELECT coalesce(income, 0.0::DOUBLE) AS income, interest_rate, county_code
+  FROM applications
+  WHERE approved = 1 AND interest_rate IS NOT NULL AND interest_rate > 0 AND interest_rate < 25
+    AND county_code IS NOT NULL)"""
+
+ORACLE["ridge_one_feature"] = with_ctes(RAW, APPS, RATE_ROWS) + """,
+m AS (SELECT avg(income) AS mx, avg(interest_rate) AS my,
+             covar_pop(income, interest_rate) / var_pop(income) / (1 + 0.01 / stddev_pop(interest_rate)) AS slope
+      FROM rate_rows)
+SELECT CAST(printf('%.5e', my - slope * mx) AS DOUBLE) AS intercept,
+       CAST(printf('%.5e', slope) AS DOUBLE) AS slope
+FROM m"""
+
+ORACLE["binary_metrics"] = BASE + """,
+s AS (SELECT income AS score, approved AS label,
+             CAST(coalesce(income, 0.0) > 50 AS INTEGER) AS predicted FROM applications),
+per AS (SELECT score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
+               sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS neg
+        FROM s WHERE score IS NOT NULL GROUP BY score),
+cum AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                  AS neg_before FROM per)
+SELECT round((SELECT avg(CASE WHEN label = predicted THEN 1.0 ELSE 0.0 END) FROM s), 9) AS accuracy,
+       round(sum(pos * (neg_before + 0.5 * neg)) / (sum(pos) * sum(neg)), 9) AS auc
+FROM cum"""
+
+ORACLE["regression_metrics"] = with_ctes(RAW, APPS, RATE_ROWS) + """,
+p AS (SELECT interest_rate AS y, avg(interest_rate) OVER (PARTITION BY county_code) AS yhat FROM rate_rows)
+SELECT count(*) AS n,
+       round(1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)), 9) AS r2,
+       round(sqrt(sum((y - yhat) * (y - yhat)) / count(*)), 9) AS rmse
+FROM p"""
