@@ -11,10 +11,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fairlend.functions import schema as S
 
 from fairlend.operators import clean, describe, gaps, metrics, models, profile
 from fairlend.operators import features as feats
 from fairlend.plans import fixture as fx
+from fairlend.plans.session import shared_dir
+from fairlend.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -386,3 +391,63 @@ def regression_metrics(spark, sf_dir):
     scored = rows.join(county_mean, "county_code")
     m = metrics.regression_metrics(scored, "interest_rate", "county_rate")
     return m.select("n", F.round("r2", 9).alias("r2"), F.round("rmse", 9).alias("rmse"))
+
+
+# --- sources and sinks (O1–O13) ----------------------------------------------------------
+# Each writes data Spark derived from the tables into a fresh folder under the
+# cluster's shared checkpoint location, then reads it back with the reader.
+
+@register("read_pipe_delimited")
+def read_pipe_delimited(spark, sf_dir):
+    """O1: raw rows written as a pipe-delimited file with header, read back typed."""
+    path = shared_dir(spark, "pipe")
+    sinks.write_csv(fx.raw_applications(spark, sf_dir), path, sep="|")
+    return readers.read_delimited(spark, path, sep="|", schema=S.RAW_APPLICATION)
+
+
+@register("read_csv_typed")
+def read_csv_typed(spark, sf_dir):
+    """O2: cleaned rows written as CSV, read back under the explicit schema."""
+    path = shared_dir(spark, "csv")
+    sinks.write_csv(fx.applications(spark, sf_dir), path)
+    return readers.read_csv_typed(spark, path, S.APPLICATION)
+
+
+@register("read_yearly_files")
+def read_yearly_files(spark, sf_dir):
+    """O3: two yearly file sets, the early one without the rate column."""
+    raw = fx.raw_applications(spark, sf_dir)
+    early, late = shared_dir(spark, "early"), shared_dir(spark, "late")
+    sinks.write_csv(raw.where(F.col("activity_year") <= 1997).drop("interest_rate"), early)
+    sinks.write_csv(raw.where(F.col("activity_year") > 1997), late)
+    df = readers.read_yearly_files(spark, [early, late], S.RAW_APPLICATION)
+    return df.groupBy("activity_year").agg(F.count(F.lit(1)).alias("n"),
+                                           F.count("interest_rate").alias("n_rate"))
+
+
+@register("read_parquet_partitioned")
+def read_parquet_partitioned(spark, sf_dir):
+    """Cleaned rows as Parquet partitioned by state and year; read TX only."""
+    path = shared_dir(spark, "parquet")
+    sinks.write_parquet(fx.applications(spark, sf_dir), path, ["state_code", "activity_year"])
+    return readers.read_parquet_partitioned(spark, path, states=["TX"]).select(*fx.APPLICATION_COLUMNS)
+
+
+@register("sink_roundtrip_csv")
+def sink_roundtrip_csv(spark, sf_dir):
+    """Model rows written by the executors as CSV and read back."""
+    rows = feats.model_features(clean.prep_approval(fx.applications(spark, sf_dir))).select(*_PREP_COLS)
+    path = shared_dir(spark, "sink")
+    sinks.write_csv(rows, path)
+    sch = T.StructType([rows.schema[c] for c in _PREP_COLS])
+    return readers.read_csv_typed(spark, path, sch)
+
+
+@register("clean_partitioned_write")
+def clean_partitioned_write(spark, sf_dir):
+    """Cleaned rows written per year as CSV; rows per state and year read back."""
+    path = shared_dir(spark, "yearly")
+    sinks.write_partitioned_csv(fx.applications(spark, sf_dir), path)
+    back = spark.read.option("header", True).csv(path)
+    return back.groupBy("state_code", F.col("activity_year").cast("int").alias("activity_year")) \
+        .agg(F.count(F.lit(1)).alias("n"))

@@ -398,3 +398,13 @@ SELECT count(*) AS n,
        round(1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)), 9) AS r2,
        round(sqrt(sum((y - yhat) * (y - yhat)) / count(*)), 9) AS rmse
 FROM p"""
+
+# --- sources and sinks ------------------------------------------------------------------
+
+ORACLE["read_pipe_delimited"] = with_ctes(RAW) + "SELECT * FROM raw_applications"
+ORACLE["read_csv_typed"] = BASE + "SELECT * FROM applications"
+ORACLE["read_yearly_files"] = ORACLE["union_years"]
+ORACLE["read_parquet_partitioned"] = BASE + "SELECT * FROM applications WHERE state_code = 'TX'"
+ORACLE["sink_roundtrip_csv"] = ORACLE["prep_approval"]
+ORACLE["clean_partitioned_write"] = BASE + """
+SELECT state_code, activity_year, count(*) AS n FROM applications GROUP BY ALL"""
