@@ -451,3 +451,24 @@ def clean_partitioned_write(spark, sf_dir):
     back = spark.read.option("header", True).csv(path)
     return back.groupBy("state_code", F.col("activity_year").cast("int").alias("activity_year")) \
         .agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- streaming ingest ----------------------------------------------------------------------
+
+@register("stream_county_gaps")
+def stream_county_gaps(spark, sf_dir):
+    """O3, O42–O44 as a stream: raw files → cleaned → per-county state → gaps.
+
+    The raw rows land as CSV part files; the stream takes one file per
+    micro-batch, so the county state is built up over several batches.  The
+    final published table must equal the batch gap table.
+    """
+    from fairlend.streaming import yearly
+
+    landing = shared_dir(spark, "landing")
+    sinks.write_csv(fx.raw_applications(spark, sf_dir), landing)
+    out = shared_dir(spark, "stream-gaps")
+    q = yearly.start_county_gaps(spark, landing, out, shared_dir(spark, "stream-ckpt"),
+                                 max_files_per_trigger=1)
+    q.awaitTermination()
+    return spark.read.parquet(out)

@@ -408,3 +408,4 @@ ORACLE["read_parquet_partitioned"] = BASE + "SELECT * FROM applications WHERE st
 ORACLE["sink_roundtrip_csv"] = ORACLE["prep_approval"]
 ORACLE["clean_partitioned_write"] = BASE + """
 SELECT state_code, activity_year, count(*) AS n FROM applications GROUP BY ALL"""
+ORACLE["stream_county_gaps"] = GAP_BASE + "SELECT * FROM county_gaps"
