@@ -9,7 +9,7 @@ compute exact prefix sums in three distributed steps:
    aggregation first, so a value held by a third of all rows costs one row);
 2. split the distinct values into range buckets whose bounds come from
    ``percentile_approx`` (a mergeable sketch; only ``buckets`` bounds per
-   group are kept), and total each bucket;
+   group are kept, and only those reach the driver), and total each bucket;
 3. inside each bucket, a running sum over a window partitioned by bucket,
    plus the bucket's offset from a window over the bucket totals.
 
@@ -39,7 +39,7 @@ def default_buckets(df: DataFrame) -> int:
 
 def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
                 by: Sequence[str] = (), buckets: int | None = None,
-                accuracy: int = 100_000, _broadcast_bounds: bool = False) -> DataFrame:
+                accuracy: int = 100_000) -> DataFrame:
     """Add ``<w>_before`` = sum of ``w`` over rows of the same ``by`` group
     with a smaller ``order_col``.
 
@@ -47,23 +47,30 @@ def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
     excluded; ``weight_cols`` are non-negative counts or sums.
     """
     by = list(by)
-    if not by:  # one global group: a constant key, and a one-row bounds table
-        out = prefix_sums(df.withColumn("__all", F.lit(0)), order_col, weight_cols,
-                          ["__all"], buckets, accuracy, _broadcast_bounds=True)
-        return out.drop("__all")
     b = buckets or default_buckets(df)
     probs = [i / b for i in range(1, b)]
     sketch = F.percentile_approx(order_col, probs, accuracy)
     v = F.col(order_col)
-    bounds = df.groupBy(*by).agg(sketch.alias("__bounds"))
-    with_bucket = (df.join(F.broadcast(bounds) if _broadcast_bounds else bounds, by)
-                   .withColumn(_BUCKET, F.size(F.filter("__bounds", lambda x: x <= v)))
-                   .drop("__bounds"))
+    if by:
+        bounds = df.groupBy(*by).agg(sketch.alias("__bounds"))
+        with_bucket = (df.join(bounds, by)
+                       .withColumn(_BUCKET, F.size(F.filter("__bounds", lambda x: x <= v)))
+                       .drop("__bounds"))
+    else:
+        # only the b-1 bucket bounds come to the driver; the bucket of each row
+        # is a binary search in the JVM (Bucketizer), no join
+        from pyspark.ml.feature import Bucketizer
+
+        got = df.agg(sketch.alias("b")).first()["b"] or []
+        splits = [float("-inf")] + sorted(set(float(x) for x in got)) + [float("inf")]
+        bucketizer = Bucketizer(splits=splits, inputCol=order_col, outputCol=_BUCKET)
+        with_bucket = bucketizer.transform(df).withColumn(_BUCKET, F.col(_BUCKET).cast("int"))
 
     keys = by + [_BUCKET]
     totals = with_bucket.groupBy(*keys).agg(*[F.sum(w).alias(w + "__tot") for w in weight_cols])
     # at most ``b`` bucket rows per group: the window over them is small
-    w_all = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    w_all = (Window.partitionBy(*by) if by else Window).orderBy(_BUCKET) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys,
         *[F.coalesce(F.sum(w + "__tot").over(w_all), F.lit(0)).alias(w + "__off") for w in weight_cols],
@@ -72,7 +79,8 @@ def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
     running = with_bucket.select(
         "*", *[F.coalesce(F.sum(w).over(w_in), F.lit(0)).alias(w + "__in") for w in weight_cols]
     )
-    out = running.join(F.broadcast(offsets) if _broadcast_bounds else offsets, keys)
+    # without groups, ``offsets`` has at most ``b`` rows: a bounded broadcast
+    out = running.join(offsets if by else F.broadcast(offsets), keys)
     return out.select(
         *df.columns,
         *[(F.col(w + "__off") + F.col(w + "__in")).alias(w + "_before") for w in weight_cols],

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -55,7 +54,4 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
     sep = "" if base.endswith("/") else "/"
-    path = f"{base}{sep}fairlend-{name}-{uuid.uuid4().hex[:12]}"
-    if path.startswith("file:"):
-        os.makedirs(path[len("file:"):], exist_ok=True)
-    return path
+    return f"{base}{sep}fairlend-{name}-{uuid.uuid4().hex[:12]}"
