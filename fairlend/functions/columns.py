@@ -23,13 +23,15 @@ def to_double(c: str | Column) -> Column:
     NaN is folded into null so later ``>= 0`` and ``isNotNull`` tests see
     missing values the way a dataframe library's ``isna`` does.
     """
-    x = col_of(c).try_cast("double")
-    return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
+    # ``nanvl`` mentions the parsed value once: Catalyst inlines expressions
+    # into every predicate that uses them, so a when(isnan(x), ..).otherwise(x)
+    # form would parse each text value several times per row.
+    return F.nanvl(col_of(c).try_cast("double"), F.lit(None).cast("double"))
 
 
 def nonneg_or_null(c: str | Column) -> Column:
-    x = col_of(c)
-    return (x >= 0) | x.isNull()
+    """``c >= 0 OR c IS NULL``, written so ``c`` is evaluated once."""
+    return F.coalesce(col_of(c) >= 0, F.lit(True))
 
 
 def guarded_ratio(num: str | Column, den: str | Column,
