@@ -25,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fairlend.functions.lineage import materialize
+
 _BUCKET = "__bucket"
 
 
@@ -39,23 +41,31 @@ def default_buckets(df: DataFrame) -> int:
 
 def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
                 by: Sequence[str] = (), buckets: int | None = None,
-                accuracy: int = 100_000) -> DataFrame:
+                accuracy: int = 10_000, few_groups: bool = False) -> DataFrame:
     """Add ``<w>_before`` = sum of ``w`` over rows of the same ``by`` group
     with a smaller ``order_col``.
 
     ``df`` must have one row per distinct (``by``, ``order_col``), nulls
     excluded; ``weight_cols`` are non-negative counts or sums.
+    ``few_groups=True`` declares that the ``by`` groups are a small fixed
+    set (e.g. a list of measures): the per-group bounds and per-bucket
+    offsets (groups × ``buckets`` rows) are then broadcast instead of
+    shuffled.  Without groups they are always broadcast (``buckets`` rows).
     """
     by = list(by)
     b = buckets or default_buckets(df)
     probs = [i / b for i in range(1, b)]
     sketch = F.percentile_approx(order_col, probs, accuracy)
     v = F.col(order_col)
+    small = (lambda t: F.broadcast(t)) if (few_groups or not by) else (lambda t: t)
     if by:
         bounds = df.groupBy(*by).agg(sketch.alias("__bounds"))
-        with_bucket = (df.join(bounds, by)
-                       .withColumn(_BUCKET, F.size(F.filter("__bounds", lambda x: x <= v)))
-                       .drop("__bounds"))
+        if b <= 128:  # a sum of comparisons stays inside whole-stage codegen
+            below = sum((F.col("__bounds")[i] <= v).cast("int") for i in range(b - 1))
+        else:  # a lambda is interpreted, but its size does not grow the generated code
+            below = F.size(F.filter("__bounds", lambda x: x <= v))
+        with_bucket = (df.join(small(bounds), by)
+                       .withColumn(_BUCKET, below).drop("__bounds"))
     else:
         # only the b-1 bucket bounds come to the driver; the bucket of each row
         # is a binary search in the JVM (Bucketizer), no join
@@ -79,8 +89,7 @@ def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
     running = with_bucket.select(
         "*", *[F.coalesce(F.sum(w).over(w_in), F.lit(0)).alias(w + "__in") for w in weight_cols]
     )
-    # without groups, ``offsets`` has at most ``b`` rows: a bounded broadcast
-    out = running.join(offsets if by else F.broadcast(offsets), keys)
+    out = running.join(small(offsets), keys)
     return out.select(
         *df.columns,
         *[(F.col(w + "__off") + F.col(w + "__in")).alias(w + "_before") for w in weight_cols],
@@ -95,13 +104,31 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     the sorted non-null values, ``v[floor h] + (h - floor h)(v[ceil h] - v[floor h])``.
     Nulls and NaN are ignored.  Output: ``by`` columns, ``n``, ``q_0..q_k``.
     """
+    counts = value_counts_table(df, value, by)
+    return quantiles_from_counts(counts, probs, by, buckets)
+
+
+def value_counts_table(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., v, c)``: one row per distinct non-null value, materialised.
+
+    The only pass over the input; partial aggregation first, so a value
+    that fills a third of the rows costs one row per task before the
+    shuffle.  Checkpointed, because every later step reads it.
+    """
     by = list(by)
     x = F.col(value).cast("double")
     vals = df.select(*by, x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = vals.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
-    ranked = prefix_sums(counts, "v", ["c"], by=by, buckets=buckets)
+    return materialize(vals.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c")))
+
+
+def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = (),
+                          buckets: int | None = None, few_groups: bool = False) -> DataFrame:
+    """Exact quantiles from a ``(by..., v, c)`` distinct-value table."""
+    by = list(by)
+    ranked = prefix_sums(counts, "v", ["c"], by=by, buckets=buckets, few_groups=few_groups)
     if by:
-        with_n = ranked.join(counts.groupBy(*by).agg(F.sum("c").alias("n")), by)
+        sizes = counts.groupBy(*by).agg(F.sum("c").alias("n"))
+        with_n = ranked.join(F.broadcast(sizes) if few_groups else sizes, by)
     else:  # one global count, as a scalar subquery
         with_n = ranked.withColumn("n", counts.agg(F.sum("c")).scalar())
 
@@ -134,10 +161,16 @@ def rank_sum_auc(df: DataFrame, label: str, score: str,
     lower-scored negative and 1/2 for every equally scored one.  One row,
     column ``auc``; null if one class is absent.
     """
-    per_score = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-                 .groupBy(F.col(score).cast("double").alias("s"))
-                 .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
-                      F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg")))
+    per_score = materialize(
+        df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+        .groupBy(F.col(score).cast("double").alias("s"))
+        .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
+             F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg")))
+    return auc_from_score_counts(per_score, buckets)
+
+
+def auc_from_score_counts(per_score: DataFrame, buckets: int | None = None) -> DataFrame:
+    """AUC from a ``(s, pos, neg)`` table with one row per distinct score."""
     ranked = prefix_sums(per_score, "s", ["neg"], buckets=buckets)
     return ranked.agg(
         (F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") * 0.5))

@@ -10,13 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlend.functions.ordered import rank_sum_auc
+from fairlend.functions.lineage import materialize
+from fairlend.functions.ordered import auc_from_score_counts
 
 
 def binary_metrics(df: DataFrame, label: str, score: str, prediction: str) -> DataFrame:
-    """One row (accuracy, auc)."""
-    acc = df.agg(F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"))
-    auc = rank_sum_auc(df, label, score)
+    """One row (accuracy, auc) from a single pass over ``df``.
+
+    The input is reduced once to per-score counts (positives, negatives,
+    correct predictions), checkpointed; accuracy and the rank-sum AUC both
+    read that table.
+    """
+    y, p = F.col(label), F.col(prediction)
+    per = materialize(df.groupBy(F.col(score).cast("double").alias("s")).agg(
+        F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"),
+        F.sum(F.when(y.isNotNull() & (y != 1), 1).otherwise(0)).alias("neg"),
+        F.sum(F.when(y == p, 1).otherwise(0)).alias("correct"),
+        F.count(y == p).alias("compared")))
+    acc = per.agg((F.sum("correct") / F.sum("compared")).alias("accuracy"))
+    auc = auc_from_score_counts(per.where(F.col("s").isNotNull()).select("s", "pos", "neg"))
     return acc.select("accuracy", auc.select("auc").scalar().alias("auc"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairlend.functions.ordered import grouped_quantiles
+from fairlend.functions.ordered import quantiles_from_counts, value_counts_table
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -68,20 +68,30 @@ def summary_long(df: DataFrame, measures: Sequence[str], digits: int | None = 6,
                  std_label: str = "stddev") -> DataFrame:
     """``summary()``-like table in long form ``(measure, statistic, value)``.
 
-    All measures are stacked into one ``(measure, v)`` column so one
-    aggregation computes count/mean/std/min/max for all, and one grouped
-    exact-quantile pipeline computes every quartile.
+    One pass over the input: all measures are stacked into ``(measure, v)``
+    and reduced to a checkpointed distinct-value table ``(measure, v, c)``.
+    Count, mean, min, max, a two-pass sample standard deviation and the
+    exact quartiles are all computed from that table, never from the input
+    again.
     """
     stack = ", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in measures)
     long = df.selectExpr(f"stack({len(measures)}, {stack}) as (measure, v)")
-    long = long.withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
-    basic = long.groupBy("measure").agg(
-        F.count("v").cast("double").alias("count"), F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("stddev"), F.min("v").alias("min"), F.max("v").alias("max"))
-    q = grouped_quantiles(long, "v", QUARTILES, by=["measure"]).drop("n")
-    wide = basic.join(q, "measure", "left")
+    counts = value_counts_table(long, "v", ["measure"])
+    c, v = F.col("c"), F.col("v")
+    first = counts.groupBy("measure").agg(
+        F.sum(c).alias("n"), (F.sum(v * c) / F.sum(c)).alias("mean"),
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    # one row per measure (a fixed list): a bounded broadcast
+    dev = (counts.join(F.broadcast(first.select("measure", "mean")), "measure")
+           .groupBy("measure").agg(F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))).alias("ss")))
+    basic = first.join(dev, "measure").select(
+        "measure", F.col("n").cast("double").alias("count"), "mean",
+        F.when(F.col("n") > 1, F.sqrt(F.col("ss") / (F.col("n") - 1))).alias("stddev"),
+        "min", "max")
+    q = quantiles_from_counts(counts, QUARTILES, by=["measure"], few_groups=True).drop("n")
+    wide = F.broadcast(basic).join(q, "measure", "right")
     names = [("count", "count"), ("mean", "mean"), (std_label, "stddev"), ("min", "min"),
              ("25%", "q_0"), ("50%", "q_1"), ("75%", "q_2"), ("max", "max")]
-    pairs = ", ".join(f"'{label}', `{c}`" for label, c in names)
+    pairs = ", ".join(f"'{label}', `{col}`" for label, col in names)
     out = wide.selectExpr("measure", f"stack({len(names)}, {pairs}) as (statistic, value)")
     return out.withColumn("value", _round(F.col("value"), digits))

@@ -38,12 +38,11 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint location.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The context's checkpoint folder, registering one only if none is set.
 
-    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir) from the
-    session; only when neither is set — a local test — a private temporary
-    folder is created and registered as the checkpoint dir.
+    Reads ``spark.checkpoint.dir`` from the session first; a private
+    temporary folder is used only when the cluster names none (local tests).
     """
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
@@ -53,5 +52,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             base = tempfile.mkdtemp(prefix="fairlend-ckpt-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
+    return base
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the cluster's shared checkpoint location."""
+    base = ensure_checkpoint_dir(spark)
     sep = "" if base.endswith("/") else "/"
     return f"{base}{sep}fairlend-{name}-{uuid.uuid4().hex[:12]}"

@@ -101,3 +101,17 @@ def read_county_dimension(spark: SparkSession, path: str, fmt: str = "csv") -> D
 def read_gap_table(spark: SparkSession, path: str) -> DataFrame:
     """Read back a county gap table written as CSV."""
     return spark.read.option("header", True).schema(S.COUNTY_GAP).csv(path)
+
+
+def balance_splits(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan over the cluster when it has fewer splits than cores.
+
+    A file with a single Parquet row group (or one gzip CSV) is read by one
+    task, and every narrow step after it stays in that task.  When the scan
+    has fewer partitions than ``min_partitions`` (default: the cluster's
+    default parallelism) the rows are redistributed round-robin; a large
+    dataset with many splits is returned unchanged, so no shuffle is added
+    at scale.  Checked from the plan, no job runs.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
