@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from fairlend.functions import codes
 from fairlend.functions.columns import fips5, fips_label
+from fairlend.functions.lineage import materialize
 from fairlend.operators.clean import prep_gap
 from fairlend.operators.features import add_comparison_group, add_race_group
 
@@ -108,8 +109,12 @@ def state_gap_map(mapped: DataFrame, states: Sequence[str] = codes.STATES) -> Da
     Each row carries the shared colour range (min/max over flagged counties
     of all states) as scalar subqueries, so no cross join and no global
     window is needed, and ``estimated`` splits drawn from grey counties.
+    The county table is checkpointed first, so the input is read once.
     """
     fips_to_state = {codes.STATE_FIPS[s]: s for s in states}
+    # one row per county, read three times (rows, min, max): checkpoint it
+    # once instead of recomputing the gap table from the input each time
+    mapped = materialize(mapped)
     flagged = mapped.where("has_gap")
     vmin = flagged.agg(F.min(GAP)).scalar()
     vmax = flagged.agg(F.max(GAP)).scalar()
