@@ -7,9 +7,10 @@ compute exact prefix sums in three distributed steps:
 
 1. collapse the input to one row per distinct order value (partial
    aggregation first, so a value held by a third of all rows costs one row);
-2. split the distinct values into range buckets whose bounds come from
-   ``percentile_approx`` (a mergeable sketch; only ``buckets`` bounds per
-   group are kept, and only those reach the driver), and total each bucket;
+2. split the distinct values into range buckets of about a million rows
+   each, with bounds from ``percentile_approx`` (a mergeable sketch; only
+   the bounds are kept, and only they reach the driver), and total each
+   bucket;
 3. inside each bucket, a running sum over a window partitioned by bucket,
    plus the bucket's offset from a window over the bucket totals.
 
@@ -30,13 +31,19 @@ from fairlend.functions.lineage import materialize
 _BUCKET = "__bucket"
 
 
-def default_buckets(df: DataFrame) -> int:
-    """Bucket count that scales with the session's shuffle width."""
-    try:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # pragma: no cover - conf always present in practice
-        parts = 200
-    return max(16, 4 * parts)
+ROWS_PER_BUCKET = 1_000_000   # distinct rows one window task sorts and scans
+MAX_BUCKETS = 4096
+
+
+def buckets_for(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Bucket count from the size of the (reduced, materialised) table.
+
+    One count job over the distinct-value table; each bucket then holds
+    about ``rows_per_bucket`` rows, so the window work per task is bounded
+    whatever the data size.
+    """
+    n = df.count()
+    return max(1, min(MAX_BUCKETS, -(-n // rows_per_bucket)))
 
 
 def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
@@ -46,21 +53,23 @@ def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
     with a smaller ``order_col``.
 
     ``df`` must have one row per distinct (``by``, ``order_col``), nulls
-    excluded; ``weight_cols`` are non-negative counts or sums.
+    excluded; ``weight_cols`` are non-negative counts or sums.  ``buckets``
+    defaults to :func:`buckets_for` (≈1M rows per bucket).
     ``few_groups=True`` declares that the ``by`` groups are a small fixed
     set (e.g. a list of measures): the per-group bounds and per-bucket
     offsets (groups × ``buckets`` rows) are then broadcast instead of
     shuffled.  Without groups they are always broadcast (``buckets`` rows).
     """
     by = list(by)
-    b = buckets or default_buckets(df)
-    probs = [i / b for i in range(1, b)]
-    sketch = F.percentile_approx(order_col, probs, accuracy)
+    b = buckets or buckets_for(df)
     v = F.col(order_col)
     small = (lambda t: F.broadcast(t)) if (few_groups or not by) else (lambda t: t)
-    if by:
+    if b == 1:  # the whole (group's) table fits one window task: no bounds needed
+        with_bucket = df.withColumn(_BUCKET, F.lit(0))
+    elif by:
+        sketch = F.percentile_approx(order_col, [i / b for i in range(1, b)], accuracy)
         bounds = df.groupBy(*by).agg(sketch.alias("__bounds"))
-        if b <= 128:  # a sum of comparisons stays inside whole-stage codegen
+        if b <= 64:  # a sum of comparisons stays inside whole-stage codegen
             below = sum((F.col("__bounds")[i] <= v).cast("int") for i in range(b - 1))
         else:  # a lambda is interpreted, but its size does not grow the generated code
             below = F.size(F.filter("__bounds", lambda x: x <= v))
@@ -71,6 +80,7 @@ def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
         # is a binary search in the JVM (Bucketizer), no join
         from pyspark.ml.feature import Bucketizer
 
+        sketch = F.percentile_approx(order_col, [i / b for i in range(1, b)], accuracy)
         got = df.agg(sketch.alias("b")).first()["b"] or []
         splits = [float("-inf")] + sorted(set(float(x) for x in got)) + [float("inf")]
         bucketizer = Bucketizer(splits=splits, inputCol=order_col, outputCol=_BUCKET)
