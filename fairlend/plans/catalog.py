@@ -217,6 +217,14 @@ def comparison_group(spark, sf_dir):
 
 # --- profiling (O15–O18) -------------------------------------------------------------
 
+@register("row_col_counts")
+def row_col_counts(spark, sf_dir):
+    """Rows and columns before and after cleaning."""
+    before = profile.shape(fx.raw_applications(spark, sf_dir)).withColumn("stage", F.lit("raw"))
+    after = profile.shape(fx.applications(spark, sf_dir)).withColumn("stage", F.lit("clean"))
+    return before.unionByName(after)
+
+
 @register("null_counts")
 def null_counts(spark, sf_dir):
     """Nulls per column of the raw rows."""

@@ -261,6 +261,10 @@ ORACLE["null_counts"] = with_ctes(RAW) + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM raw_applications"
     for c in _RAW_COLS)
 
+ORACLE["row_col_counts"] = BASE + """
+SELECT count(*) AS rows, 13 AS cols, 'raw' AS stage FROM raw_applications
+UNION ALL SELECT count(*), 12, 'clean' FROM applications"""
+
 ORACLE["distinct_values"] = with_ctes(RAW) + "SELECT DISTINCT action_taken FROM raw_applications"
 
 ORACLE["value_counts"] = with_ctes(RAW) + """
