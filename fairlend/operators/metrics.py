@@ -45,13 +45,18 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
         F.sqrt(F.col("sse") / F.col("n")).alias("rmse"))
 
 
-def model_summary_row(fitted, kind: str) -> DataFrame:
-    """O59–O60 as MLlib reports them: one row from the training summary."""
+def model_summary_row(fitted, kind: str, rows: int | None = None) -> DataFrame:
+    """O59–O60 as MLlib reports them: one row from the training summary.
+
+    ``rows``: the training row count when the caller already has it (e.g.
+    from the persisted training set); otherwise the scored rows are counted.
+    """
     m = fitted.model
     s = m.summary
     spark = fitted.scored.sparkSession
     if kind == "logistic":
-        row = (int(s.predictions.count()), len(fitted.names), float(m.intercept),
+        n = rows if rows is not None else s.predictions.count()
+        row = (int(n), len(fitted.names), float(m.intercept),
                float(s.accuracy), float(s.areaUnderROC))
         return spark.createDataFrame(
             [row], "rows long, width int, intercept double, accuracy double, auc double")

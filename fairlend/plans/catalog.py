@@ -326,8 +326,9 @@ def approval_model(spark, sf_dir):
     """Logistic fit; one row with width, intercept, accuracy, AUC."""
     rows = _approval_rows(spark, sf_dir)
     with feats.persisted(rows) as cached:
+        n = cached.count()  # fills the cache the fit then reads
         fitted = models.fit_approval_model(cached)
-        return metrics.model_summary_row(fitted, "logistic")
+        return metrics.model_summary_row(fitted, "logistic", rows=n)
 
 
 @register("approval_coefficients")
