@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from fairlend.functions import schema as S
+from fairlend.functions.lineage import materialize
 from fairlend.operators import clean, gaps, metrics, models
 from fairlend.operators import features as feats
 from fairlend.sources import readers, sinks
@@ -64,7 +65,8 @@ def approval(spark: SparkSession, apps: DataFrame, out: str) -> DataFrame:
 def county_gap_job(spark: SparkSession, apps: DataFrame, out: str,
                    counties: DataFrame | None = None, min_n: int = 50) -> DataFrame:
     """County gaps: full table, top 25, and with a county table the map/rank tables."""
-    table = gaps.county_gaps(apps, min_n)
+    # one row per county feeding four outputs: aggregate the input once
+    table = materialize(gaps.county_gaps(apps, min_n))
     sinks.write_csv(table.orderBy(*gaps.gap_order()), f"{out}/county_disparities")
     top = gaps.top_gaps(table)
     sinks.write_single_csv(top, f"{out}/top25_disparities")
