@@ -69,6 +69,26 @@ def summary_statistics(apps: DataFrame, digits: int | None = 6) -> DataFrame:
     return summary_long(df, SUMMARY_MEASURES, digits)
 
 
+def summary_wide(long: DataFrame, measures: Sequence[str] = SUMMARY_MEASURES) -> DataFrame:
+    """O40 in the study's layout: one row per statistic, one column per measure.
+
+    A pivot with the measure list given, so Spark needs no extra job to find
+    the pivot values; the input is the small long-form table.
+    """
+    wide = long.groupBy(F.col("statistic").alias("summary")).pivot("measure", list(measures)) \
+        .agg(F.first("value"))
+    return wide.orderBy(_stat_rank("summary"))
+
+
+def _stat_rank(col: str):
+    order = ["count", "mean", "stddev", "std", "min", "25%", "50%", "75%", "max"]
+    expr = None
+    for i, k in enumerate(order):
+        cond = F.col(col) == k
+        expr = F.when(cond, i) if expr is None else expr.when(cond, i)
+    return expr.otherwise(len(order))
+
+
 def histogram(df: DataFrame, col: str, width: float, origin: float = 0.0) -> DataFrame:
     """Fixed-width bins ``floor((x - origin) / width)`` with counts."""
     x = F.col(col).cast("double")

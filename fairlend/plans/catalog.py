@@ -276,6 +276,12 @@ def summary_statistics(spark, sf_dir):
     return describe.summary_statistics(fx.applications(spark, sf_dir))
 
 
+@register("summary_statistics_wide")
+def summary_statistics_wide(spark, sf_dir):
+    """O40 in the study's layout: statistics as rows, measures as columns."""
+    return describe.summary_wide(describe.summary_statistics(fx.applications(spark, sf_dir)))
+
+
 @register("income_histogram")
 def income_histogram(spark, sf_dir):
     """Income in bins of 50 (thousands)."""

@@ -316,6 +316,15 @@ m AS (SELECT loan_amount, income, interest_rate,
 """ + _describe_sql(["loan_amount", "income", "interest_rate", "loan_to_income"], "m", "stddev", True)
 
 
+ORACLE["summary_statistics_wide"] = ORACLE["summary_statistics"].replace(
+    _describe_sql(["loan_amount", "income", "interest_rate", "loan_to_income"], "m", "stddev", True),
+    "SELECT statistic AS summary, "
+    + ", ".join(f"max(value) FILTER (WHERE measure = '{m}') AS {m}"
+                for m in ["loan_amount", "income", "interest_rate", "loan_to_income"])
+    + " FROM (" + _describe_sql(["loan_amount", "income", "interest_rate", "loan_to_income"],
+                                "m", "stddev", True) + ") s GROUP BY statistic")
+
+
 def _hist_sql(col: str, width: float) -> str:
     return BASE + f"""
 SELECT CAST(floor({col} / {width}) AS BIGINT) AS bin,
