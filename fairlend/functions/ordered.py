@@ -64,9 +64,14 @@ def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
     b = buckets or buckets_for(df)
     v = F.col(order_col)
     small = (lambda t: F.broadcast(t)) if (few_groups or not by) else (lambda t: t)
-    if b == 1:  # the whole (group's) table fits one window task: no bounds needed
-        with_bucket = df.withColumn(_BUCKET, F.lit(0))
-    elif by:
+    if b == 1:
+        # at most ROWS_PER_BUCKET rows in all: one running-sum window, no
+        # bounds, no offsets (a single ordered partition of a bounded table)
+        w1 = (Window.partitionBy(*by) if by else Window).orderBy(order_col) \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*df.columns, *[F.coalesce(F.sum(w).over(w1), F.lit(0)).alias(w + "_before")
+                                        for w in weight_cols])
+    if by:
         sketch = F.percentile_approx(order_col, [i / b for i in range(1, b)], accuracy)
         bounds = df.groupBy(*by).agg(sketch.alias("__bounds"))
         if b <= 64:  # a sum of comparisons stays inside whole-stage codegen
