@@ -84,7 +84,7 @@ def summary_long(df: DataFrame, measures: Sequence[str], digits: int | None = 6,
     # one row per measure (a fixed list): a bounded broadcast
     dev = (counts.join(F.broadcast(first.select("measure", "mean")), "measure")
            .groupBy("measure").agg(F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))).alias("ss")))
-    basic = first.join(dev, "measure").select(
+    basic = F.broadcast(first).join(dev, "measure").select(
         "measure", F.col("n").cast("double").alias("count"), "mean",
         F.when(F.col("n") > 1, F.sqrt(F.col("ss") / (F.col("n") - 1))).alias("stddev"),
         "min", "max")
