@@ -458,6 +458,33 @@ def sink_roundtrip_csv(spark, sf_dir):
     return readers.read_csv_typed(spark, path, sch)
 
 
+@register("read_county_table")
+def read_county_table(spark, sf_dir):
+    """County attributes written with census column names, read back and renamed."""
+    dim = fx.county_dimension(spark, sf_dir).select(
+        F.col("county_fips").alias("GEOID"), F.col("statefp").alias("STATEFP"),
+        F.col("name").alias("NAME"))
+    path = shared_dir(spark, "counties")
+    sinks.write_csv(dim, path)
+    return readers.read_county_dimension(spark, path)
+
+
+@register("read_gap_table")
+def read_gap_table(spark, sf_dir):
+    """The county gap table written as CSV and read back under its schema."""
+    path = shared_dir(spark, "gap-table")
+    sinks.write_csv(gaps.county_gaps(fx.applications(spark, sf_dir)), path)
+    return readers.read_gap_table(spark, path)
+
+
+@register("single_file_sink")
+def single_file_sink(spark, sf_dir):
+    """The top 25 written as one CSV part file (size-checked), read back."""
+    path = shared_dir(spark, "top25")
+    sinks.write_single_csv(county_gap_top25(spark, sf_dir), path)
+    return readers.read_gap_table(spark, path)
+
+
 @register("clean_partitioned_write")
 def clean_partitioned_write(spark, sf_dir):
     """Cleaned rows written per year as CSV; rows per state and year read back."""

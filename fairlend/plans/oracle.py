@@ -422,3 +422,6 @@ ORACLE["sink_roundtrip_csv"] = ORACLE["prep_approval"]
 ORACLE["clean_partitioned_write"] = BASE + """
 SELECT state_code, activity_year, count(*) AS n FROM applications GROUP BY ALL"""
 ORACLE["stream_county_gaps"] = GAP_BASE + "SELECT * FROM county_gaps"
+ORACLE["read_county_table"] = with_ctes(COUNTIES) + "SELECT * FROM counties"
+ORACLE["read_gap_table"] = GAP_BASE + "SELECT * FROM county_gaps"
+ORACLE["single_file_sink"] = ORACLE["county_gap_top25"]
