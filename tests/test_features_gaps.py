@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from fairlend.operators import features as feats
 from fairlend.operators import gaps

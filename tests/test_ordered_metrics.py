@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from fairlend.functions.ordered import exact_quantiles, grouped_quantiles, prefix_sums, rank_sum_auc
 from fairlend.operators import metrics
