@@ -113,5 +113,9 @@ def balance_splits(df: DataFrame, min_partitions: int | None = None) -> DataFram
     dataset with many splits is returned unchanged, so no shuffle is added
     at scale.  Checked from the plan, no job runs.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Spark Connect session: no RDD view, leave as is
+        return df
+    return df.repartition(want) if have < want else df
