@@ -43,8 +43,11 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     names = sys.argv[1:] or HEADLINE
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus,
-                          extra={"spark.driver.memory": "8g"})
+    extra = {"spark.driver.memory": "8g"}
+    log_dir = os.environ.get("BENCH_EVENT_LOG_DIR")  # opt-in: stage/task times without the UI
+    if log_dir:
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir})
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, extra=extra)
     results = {}
     for name in names:
         run_once(spark, name, sf_dir)  # warm-up

@@ -87,3 +87,27 @@ def test_audit_is_monotone(spark):
     rows = [r.rows for r in audit]
     assert rows == sorted(rows, reverse=True)
     assert rows[-1] == fx.applications(spark, SF001).count()
+
+
+def test_coercion_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    numerals = st.one_of(
+        st.integers(min_value=-10**9, max_value=10**9).map(str),
+        st.floats(allow_nan=False, allow_infinity=False, width=64).map(repr),
+        st.sampled_from(["Exempt", "NA", "", "1,000", "1.2.3", "abc"]))
+
+    @settings(max_examples=5, deadline=None)
+    @given(st.lists(numerals, min_size=1, max_size=40))
+    def check(values):
+        df = spark.createDataFrame([(v,) for v in values], "s string")
+        got = [r[0] for r in df.select(to_double("s")).collect()]
+        for v, g in zip(values, got):
+            try:
+                want = float(v)
+            except ValueError:
+                want = None
+            assert g == want, (v, g, want)
+
+    check()
