@@ -90,7 +90,7 @@ def rates(spark: SparkSession, apps: DataFrame, out: str) -> DataFrame:
 
 
 def main(argv: Sequence[str] | None = None) -> None:
-    from fairlend.plans.session import build_session
+    from fairlend.plans.session import build_session, size_shuffles
 
     p = argparse.ArgumentParser(prog="fairlend.plans.jobs")
     p.add_argument("job", choices=["prepare", "approval", "gaps", "rates"])
@@ -99,8 +99,12 @@ def main(argv: Sequence[str] | None = None) -> None:
     p.add_argument("--format", default="csv", choices=["csv", "parquet"])
     p.add_argument("--counties", default=None, help="county table (GEOID, STATEFP, NAME) as CSV")
     p.add_argument("--sep", default=",")
+    p.add_argument("--input-gb", type=float, default=None,
+                   help="input size; sets the shuffle width (about 128 MB per partition)")
     a = p.parse_args(argv)
     spark = build_session()
+    if a.input_gb:
+        size_shuffles(spark, int(a.input_gb * 1024 ** 3))
     if a.job == "prepare":
         prepare(spark, a.input, a.out, a.sep).show(truncate=False)
         return

@@ -40,6 +40,30 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int,
+                  target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Set the shuffle width from the input size and return it.
+
+    About one shuffle partition per ``target_bytes`` of input (128 MB: a
+    partition that fits an executor core's memory share without spilling),
+    never fewer than the cluster's cores.  AQE then coalesces partitions that
+    turn out small (aggregated outputs) toward the same advisory size and
+    splits skewed ones.  100 TB of input gives ~800k partitions for a shuffle
+    of the full rows; aggregations shuffle far less and are coalesced.
+    """
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # Spark Connect
+        cores = 1
+    parts = max(cores, -(-int(input_bytes) // int(target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
+    return parts
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The context's checkpoint folder, registering one only if none is set.
 

@@ -47,3 +47,13 @@ def test_no_cartesian_products_anywhere(spark):
         plan = _plan(fn(spark, SF001))
         assert "CartesianProduct" not in plan, name
         assert "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_size_shuffles(spark):
+    from fairlend.plans.session import size_shuffles
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(spark, 10) == spark.sparkContext.defaultParallelism
+        assert size_shuffles(spark, 100 * 1024 ** 4) == 100 * 1024 ** 4 // (128 * 1024 ** 2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
