@@ -33,6 +33,8 @@ _BUCKET = "__bucket"
 
 ROWS_PER_BUCKET = 1_000_000   # distinct rows one window task sorts and scans
 MAX_BUCKETS = 4096
+SAMPLE_PER_BUCKET = 1_000     # sampled rows per bucket used to place the bounds
+_SEED = 17
 
 
 def buckets_for(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
@@ -61,7 +63,15 @@ def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
     shuffled.  Without groups they are always broadcast (``buckets`` rows).
     """
     by = list(by)
-    b = buckets or buckets_for(df)
+    if buckets:
+        b, src = buckets, df
+    else:
+        n = df.count()
+        b = max(1, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)))
+        # the bounds only place rows into buckets (every count stays exact), so
+        # a seeded sample of ~SAMPLE_PER_BUCKET rows per bucket is enough
+        frac = SAMPLE_PER_BUCKET * b / max(n, 1)
+        src = df if frac >= 1.0 else df.sample(False, frac, seed=_SEED)
     v = F.col(order_col)
     small = (lambda t: F.broadcast(t)) if (few_groups or not by) else (lambda t: t)
     if b == 1:
@@ -73,20 +83,21 @@ def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
                                         for w in weight_cols])
     if by:
         sketch = F.percentile_approx(order_col, [i / b for i in range(1, b)], accuracy)
-        bounds = df.groupBy(*by).agg(sketch.alias("__bounds"))
+        bounds = src.groupBy(*by).agg(sketch.alias("__bounds"))
         if b <= 64:  # a sum of comparisons stays inside whole-stage codegen
             below = sum((F.col("__bounds")[i] <= v).cast("int") for i in range(b - 1))
         else:  # a lambda is interpreted, but its size does not grow the generated code
             below = F.size(F.filter("__bounds", lambda x: x <= v))
-        with_bucket = (df.join(small(bounds), by)
-                       .withColumn(_BUCKET, below).drop("__bounds"))
+        # left join: a group the sample missed is small, and stays in bucket 0
+        with_bucket = (df.join(small(bounds), by, "left")
+                       .withColumn(_BUCKET, F.coalesce(below, F.lit(0))).drop("__bounds"))
     else:
         # only the b-1 bucket bounds come to the driver; the bucket of each row
         # is a binary search in the JVM (Bucketizer), no join
         from pyspark.ml.feature import Bucketizer
 
         sketch = F.percentile_approx(order_col, [i / b for i in range(1, b)], accuracy)
-        got = df.agg(sketch.alias("b")).first()["b"] or []
+        got = src.agg(sketch.alias("b")).first()["b"] or []
         splits = [float("-inf")] + sorted(set(float(x) for x in got)) + [float("inf")]
         bucketizer = Bucketizer(splits=splits, inputCol=order_col, outputCol=_BUCKET)
         with_bucket = bucketizer.transform(df).withColumn(_BUCKET, F.col(_BUCKET).cast("int"))

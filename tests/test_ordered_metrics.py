@@ -120,3 +120,24 @@ def test_materialize_is_reliable_checkpoint(spark):
     root = pathlib.Path(__file__).resolve().parents[1] / "fairlend"
     for f in root.rglob("*.py"):
         assert "localCheckpoint" not in f.read_text(), f
+
+
+def test_sampled_bounds_path_exact(spark, monkeypatch):
+    from fairlend.functions import ordered
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 300)
+    monkeypatch.setattr(ordered, "SAMPLE_PER_BUCKET", 10)
+    rnd = random.Random(23)
+    rows = [("a", float(rnd.randint(0, 10**6))) for _ in range(2000)] + \
+           [("b", rnd.random()) for _ in range(800)] + [("tiny", 1.0), ("tiny", 2.0), ("tiny", 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.25, 0.5, 0.9]
+    got = {r["g"]: r for r in grouped_quantiles(df, "x", probs, by=["g"]).collect()}
+    for g in ("a", "b", "tiny"):
+        vals = np.array([x for k, x in rows if k == g])
+        for i, w in enumerate(np.quantile(vals, probs)):
+            assert abs(got[g][f"q_{i}"] - w) < 1e-9, (g, i)
+    # the global path samples too
+    vals = np.array([x for k, x in rows if k == "a"])
+    one = exact_quantiles(df.where("g = 'a'"), "x", probs).first()
+    for i, w in enumerate(np.quantile(vals, probs)):
+        assert abs(one[f"q_{i}"] - w) < 1e-9
