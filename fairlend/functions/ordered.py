@@ -37,7 +37,7 @@ SAMPLE_PER_BUCKET = 1_000     # sampled rows per bucket used to place the bounds
 _SEED = 17
 
 
-def buckets_for(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+def buckets_for(df: DataFrame, rows_per_bucket: int | None = None) -> int:
     """Bucket count from the size of the (reduced, materialised) table.
 
     One count job over the distinct-value table; each bucket then holds
@@ -45,7 +45,48 @@ def buckets_for(df: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     whatever the data size.
     """
     n = df.count()
-    return max(1, min(MAX_BUCKETS, -(-n // rows_per_bucket)))
+    return max(1, min(MAX_BUCKETS, -(-n // (rows_per_bucket or ROWS_PER_BUCKET))))
+
+
+def _plan_buckets(df: DataFrame, buckets: int | None) -> tuple[int, DataFrame]:
+    """Bucket count (≈ROWS_PER_BUCKET rows each) and the rows used to place bounds."""
+    if buckets:
+        return buckets, df
+    n = df.count()
+    b = max(1, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)))
+    # the bounds only place rows into buckets (every count stays exact), so a
+    # seeded sample of ~SAMPLE_PER_BUCKET rows per bucket is enough
+    frac = SAMPLE_PER_BUCKET * b / max(n, 1)
+    return b, (df if frac >= 1.0 else df.sample(False, frac, seed=_SEED))
+
+
+def _assign_buckets(df: DataFrame, src: DataFrame, order_col: str, by: list[str], b: int,
+                    accuracy: int, small) -> DataFrame:
+    """``df`` plus ``__bucket`` in [0, b): range buckets of ``order_col`` per group."""
+    v = F.col(order_col)
+    sketch = F.percentile_approx(order_col, [i / b for i in range(1, b)], accuracy)
+    if by:
+        bounds = src.groupBy(*by).agg(sketch.alias("__bounds"))
+        if b <= 64:  # a sum of comparisons stays inside whole-stage codegen
+            below = sum((F.col("__bounds")[i] <= v).cast("int") for i in range(b - 1))
+        else:  # a lambda is interpreted, but its size does not grow the generated code
+            below = F.size(F.filter("__bounds", lambda x: x <= v))
+        # left join: a group the sample missed is small, and stays in bucket 0
+        return (df.join(small(bounds), by, "left")
+                .withColumn(_BUCKET, F.coalesce(below, F.lit(0))).drop("__bounds"))
+    # only the b-1 bucket bounds come to the driver; the bucket of each row is
+    # a binary search in the JVM (Bucketizer), no join
+    from pyspark.ml.feature import Bucketizer
+
+    got = src.agg(sketch.alias("b")).first()["b"] or []
+    splits = [float("-inf")] + sorted(set(float(x) for x in got)) + [float("inf")]
+    bucketizer = Bucketizer(splits=splits, inputCol=order_col, outputCol=_BUCKET)
+    return bucketizer.transform(df).withColumn(_BUCKET, F.col(_BUCKET).cast("int"))
+
+
+def _group_window(by: list[str]):
+    """Window spec over each ``by`` group (the whole table when ``by`` is empty)."""
+    return Window.partitionBy(*by)
 
 
 def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
@@ -56,57 +97,26 @@ def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
 
     ``df`` must have one row per distinct (``by``, ``order_col``), nulls
     excluded; ``weight_cols`` are non-negative counts or sums.  ``buckets``
-    defaults to :func:`buckets_for` (≈1M rows per bucket).
+    defaults to about one per ROWS_PER_BUCKET rows.
     ``few_groups=True`` declares that the ``by`` groups are a small fixed
     set (e.g. a list of measures): the per-group bounds and per-bucket
     offsets (groups × ``buckets`` rows) are then broadcast instead of
     shuffled.  Without groups they are always broadcast (``buckets`` rows).
     """
     by = list(by)
-    if buckets:
-        b, src = buckets, df
-    else:
-        n = df.count()
-        b = max(1, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)))
-        # the bounds only place rows into buckets (every count stays exact), so
-        # a seeded sample of ~SAMPLE_PER_BUCKET rows per bucket is enough
-        frac = SAMPLE_PER_BUCKET * b / max(n, 1)
-        src = df if frac >= 1.0 else df.sample(False, frac, seed=_SEED)
-    v = F.col(order_col)
+    b, src = _plan_buckets(df, buckets)
     small = (lambda t: F.broadcast(t)) if (few_groups or not by) else (lambda t: t)
     if b == 1:
         # at most ROWS_PER_BUCKET rows in all: one running-sum window, no
         # bounds, no offsets (a single ordered partition of a bounded table)
-        w1 = (Window.partitionBy(*by) if by else Window).orderBy(order_col) \
-            .rowsBetween(Window.unboundedPreceding, -1)
+        w1 = _group_window(by).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
         return df.select(*df.columns, *[F.coalesce(F.sum(w).over(w1), F.lit(0)).alias(w + "_before")
                                         for w in weight_cols])
-    if by:
-        sketch = F.percentile_approx(order_col, [i / b for i in range(1, b)], accuracy)
-        bounds = src.groupBy(*by).agg(sketch.alias("__bounds"))
-        if b <= 64:  # a sum of comparisons stays inside whole-stage codegen
-            below = sum((F.col("__bounds")[i] <= v).cast("int") for i in range(b - 1))
-        else:  # a lambda is interpreted, but its size does not grow the generated code
-            below = F.size(F.filter("__bounds", lambda x: x <= v))
-        # left join: a group the sample missed is small, and stays in bucket 0
-        with_bucket = (df.join(small(bounds), by, "left")
-                       .withColumn(_BUCKET, F.coalesce(below, F.lit(0))).drop("__bounds"))
-    else:
-        # only the b-1 bucket bounds come to the driver; the bucket of each row
-        # is a binary search in the JVM (Bucketizer), no join
-        from pyspark.ml.feature import Bucketizer
-
-        sketch = F.percentile_approx(order_col, [i / b for i in range(1, b)], accuracy)
-        got = src.agg(sketch.alias("b")).first()["b"] or []
-        splits = [float("-inf")] + sorted(set(float(x) for x in got)) + [float("inf")]
-        bucketizer = Bucketizer(splits=splits, inputCol=order_col, outputCol=_BUCKET)
-        with_bucket = bucketizer.transform(df).withColumn(_BUCKET, F.col(_BUCKET).cast("int"))
-
+    with_bucket = _assign_buckets(df, src, order_col, by, b, accuracy, small)
     keys = by + [_BUCKET]
     totals = with_bucket.groupBy(*keys).agg(*[F.sum(w).alias(w + "__tot") for w in weight_cols])
     # at most ``b`` bucket rows per group: the window over them is small
-    w_all = (Window.partitionBy(*by) if by else Window).orderBy(_BUCKET) \
-        .rowsBetween(Window.unboundedPreceding, -1)
+    w_all = _group_window(by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *keys,
         *[F.coalesce(F.sum(w + "__tot").over(w_all), F.lit(0)).alias(w + "__off") for w in weight_cols],
@@ -148,28 +158,59 @@ def value_counts_table(df: DataFrame, value: str, by: Sequence[str] = ()) -> Dat
 
 
 def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = (),
-                          buckets: int | None = None, few_groups: bool = False) -> DataFrame:
-    """Exact quantiles from a ``(by..., v, c)`` distinct-value table."""
+                          buckets: int | None = None, few_groups: bool = False,
+                          accuracy: int = 10_000) -> DataFrame:
+    """Exact quantiles from a ``(by..., v, c)`` distinct-value table.
+
+    With several buckets, the per-bucket totals and offsets (a small table)
+    show which buckets hold the ranks ``floor/ceil((n-1)p)``; the running-sum
+    window then runs inside those buckets only (at most two per
+    probability), not over every distinct value.
+    """
     by = list(by)
-    ranked = prefix_sums(counts, "v", ["c"], by=by, buckets=buckets, few_groups=few_groups)
-    if by:
-        sizes = counts.groupBy(*by).agg(F.sum("c").alias("n"))
-        with_n = ranked.join(F.broadcast(sizes) if few_groups else sizes, by)
-    else:  # one global count, as a scalar subquery
-        with_n = ranked.withColumn("n", counts.agg(F.sum("c")).scalar())
+    b, src = _plan_buckets(counts, buckets)
+    small = (lambda t: F.broadcast(t)) if (few_groups or not by) else (lambda t: t)
+    c, v = F.col("c"), F.col("v")
+
+    def h(p):
+        return (F.col("n") - 1).cast("double") * F.lit(float(p))
+
+    def covers(lo_col, size_col, r):
+        return (lo_col <= r) & (r < lo_col + size_col)
+
+    if b == 1:
+        w1 = _group_window(by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        wn = _group_window(by)
+        ranked = counts.select(*by, "v", "c", F.coalesce(F.sum(c).over(w1), F.lit(0)).alias("c_before"),
+                               F.sum(c).over(wn).alias("n"))
+    else:
+        keys = by + [_BUCKET]
+        with_bucket = _assign_buckets(counts, src, "v", by, b, accuracy, small)
+        totals = with_bucket.groupBy(*keys).agg(F.sum(c).alias("tot"))
+        w_off = _group_window(by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        offs = totals.select(*keys, "tot", F.coalesce(F.sum("tot").over(w_off), F.lit(0)).alias("off"),
+                             F.sum("tot").over(_group_window(by)).alias("n"))
+        wanted = None
+        for p in probs:
+            for r in (F.floor(h(p)), F.ceil(h(p))):
+                cond = covers(F.col("off"), F.col("tot"), r)
+                wanted = cond if wanted is None else (wanted | cond)
+        # at most 2 x len(probs) buckets per group
+        targets = offs.where(wanted).select(*keys, "off", "n")
+        rows = with_bucket.join(small(targets), keys)
+        w_in = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = rows.select(*by, "v", "c", "n",
+                             (F.col("off") + F.coalesce(F.sum(c).over(w_in), F.lit(0))).alias("c_before"))
 
     aggs: list[Column] = []
     for i, p in enumerate(probs):
-        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        for tag, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            covers = (F.col("c_before") <= r) & (r < F.col("c_before") + F.col("c"))
-            aggs.append(F.min(F.when(covers, F.col("v"))).alias(f"{tag}_{i}"))
-    picked = with_n.groupBy(*by, "n").agg(*aggs)
+        for tag, r in (("lo", F.floor(h(p))), ("hi", F.ceil(h(p)))):
+            aggs.append(F.min(F.when(covers(F.col("c_before"), c, r), v)).alias(f"{tag}_{i}"))
+    picked = ranked.groupBy(*by, "n").agg(*aggs)
     out = []
     for i, p in enumerate(probs):
-        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
         lo_v, hi_v = F.col(f"lo_{i}"), F.col(f"hi_{i}")
-        out.append((lo_v + (h - F.floor(h)) * (hi_v - lo_v)).alias(f"q_{i}"))
+        out.append((lo_v + (h(p) - F.floor(h(p))) * (hi_v - lo_v)).alias(f"q_{i}"))
     return picked.select(*by, "n", *out)
 
 
