@@ -5,8 +5,10 @@ county aggregation run as a Structured Streaming job over the folder the
 files land in: each new file is cleaned (stateless, per micro-batch) and
 folded into the per-county state (one state row per county, so state size
 is bounded by the number of counties, not by the number of applications).
-Progress and state live in the checkpoint folder, so a restarted driver or
-a lost executor resumes without reprocessing or losing a file.
+Offsets and state live in the checkpoint folder: a restarted query resumes
+from the last committed batch and loses no file.  A batch that is re-run
+after a failure rewrites the whole (complete-mode) table, so the published
+result stays exact.
 """
 
 from __future__ import annotations
