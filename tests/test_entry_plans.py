@@ -57,3 +57,18 @@ def test_size_shuffles(spark):
         assert size_shuffles(spark, 100 * 1024 ** 4) == 100 * 1024 ** 4 // (128 * 1024 ** 2)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_county_stats_has_one_hash_exchange(spark):
+    plan = _plan(catalog.county_stats(spark, SF001))
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_county_map_join_becomes_broadcast_at_run_time(spark):
+    df = catalog.county_left_join(spark, SF001)
+    df.collect()  # AQE re-plans with the real sizes of both sides
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    final = plan.split("== Initial Plan ==")[0]
+    joins = [ln for ln in final.splitlines() if "Join" in ln and "LeftOuter" in ln]
+    assert joins and all("BroadcastHashJoin" in ln and "BuildRight" in ln for ln in joins), joins
