@@ -249,6 +249,18 @@ def describe_column(spark, sf_dir):
     return profile.describe_column(fx.applications(spark, sf_dir), "interest_rate")
 
 
+@register("describe_income")
+def describe_income(spark, sf_dir):
+    """Describe the coerced income (junk coerced to null, many ties)."""
+    return profile.describe_column(fx.applications(spark, sf_dir), "income")
+
+
+@register("value_counts_approved")
+def value_counts_approved(spark, sf_dir):
+    """Frequencies of the derived approval label."""
+    return profile.value_counts(fx.applications(spark, sf_dir), "approved")
+
+
 # --- descriptive tables (O36–O41) ------------------------------------------------------
 
 @register("approval_by_race")

@@ -425,3 +425,7 @@ ORACLE["stream_county_gaps"] = GAP_BASE + "SELECT * FROM county_gaps"
 ORACLE["read_county_table"] = with_ctes(COUNTIES) + "SELECT * FROM counties"
 ORACLE["read_gap_table"] = GAP_BASE + "SELECT * FROM county_gaps"
 ORACLE["single_file_sink"] = ORACLE["county_gap_top25"]
+ORACLE["describe_income"] = BASE + _describe_sql(["income"], "applications", "std", False)
+ORACLE["value_counts_approved"] = BASE + """
+SELECT approved, count(*) AS n FROM applications
+WHERE approved IS NOT NULL GROUP BY approved ORDER BY n DESC, approved"""
