@@ -32,7 +32,7 @@ _BUCKET = "__bucket"
 
 
 ROWS_PER_BUCKET = 1_000_000   # distinct rows one window task sorts and scans
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 65_536          # bounds/offsets stay a small broadcast (x groups)
 SAMPLE_PER_BUCKET = 1_000     # sampled rows per bucket used to place the bounds
 _SEED = 17
 
@@ -61,27 +61,58 @@ def _plan_buckets(df: DataFrame, buckets: int | None) -> tuple[int, DataFrame]:
 
 
 def _assign_buckets(df: DataFrame, src: DataFrame, order_col: str, by: list[str], b: int,
-                    accuracy: int, small) -> DataFrame:
-    """``df`` plus ``__bucket`` in [0, b): range buckets of ``order_col`` per group."""
+                    accuracy: int, small, few_groups: bool = False) -> DataFrame:
+    """``df`` plus ``__bucket`` in [0, b): range buckets of ``order_col`` per group.
+
+    Without groups, or with a small fixed set of groups, only the bucket
+    bounds (groups x ``b`` doubles) come to the driver and each row's bucket
+    is one binary search in the JVM (``Bucketizer``, one column per group),
+    in a single pass.  With many groups the bounds stay a per-group table
+    joined to the rows.
+    """
+    from pyspark.ml.feature import Bucketizer
+
     v = F.col(order_col)
     sketch = F.percentile_approx(order_col, [i / b for i in range(1, b)], accuracy)
-    if by:
-        bounds = src.groupBy(*by).agg(sketch.alias("__bounds"))
-        if b <= 64:  # a sum of comparisons stays inside whole-stage codegen
-            below = sum((F.col("__bounds")[i] <= v).cast("int") for i in range(b - 1))
-        else:  # a lambda is interpreted, but its size does not grow the generated code
-            below = F.size(F.filter("__bounds", lambda x: x <= v))
-        # left join: a group the sample missed is small, and stays in bucket 0
-        return (df.join(small(bounds), by, "left")
-                .withColumn(_BUCKET, F.coalesce(below, F.lit(0))).drop("__bounds"))
-    # only the b-1 bucket bounds come to the driver; the bucket of each row is
-    # a binary search in the JVM (Bucketizer), no join
-    from pyspark.ml.feature import Bucketizer
 
-    got = src.agg(sketch.alias("b")).first()["b"] or []
-    splits = [float("-inf")] + sorted(set(float(x) for x in got)) + [float("inf")]
-    bucketizer = Bucketizer(splits=splits, inputCol=order_col, outputCol=_BUCKET)
-    return bucketizer.transform(df).withColumn(_BUCKET, F.col(_BUCKET).cast("int"))
+    def splits_of(bounds) -> list[float]:
+        return [float("-inf")] + sorted(set(float(x) for x in (bounds or []))) + [float("inf")]
+
+    if not by:
+        got = src.agg(sketch.alias("b")).first()["b"]
+        bucketizer = Bucketizer(splits=splits_of(got), inputCol=order_col, outputCol=_BUCKET)
+        return bucketizer.transform(df).withColumn(_BUCKET, F.col(_BUCKET).cast("int"))
+    if few_groups:
+        per_group = src.groupBy(*by).agg(sketch.alias("b")).collect()
+        if not per_group:
+            return df.withColumn(_BUCKET, F.lit(0))
+        ins, outs, pick = [], [], None
+        tmp = df
+        for i, row in enumerate(per_group):
+            match = None
+            for k in by:
+                cond = F.col(k).eqNullSafe(F.lit(row[k]))
+                match = cond if match is None else (match & cond)
+            # rows of other groups read a dummy 0.0 here; their bucket is not used
+            tmp = tmp.withColumn(f"__in{i}", F.when(match, v).otherwise(F.lit(0.0)))
+            ins.append(f"__in{i}")
+            outs.append(f"__out{i}")
+            pick = F.when(match, F.col(f"__out{i}")) if pick is None \
+                else pick.when(match, F.col(f"__out{i}"))
+        bucketizer = Bucketizer(splitsArray=[splits_of(r["b"]) for r in per_group],
+                                inputCols=ins, outputCols=outs)
+        out = bucketizer.transform(tmp)
+        # a group the sample missed is small, and stays in bucket 0
+        return out.withColumn(_BUCKET, F.coalesce(pick.otherwise(F.lit(0.0)), F.lit(0.0))
+                              .cast("int")).drop(*ins, *outs)
+    bounds = src.groupBy(*by).agg(sketch.alias("__bounds"))
+    if b <= 64:  # a sum of comparisons stays inside whole-stage codegen
+        below = sum((F.col("__bounds")[i] <= v).cast("int") for i in range(b - 1))
+    else:  # a lambda is interpreted, but its size does not grow the generated code
+        below = F.size(F.filter("__bounds", lambda x: x <= v))
+    # left join: a group the sample missed is small, and stays in bucket 0
+    return (df.join(small(bounds), by, "left")
+            .withColumn(_BUCKET, F.coalesce(below, F.lit(0))).drop("__bounds"))
 
 
 def _group_window(by: list[str]):
@@ -112,7 +143,7 @@ def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
         w1 = _group_window(by).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
         return df.select(*df.columns, *[F.coalesce(F.sum(w).over(w1), F.lit(0)).alias(w + "_before")
                                         for w in weight_cols])
-    with_bucket = _assign_buckets(df, src, order_col, by, b, accuracy, small)
+    with_bucket = _assign_buckets(df, src, order_col, by, b, accuracy, small, few_groups)
     keys = by + [_BUCKET]
     totals = with_bucket.groupBy(*keys).agg(*[F.sum(w).alias(w + "__tot") for w in weight_cols])
     # at most ``b`` bucket rows per group: the window over them is small
@@ -185,7 +216,7 @@ def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], by: Sequenc
                                F.sum(c).over(wn).alias("n"))
     else:
         keys = by + [_BUCKET]
-        with_bucket = _assign_buckets(counts, src, "v", by, b, accuracy, small)
+        with_bucket = _assign_buckets(counts, src, "v", by, b, accuracy, small, few_groups)
         totals = with_bucket.groupBy(*keys).agg(F.sum(c).alias("tot"))
         w_off = _group_window(by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
         offs = totals.select(*keys, "tot", F.coalesce(F.sum("tot").over(w_off), F.lit(0)).alias("off"),

@@ -141,3 +141,28 @@ def test_sampled_bounds_path_exact(spark, monkeypatch):
     one = exact_quantiles(df.where("g = 'a'"), "x", probs).first()
     for i, w in enumerate(np.quantile(vals, probs)):
         assert abs(one[f"q_{i}"] - w) < 1e-9
+
+
+def test_few_groups_bucketizer_path_exact(spark, monkeypatch):
+    from fairlend.functions import ordered
+    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 25)
+    monkeypatch.setattr(ordered, "SAMPLE_PER_BUCKET", 5)
+    rnd = random.Random(29)
+    rows = [("a", float(rnd.randint(0, 10**6))) for _ in range(2000)] + \
+           [("b", rnd.random()) for _ in range(1000)] + [("tiny", 3.0), ("tiny", 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    counts = ordered.value_counts_table(df, "x", ["g"])
+    probs = [0.0, 0.33, 0.5, 0.999, 1.0]
+    for buckets in (None, 100):  # sampled bounds (~120 buckets), explicit 100 buckets
+        got = {r["g"]: r for r in ordered.quantiles_from_counts(
+            counts, probs, ["g"], buckets=buckets, few_groups=True).collect()}
+        for g in ("a", "b", "tiny"):
+            vals = np.array([x for k, x in rows if k == g])
+            for i, w in enumerate(np.quantile(vals, probs)):
+                assert abs(got[g][f"q_{i}"] - w) < 1e-9, (buckets, g, i)
+    pre = ordered.prefix_sums(counts, "v", ["c"], by=["g"], few_groups=True).collect()
+    for g in ("a", "b"):
+        acc = 0
+        for r in sorted((r for r in pre if r.g == g), key=lambda r: r.v):
+            assert r.c_before == acc
+            acc += r.c
