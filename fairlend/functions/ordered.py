@@ -6,13 +6,16 @@ row into one partition.  Both break at cluster scale.  The helpers here
 compute exact prefix sums in three distributed steps:
 
 1. collapse the input to one row per distinct order value (partial
-   aggregation first, so a value held by a third of all rows costs one row);
+   aggregation first, so a value held by a third of all rows costs one row),
+   and checkpoint that table;
 2. split the distinct values into range buckets of about a million rows
-   each, with bounds from ``percentile_approx`` (a mergeable sketch; only
-   the bounds are kept, and only they reach the driver), and total each
-   bucket;
+   each.  Bounds come from ``percentile_approx`` over a seeded sample; each
+   row's bucket is a binary search (``Bucketizer``) when there are no groups
+   or a small fixed set of them, else a lookup in a per-group bounds table.
+   Total each bucket;
 3. inside each bucket, a running sum over a window partitioned by bucket,
-   plus the bucket's offset from a window over the bucket totals.
+   plus the bucket's offset from a window over the bucket totals.  For
+   quantiles only the buckets holding the wanted ranks are windowed.
 
 The approximate bounds only decide *where* a value is computed; every count
 is exact.  Buckets hold distinct values, so they stay balanced even when one
@@ -37,6 +40,10 @@ SAMPLE_PER_BUCKET = 1_000     # sampled rows per bucket used to place the bounds
 _SEED = 17
 
 
+def _bucket_count(n: int, rows_per_bucket: int | None = None) -> int:
+    return max(1, min(MAX_BUCKETS, -(-n // (rows_per_bucket or ROWS_PER_BUCKET))))
+
+
 def buckets_for(df: DataFrame, rows_per_bucket: int | None = None) -> int:
     """Bucket count from the size of the (reduced, materialised) table.
 
@@ -44,8 +51,7 @@ def buckets_for(df: DataFrame, rows_per_bucket: int | None = None) -> int:
     about ``rows_per_bucket`` rows, so the window work per task is bounded
     whatever the data size.
     """
-    n = df.count()
-    return max(1, min(MAX_BUCKETS, -(-n // (rows_per_bucket or ROWS_PER_BUCKET))))
+    return _bucket_count(df.count(), rows_per_bucket)
 
 
 def _plan_buckets(df: DataFrame, buckets: int | None) -> tuple[int, DataFrame]:
@@ -53,7 +59,7 @@ def _plan_buckets(df: DataFrame, buckets: int | None) -> tuple[int, DataFrame]:
     if buckets:
         return buckets, df
     n = df.count()
-    b = max(1, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)))
+    b = _bucket_count(n)
     # the bounds only place rows into buckets (every count stays exact), so a
     # seeded sample of ~SAMPLE_PER_BUCKET rows per bucket is enough
     frac = SAMPLE_PER_BUCKET * b / max(n, 1)
