@@ -39,3 +39,22 @@ def test_prepare_then_gap_and_models(spark):
     rate_out = shared_dir(spark, "rates")
     r = jobs.rates(spark, apps, rate_out).first()
     assert r.rmse > 0 and r.rows > 0
+
+
+def test_cli_gaps_job(spark, capsys):
+    apps_path, out = shared_dir(spark, "cli-apps"), shared_dir(spark, "cli-out")
+    sinks.write_parquet(fx.applications(spark, SF001), apps_path)
+    dim_path = shared_dir(spark, "cli-dim")
+    sinks.write_csv(fx.county_dimension(spark, SF001).select(
+        F.col("county_fips").alias("GEOID"), F.col("statefp").alias("STATEFP"),
+        F.col("name").alias("NAME")), dim_path)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        jobs.main(["gaps", "--input", apps_path, "--out", out, "--format", "parquet",
+                   "--counties", dim_path, "--input-gb", "0.001"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert "approval_disparity_gap" in capsys.readouterr().out
+    top = spark.read.option("header", True).csv(f"{out}/top25_disparities")
+    table = spark.read.option("header", True).csv(f"{out}/top25_table")
+    assert top.count() == table.count() > 0
