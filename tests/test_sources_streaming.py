@@ -74,3 +74,14 @@ def test_stream_equals_batch(spark):
     batch = gaps.county_gaps(fx.applications(spark, SF001), min_n=0)
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
+
+
+def test_csv_sink_flattens_vectors(spark, tmp_out):
+    import json
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(1, Vectors.dense([0.25, 0.75])), (2, Vectors.sparse(3, [1], [2.0]))],
+                               ["id", "probability"])
+    sinks.write_csv(df, tmp_out)
+    back = {r.id: json.loads(r.probability) for r in
+            spark.read.option("header", True).schema("id int, probability string").csv(tmp_out).collect()}
+    assert back == {1: [0.25, 0.75], 2: [0.0, 2.0, 0.0]}
