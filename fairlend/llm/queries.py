@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fairlend.llm.bpe import bpe_digests
+from fairlend.llm.token_store import token_file_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document with the end id 2, written as Huffman-coded blocks and read back."""
+    return token_file_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE: dict[str, str] = {}
