@@ -11,6 +11,7 @@ so a piece of millions of bytes takes time in proportion to its size.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -22,88 +23,88 @@ from pyspark.sql import DataFrame, functions as F
 from fairlend.llm.pretokens import pieces
 from fairlend.llm.text import Memo, chunks, strings
 
-#: Bits of a bitmap word; two levels hold WIDTH * WIDTH ranks.
-WIDTH = 256
 #: Pieces a worker remembers per generation.
 MEMO = 400_000
+#: A bitmap word has 2 ** SHIFT bits; two levels hold 4 ** SHIFT ranks.
+SHIFT = 8
 
 
 class RankQueue:
-    """Positions by rank: lowest rank first, then lowest position."""
+    """Positions by rank: lowest rank first, then lowest position.  Empty again after each piece."""
 
     def __init__(self, n_ranks: int):
-        self.width = WIDTH
-        while self.width * self.width < n_ranks:
-            self.width *= 2
-        self.top, self.words, self.buckets = 0, {}, {}
+        self.shift = SHIFT
+        while 1 << 2 * self.shift < n_ranks:
+            self.shift += 1
+        self.mask = (1 << self.shift) - 1
+        self.bit = [1 << i for i in range(self.mask + 1)]
+        self.top, self.words = 0, [0] * (self.mask + 1)
+        self.buckets: list[list[int]] = [[] for _ in range(n_ranks)]
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
+        bucket = self.buckets[rank]
         if bucket:
             heappush(bucket, position)
             return
-        self.buckets[rank] = [position]
-        word, bit = divmod(rank, self.width)
-        self.words[word] = self.words.get(word, 0) | 1 << bit
-        self.top |= 1 << word
+        bucket.append(position)
+        word = rank >> self.shift
+        self.words[word] |= self.bit[rank & self.mask]
+        self.top |= self.bit[word]
 
     def pop(self) -> tuple[int, int] | None:
-        if not self.top:
+        top = self.top
+        if not top:
             return None
-        word = (self.top & -self.top).bit_length() - 1
+        word = (top & -top).bit_length() - 1
         bits = self.words[word]
         low = bits & -bits
-        rank = word * self.width + low.bit_length() - 1
+        rank = (word << self.shift) + low.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            bits ^= low
-            self.words[word] = bits
-            if not bits:
-                self.top ^= 1 << word
-        return rank, position
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        bits ^= low
+        self.words[word] = bits
+        if not bits:
+            self.top = top ^ self.bit[word]
+        return rank, bucket.pop()
 
 
-def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+def encode_piece(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     """Ids of one piece: the piece itself if it is a token, else merges by rank, leftmost first."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    pair = [-1] * n  # rank of the pair that begins here, -1: none
-    queue, get = RankQueue(len(ranks)), ranks.get
-    for i in range(n - 1):
-        rank = get(piece[i:i + 2])
-        if rank is not None:
-            pair[i] = rank
-            queue.push(rank, i)
-    while (found := queue.pop()) is not None:
+    n, get, push, pop = len(piece), ranks.get, queue.push, queue.pop
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    pair = [get(piece[i:i + 2], -1) for i in range(n - 1)]  # rank of the pair that begins here, -1: none
+    pair.append(-1)
+    for i, rank in enumerate(pair):
+        if rank >= 0:
+            push(rank, i)
+    while (found := pop()) is not None:
         rank, i = found
         if pair[i] != rank:
             continue  # stale
         j = after[i]
-        k = after[j]
-        after[i] = k
+        k = after[i] = after[j]
         pair[j] = -1
         if k < n:
             before[k] = i
-            rank = get(piece[i:after[k]])
-            pair[i] = -1 if rank is None else rank
-            if rank is not None:
-                queue.push(rank, i)
+            rank = pair[i] = get(piece[i:after[k]], -1)
+            if rank >= 0:
+                push(rank, i)
         else:
             pair[i] = -1
         h = before[i]
         if h >= 0:
-            rank = get(piece[h:k])
-            pair[h] = -1 if rank is None else rank
-            if rank is not None:
-                queue.push(rank, h)
+            rank = pair[h] = get(piece[h:k], -1)
+            if rank >= 0:
+                push(rank, h)
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i:after[i]]])
-        i = after[i]
+        k = after[i]
+        out.append(ranks[piece[i:k]])
+        i = k
     return out
 
 
@@ -117,7 +118,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 @lru_cache(maxsize=4)
 def _memo(path: str) -> Memo:
     ranks = load_ranks(path)
-    return Memo(lambda missing: [np.array(encode_piece(x.encode("utf-8"), ranks), "<u4").tobytes()
+    queue = RankQueue(max(ranks.values()) + 1)
+    return Memo(lambda missing: [array("I", encode_piece(x.encode("utf-8"), ranks, queue)).tobytes()
                                  for x in missing], MEMO)
 
 

@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlend.llm.bpe import bpe_digests
 from fairlend.llm.source_mixing import ORACLE as MIX_SQL, mix
 from fairlend.llm.token_store import token_file_report
+from fairlend.llm.topk_search import ORACLE as TOP_SQL, top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows of embeddings for each row whose vec_id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return top_k(rows.where("vec_id % 50 = 0"), rows, k=5)
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents mixed to source weights 5, 2, 1, at most three epochs of a source."""
     return mix(table(spark, sf_dir, "documents"))
@@ -30,9 +37,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op2_source_mixing": op2_source_mixing,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_token_files": op10_token_files,
 }
 
-ORACLE: dict[str, str] = {"op2_source_mixing": MIX_SQL}
+ORACLE: dict[str, str] = {"op1_topk_search": TOP_SQL, "op2_source_mixing": MIX_SQL}

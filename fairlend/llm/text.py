@@ -69,7 +69,7 @@ class Memo(dict):
             self.old = dict(self)
             self.clear()
         missing = []
-        for key in set(keys).difference(self):
+        for key in [k for k in set(keys) if k not in self]:
             value = self.old.get(key)
             if value is None:
                 missing.append(key)

@@ -8,10 +8,11 @@ import tiktoken
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import types as T
 
-from fairlend.llm.bpe import bpe_digests, decode_bpe, encode_bpe, encode_piece, load_ranks
+from fairlend.llm.bpe import RankQueue, bpe_digests, decode_bpe, encode_bpe, encode_piece, load_ranks
 from fairlend.llm.pretokens import pieces
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+QUEUE = RankQueue(60_000)
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 
 
@@ -35,14 +36,14 @@ def test_every_character_class_is_the_patterns():
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="abcde aaa'sxyzéö漢", max_size=80))
 def test_ids_are_the_librarys(text):
-    ranks = load_ranks(PATH)
-    assert [i for p in pieces(text) for i in encode_piece(p.encode(), ranks)] == library().encode_ordinary(text)
+    ranks, queue = load_ranks(PATH), QUEUE
+    assert [i for p in pieces(text) for i in encode_piece(p.encode(), ranks, queue)] == library().encode_ordinary(text)
 
 
 def test_long_pieces():
-    ranks = load_ranks(PATH)
+    ranks, queue = load_ranks(PATH), QUEUE
     for text in ("a" * 30_000, "ab" * 9_000, "thequickbrownfox" * 2_000, "=" * 5_001):
-        assert encode_piece(text.encode(), ranks) == library().encode_ordinary(text)
+        assert encode_piece(text.encode(), ranks, queue) == library().encode_ordinary(text)
 
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
