@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlend.llm.bpe import bpe_digests
+from fairlend.llm.embedding_dedup import near_duplicates
 from fairlend.llm.source_mixing import ORACLE as MIX_SQL, mix
 from fairlend.llm.token_store import token_file_report
 from fairlend.llm.topk_search import ORACLE as TOP_SQL, top_k
@@ -26,6 +27,12 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.93 and their components among embeddings of equal label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    return near_duplicates(rows, least=0.93)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and their decoding, as digests."""
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -39,6 +46,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_source_mixing": op2_source_mixing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_token_files": op10_token_files,
 }
