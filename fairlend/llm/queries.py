@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fairlend.llm.bpe import bpe_digests
 from fairlend.llm.embedding_dedup import near_duplicates
 from fairlend.llm.source_mixing import ORACLE as MIX_SQL, mix
+from fairlend.llm.substring_dedup import substring_report
 from fairlend.llm.token_store import token_file_report
+from fairlend.llm.toxicity import toxicity_report
 from fairlend.llm.topk_search import ORACLE as TOP_SQL, top_k
 
 
@@ -27,6 +29,16 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 35-word windows that repeat anywhere."""
+    return substring_report(table(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled documents that are not held out."""
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.93 and their components among embeddings of equal label."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
@@ -46,6 +58,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_source_mixing": op2_source_mixing,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_toxicity": op4_toxicity,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_token_files": op10_token_files,
