@@ -9,6 +9,7 @@ from fairlend.llm.bpe import bpe_digests
 from fairlend.llm.embedding_dedup import near_duplicates
 from fairlend.llm.source_mixing import ORACLE as MIX_SQL, mix
 from fairlend.llm.substring_dedup import substring_report
+from fairlend.llm.suffix_dedup import suffix_report
 from fairlend.llm.token_store import token_file_report
 from fairlend.llm.toxicity import toxicity_report
 from fairlend.llm.topk_search import ORACLE as TOP_SQL, top_k
@@ -50,6 +51,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that repeat anywhere."""
+    return suffix_report(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document with the end id 2, written as Huffman-coded blocks and read back."""
     return token_file_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -62,6 +68,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_files": op10_token_files,
 }
 
