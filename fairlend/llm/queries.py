@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlend.llm.bpe import bpe_digests
 from fairlend.llm.embedding_dedup import near_duplicates
+from fairlend.llm.jaccard_join import jaccard_groups
 from fairlend.llm.source_mixing import ORACLE as MIX_SQL, mix
 from fairlend.llm.substring_dedup import substring_report
 from fairlend.llm.suffix_dedup import suffix_report
@@ -46,6 +47,11 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(rows, least=0.93)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents grouped by links of 85 percent Jaccard similarity of 4-word shingles."""
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and their decoding, as digests."""
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -67,6 +73,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_files": op10_token_files,
