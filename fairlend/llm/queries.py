@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fairlend.llm.bpe import bpe_digests
 from fairlend.llm.embedding_dedup import near_duplicates
 from fairlend.llm.jaccard_join import jaccard_groups
+from fairlend.llm.quality import resample
 from fairlend.llm.source_mixing import ORACLE as MIX_SQL, mix
 from fairlend.llm.substring_dedup import substring_report
 from fairlend.llm.suffix_dedup import suffix_report
@@ -41,6 +42,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of every document towards labelled quality text, and the Gumbel top-k sample."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.93 and their components among embeddings of equal label."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
@@ -72,6 +78,7 @@ QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_quality_resampling": op5_quality_resampling,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_byte_bpe": op8_byte_bpe,
