@@ -19,3 +19,16 @@ def materialize(df: DataFrame) -> DataFrame:
 
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back.
+
+    Like :func:`materialize`, and later joins know the table's real size, from
+    which Spark decides on a broadcast when it plans them.
+    """
+    from fairlend.plans.session import shared_dir
+
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

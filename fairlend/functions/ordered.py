@@ -3,23 +3,21 @@
 Spark's exact ``percentile`` merges one value→count map per group in a
 single task, and a window with ``orderBy`` but no ``partitionBy`` moves every
 row into one partition.  Both break at cluster scale.  The helpers here
-compute exact prefix sums in three distributed steps:
+compute exact prefix sums in three distributed steps, the same at every size:
 
 1. collapse the input to one row per distinct order value (partial
-   aggregation first, so a value held by a third of all rows costs one row),
-   and checkpoint that table;
-2. split the distinct values into range buckets of about a million rows
-   each.  Bounds come from ``percentile_approx`` over a seeded sample; each
-   row's bucket is a binary search (``Bucketizer``) when there are no groups
-   or a small fixed set of them, else a lookup in a per-group bounds table.
-   Total each bucket;
-3. inside each bucket, a running sum over a window partitioned by bucket,
-   plus the bucket's offset from a window over the bucket totals.  For
-   quantiles only the buckets holding the wanted ranks are windowed.
-
-The approximate bounds only decide *where* a value is computed; every count
-is exact.  Buckets hold distinct values, so they stay balanced even when one
-value dominates the rows.
+   aggregation first, so a value held by a third of all rows costs one row);
+2. deal those rows to ranges with Spark's own range partitioning, which
+   samples the bounds; the partition number is the range's number.  There are
+   as many ranges as shuffle partitions (``size_shuffles`` sets those from the
+   input's size), ``MIN_RANGES`` at least;
+3. inside each range, a running sum over a window partitioned by range, plus
+   the range's offset from a window over the range totals.  For quantiles only
+   the ranges that hold the wanted ranks are windowed.
+
+The sampled bounds only decide *where* a value is computed; every count is
+exact.  Values are ordered as Spark orders doubles: -inf first, then finite
+values, +inf, and NaN last.
 """
 
 from __future__ import annotations
@@ -31,142 +29,61 @@ from pyspark.sql import functions as F
 
 from fairlend.functions.lineage import materialize
 
-_BUCKET = "__bucket"
+_RANGE = "__range"
+MIN_RANGES = 8
 
 
-ROWS_PER_BUCKET = 1_000_000   # distinct rows one window task sorts and scans
-MAX_BUCKETS = 65_536          # bounds/offsets stay a small broadcast (x groups)
-SAMPLE_PER_BUCKET = 1_000     # sampled rows per bucket used to place the bounds
-_SEED = 17
+def range_count(df: DataFrame) -> int:
+    """Ranges for a table: the session's shuffle width, ``MIN_RANGES`` at least; there is no maximum."""
+    return max(MIN_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _bucket_count(n: int, rows_per_bucket: int | None = None) -> int:
-    return max(1, min(MAX_BUCKETS, -(-n // (rows_per_bucket or ROWS_PER_BUCKET))))
+def _ranged(df: DataFrame, keys: Sequence[str], buckets: int | None) -> DataFrame:
+    """``df`` dealt to ranges of ``keys``, each row with its range's number."""
+    return (df.repartitionByRange(buckets or range_count(df), *keys)
+            .withColumn(_RANGE, F.spark_partition_id()))
 
 
-def buckets_for(df: DataFrame, rows_per_bucket: int | None = None) -> int:
-    """Bucket count from the size of the (reduced, materialised) table.
+def _offsets(ranged: DataFrame, by: list[str], weights: Sequence[str]) -> DataFrame:
+    """Per group and range: each weight's total, what stands before the range, and the group's total.
 
-    One count job over the distinct-value table; each bucket then holds
-    about ``rows_per_bucket`` rows, so the window work per task is bounded
-    whatever the data size.
+    One row per group and range that holds rows of it.
     """
-    return _bucket_count(df.count(), rows_per_bucket)
-
-
-def _plan_buckets(df: DataFrame, buckets: int | None) -> tuple[int, DataFrame]:
-    """Bucket count (≈ROWS_PER_BUCKET rows each) and the rows used to place bounds."""
-    if buckets:
-        return buckets, df
-    n = df.count()
-    b = _bucket_count(n)
-    # the bounds only place rows into buckets (every count stays exact), so a
-    # seeded sample of ~SAMPLE_PER_BUCKET rows per bucket is enough
-    frac = SAMPLE_PER_BUCKET * b / max(n, 1)
-    return b, (df if frac >= 1.0 else df.sample(False, frac, seed=_SEED))
-
-
-def _assign_buckets(df: DataFrame, src: DataFrame, order_col: str, by: list[str], b: int,
-                    accuracy: int, small, few_groups: bool = False) -> DataFrame:
-    """``df`` plus ``__bucket`` in [0, b): range buckets of ``order_col`` per group.
-
-    Without groups, or with a small fixed set of groups, only the bucket
-    bounds (groups x ``b`` doubles) come to the driver and each row's bucket
-    is one binary search in the JVM (``Bucketizer``, one column per group),
-    in a single pass.  With many groups the bounds stay a per-group table
-    joined to the rows.
-    """
-    from pyspark.ml.feature import Bucketizer
-
-    v = F.col(order_col)
-    sketch = F.percentile_approx(order_col, [i / b for i in range(1, b)], accuracy)
-
-    def splits_of(bounds) -> list[float]:
-        return [float("-inf")] + sorted(set(float(x) for x in (bounds or []))) + [float("inf")]
-
-    if not by:
-        got = src.agg(sketch.alias("b")).first()["b"]
-        bucketizer = Bucketizer(splits=splits_of(got), inputCol=order_col, outputCol=_BUCKET)
-        return bucketizer.transform(df).withColumn(_BUCKET, F.col(_BUCKET).cast("int"))
-    if few_groups:
-        per_group = src.groupBy(*by).agg(sketch.alias("b")).collect()
-        if not per_group:
-            return df.withColumn(_BUCKET, F.lit(0))
-        ins, outs, pick = [], [], None
-        tmp = df
-        for i, row in enumerate(per_group):
-            match = None
-            for k in by:
-                cond = F.col(k).eqNullSafe(F.lit(row[k]))
-                match = cond if match is None else (match & cond)
-            # rows of other groups read a dummy 0.0 here; their bucket is not used
-            tmp = tmp.withColumn(f"__in{i}", F.when(match, v).otherwise(F.lit(0.0)))
-            ins.append(f"__in{i}")
-            outs.append(f"__out{i}")
-            pick = F.when(match, F.col(f"__out{i}")) if pick is None \
-                else pick.when(match, F.col(f"__out{i}"))
-        bucketizer = Bucketizer(splitsArray=[splits_of(r["b"]) for r in per_group],
-                                inputCols=ins, outputCols=outs)
-        out = bucketizer.transform(tmp)
-        # a group the sample missed is small, and stays in bucket 0
-        return out.withColumn(_BUCKET, F.coalesce(pick.otherwise(F.lit(0.0)), F.lit(0.0))
-                              .cast("int")).drop(*ins, *outs)
-    bounds = src.groupBy(*by).agg(sketch.alias("__bounds"))
-    if b <= 64:  # a sum of comparisons stays inside whole-stage codegen
-        below = sum((F.col("__bounds")[i] <= v).cast("int") for i in range(b - 1))
-    else:  # a lambda is interpreted, but its size does not grow the generated code
-        below = F.size(F.filter("__bounds", lambda x: x <= v))
-    # left join: a group the sample missed is small, and stays in bucket 0
-    return (df.join(small(bounds), by, "left")
-            .withColumn(_BUCKET, F.coalesce(below, F.lit(0))).drop("__bounds"))
-
-
-def _group_window(by: list[str]):
-    """Window spec over each ``by`` group (the whole table when ``by`` is empty)."""
-    return Window.partitionBy(*by)
+    totals = ranged.groupBy(*by, _RANGE).agg(*[F.sum(w).alias(f"{w}__in") for w in weights])
+    before = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    return totals.select(
+        *by, _RANGE, *[f"{w}__in" for w in weights],
+        *[F.coalesce(F.sum(f"{w}__in").over(before), F.lit(0)).alias(f"{w}__off") for w in weights],
+        *[F.sum(f"{w}__in").over(whole).alias(f"{w}__all") for w in weights])
+
+
+def _join(rows: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    """Join on the groups (nulls meet) and the range; Spark broadcasts ``table`` if its real size allows."""
+    renamed = table.withColumnsRenamed({k: f"__r_{k}" for k in [*by, _RANGE]})
+    on = F.col(_RANGE) == F.col(f"__r_{_RANGE}")
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return rows.join(renamed, on).drop(*[f"__r_{k}" for k in [*by, _RANGE]])
 
 
 def prefix_sums(df: DataFrame, order_col: str, weight_cols: Sequence[str],
-                by: Sequence[str] = (), buckets: int | None = None,
-                accuracy: int = 10_000, few_groups: bool = False) -> DataFrame:
+                by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Add ``<w>_before`` = sum of ``w`` over rows of the same ``by`` group
     with a smaller ``order_col``.
 
     ``df`` must have one row per distinct (``by``, ``order_col``), nulls
-    excluded; ``weight_cols`` are non-negative counts or sums.  ``buckets``
-    defaults to about one per ROWS_PER_BUCKET rows.
-    ``few_groups=True`` declares that the ``by`` groups are a small fixed
-    set (e.g. a list of measures): the per-group bounds and per-bucket
-    offsets (groups × ``buckets`` rows) are then broadcast instead of
-    shuffled.  Without groups they are always broadcast (``buckets`` rows).
+    excluded; ``weight_cols`` are non-negative counts or sums.  The dealt rows
+    are checkpointed, since totals and running sums must see the same ranges.
     """
     by = list(by)
-    b, src = _plan_buckets(df, buckets)
-    small = (lambda t: F.broadcast(t)) if (few_groups or not by) else (lambda t: t)
-    if b == 1:
-        # at most ROWS_PER_BUCKET rows in all: one running-sum window, no
-        # bounds, no offsets (a single ordered partition of a bounded table)
-        w1 = _group_window(by).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select(*df.columns, *[F.coalesce(F.sum(w).over(w1), F.lit(0)).alias(w + "_before")
-                                        for w in weight_cols])
-    with_bucket = _assign_buckets(df, src, order_col, by, b, accuracy, small, few_groups)
-    keys = by + [_BUCKET]
-    totals = with_bucket.groupBy(*keys).agg(*[F.sum(w).alias(w + "__tot") for w in weight_cols])
-    # at most ``b`` bucket rows per group: the window over them is small
-    w_all = _group_window(by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        *[F.coalesce(F.sum(w + "__tot").over(w_all), F.lit(0)).alias(w + "__off") for w in weight_cols],
-    )
-    w_in = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    running = with_bucket.select(
-        "*", *[F.coalesce(F.sum(w).over(w_in), F.lit(0)).alias(w + "__in") for w in weight_cols]
-    )
-    out = running.join(small(offsets), keys)
-    return out.select(
-        *df.columns,
-        *[(F.col(w + "__off") + F.col(w + "__in")).alias(w + "_before") for w in weight_cols],
-    )
+    ranged = materialize(_ranged(df, [*by, order_col], buckets))
+    within = Window.partitionBy(*by, _RANGE).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    running = ranged.select("*", *[F.coalesce(F.sum(w).over(within), F.lit(0)).alias(f"{w}__run")
+                                   for w in weight_cols])
+    out = _join(running, _offsets(ranged, by, weight_cols), by)
+    return out.select(*df.columns, *[(F.col(f"{w}__off") + F.col(f"{w}__run")).alias(f"{w}_before")
+                                     for w in weight_cols])
 
 
 def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
@@ -174,39 +91,34 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     """Exact linear-interpolated quantiles of ``value`` per ``by`` group.
 
     Same definition as SQL ``percentile_cont``: position ``h = (n-1)p`` in
-    the sorted non-null values, ``v[floor h] + (h - floor h)(v[ceil h] - v[floor h])``.
-    Nulls and NaN are ignored.  Output: ``by`` columns, ``n``, ``q_0..q_k``.
+    the sorted non-null values, ``v[floor h] + (h - floor h)(v[ceil h] - v[floor h])``,
+    and ``v[floor h]`` itself where both neighbours are equal, so an infinite
+    value stays what it is.  Nulls and NaN are ignored.  Output: ``by``
+    columns, ``n``, ``q_0..q_k``.
     """
-    counts = value_counts_table(df, value, by)
-    return quantiles_from_counts(counts, probs, by, buckets)
+    return quantiles_from_counts(value_counts_table(df, value, by, buckets), probs, by)
 
 
-def value_counts_table(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., v, c)``: one row per distinct non-null value, materialised.
+def value_counts_table(df: DataFrame, value: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """``(by..., v, c, range)``: one row per distinct non-null value, dealt to ranges and checkpointed.
 
     The only pass over the input; partial aggregation first, so a value
     that fills a third of the rows costs one row per task before the
-    shuffle.  Checkpointed, because every later step reads it.
+    shuffle.
     """
     by = list(by)
     x = F.col(value).cast("double")
     vals = df.select(*by, x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    return materialize(vals.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c")))
+    return materialize(_ranged(vals.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c")), [*by, "v"], buckets))
 
 
-def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = (),
-                          buckets: int | None = None, few_groups: bool = False,
-                          accuracy: int = 10_000) -> DataFrame:
-    """Exact quantiles from a ``(by..., v, c)`` distinct-value table.
+def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles from a table of :func:`value_counts_table`.
 
-    With several buckets, the per-bucket totals and offsets (a small table)
-    show which buckets hold the ranks ``floor/ceil((n-1)p)``; the running-sum
-    window then runs inside those buckets only (at most two per
-    probability), not over every distinct value.
+    Range totals show which ranges hold the ranks ``floor/ceil((n-1)p)``; the
+    running-sum window runs inside those only (at most two per probability).
     """
     by = list(by)
-    b, src = _plan_buckets(counts, buckets)
-    small = (lambda t: F.broadcast(t)) if (few_groups or not by) else (lambda t: t)
     c, v = F.col("c"), F.col("v")
 
     def h(p):
@@ -215,30 +127,16 @@ def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], by: Sequenc
     def covers(lo_col, size_col, r):
         return (lo_col <= r) & (r < lo_col + size_col)
 
-    if b == 1:
-        w1 = _group_window(by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-        wn = _group_window(by)
-        ranked = counts.select(*by, "v", "c", F.coalesce(F.sum(c).over(w1), F.lit(0)).alias("c_before"),
-                               F.sum(c).over(wn).alias("n"))
-    else:
-        keys = by + [_BUCKET]
-        with_bucket = _assign_buckets(counts, src, "v", by, b, accuracy, small, few_groups)
-        totals = with_bucket.groupBy(*keys).agg(F.sum(c).alias("tot"))
-        w_off = _group_window(by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        offs = totals.select(*keys, "tot", F.coalesce(F.sum("tot").over(w_off), F.lit(0)).alias("off"),
-                             F.sum("tot").over(_group_window(by)).alias("n"))
-        wanted = None
-        for p in probs:
-            for r in (F.floor(h(p)), F.ceil(h(p))):
-                cond = covers(F.col("off"), F.col("tot"), r)
-                wanted = cond if wanted is None else (wanted | cond)
-        # at most 2 x len(probs) buckets per group
-        targets = offs.where(wanted).select(*keys, "off", "n")
-        rows = with_bucket.join(small(targets), keys)
-        w_in = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = rows.select(*by, "v", "c", "n",
-                             (F.col("off") + F.coalesce(F.sum(c).over(w_in), F.lit(0))).alias("c_before"))
-
+    offsets = _offsets(counts, by, ["c"]).withColumnsRenamed({"c__off": "off", "c__in": "tot", "c__all": "n"})
+    wanted = None
+    for p in probs:
+        for r in (F.floor(h(p)), F.ceil(h(p))):
+            cond = covers(F.col("off"), F.col("tot"), r)
+            wanted = cond if wanted is None else (wanted | cond)
+    rows = _join(counts, offsets.where(wanted).drop("tot"), by)
+    within = Window.partitionBy(*by, _RANGE).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.select(*by, "v", "c", "n",
+                         (F.col("off") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias("c_before"))
     aggs: list[Column] = []
     for i, p in enumerate(probs):
         for tag, r in (("lo", F.floor(h(p))), ("hi", F.ceil(h(p)))):
@@ -246,8 +144,8 @@ def quantiles_from_counts(counts: DataFrame, probs: Sequence[float], by: Sequenc
     picked = ranked.groupBy(*by, "n").agg(*aggs)
     out = []
     for i, p in enumerate(probs):
-        lo_v, hi_v = F.col(f"lo_{i}"), F.col(f"hi_{i}")
-        out.append((lo_v + (h(p) - F.floor(h(p))) * (hi_v - lo_v)).alias(f"q_{i}"))
+        lo_v, hi_v, part = F.col(f"lo_{i}"), F.col(f"hi_{i}"), h(p) - F.floor(h(p))
+        out.append(F.when((lo_v == hi_v) | (part == 0), lo_v).otherwise(lo_v + part * (hi_v - lo_v)).alias(f"q_{i}"))
     return picked.select(*by, "n", *out)
 
 
@@ -257,26 +155,37 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
     return grouped_quantiles(df, column, probs, (), buckets)
 
 
-def rank_sum_auc(df: DataFrame, label: str, score: str,
-                 buckets: int | None = None) -> DataFrame:
+def rank_sum_auc(df: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve by the rank-sum (Mann-Whitney) identity.
 
     Tied scores get averaged ranks, i.e. each positive scores 1 for every
-    lower-scored negative and 1/2 for every equally scored one.  One row,
-    column ``auc``; null if one class is absent.
+    lower-scored negative and 1/2 for every equally scored one; NaN is one
+    score above all others.  One row, column ``auc``; null if one class is
+    absent.
     """
-    per_score = materialize(
-        df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("s"))
-        .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
-             F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg")))
+    per_score = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+                 .groupBy(F.col(score).cast("double").alias("s"))
+                 .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
+                      F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg")))
     return auc_from_score_counts(per_score, buckets)
 
 
-def auc_from_score_counts(per_score: DataFrame, buckets: int | None = None) -> DataFrame:
-    """AUC from a ``(s, pos, neg)`` table with one row per distinct score."""
-    ranked = prefix_sums(per_score, "s", ["neg"], buckets=buckets)
-    return ranked.agg(
-        (F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") * 0.5))
-         / F.nullif(F.sum("pos").cast("double") * F.sum("neg").cast("double"), F.lit(0.0))
-         ).alias("auc"))
+def auc_from_score_counts(per_score: DataFrame, buckets: int | None = None,
+                          extra: Sequence[str] = ()) -> DataFrame:
+    """AUC from a ``(s, pos, neg)`` table with one row per distinct score, and the sums of ``extra``.
+
+    One plan without a checkpoint: each range gives a row with its positives,
+    its negatives and its inner pairs, and a window over those rows, one per
+    range, adds the pairs between ranges.
+    """
+    ranged = _ranged(per_score, ["s"], buckets)
+    within = Window.partitionBy(_RANGE).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("neg").over(within), F.lit(0))
+    inner = ranged.withColumn("__pairs", F.col("pos").cast("double") * (before + F.col("neg") * 0.5))
+    rows = inner.groupBy(_RANGE).agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "__pairs", *extra)])
+    over = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    off = F.coalesce(F.sum("neg").over(over), F.lit(0))
+    pairs = rows.withColumn("__pairs", F.col("__pairs") + F.col("pos").cast("double") * off)
+    return pairs.agg(
+        (F.sum("__pairs") / F.nullif(F.sum("pos").cast("double") * F.sum("neg").cast("double"), F.lit(0.0))).alias("auc"),
+        *[F.sum(c).alias(c) for c in extra])

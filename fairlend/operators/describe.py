@@ -42,7 +42,7 @@ def loan_type_approval(apps: DataFrame) -> DataFrame:
 
 
 def interest_by_race(apps: DataFrame, exclude: Sequence[str] = (codes.RACE_SEVEN_DEFAULT,),
-                     digits: int | None = 6) -> DataFrame:
+                     digits: int | None = None) -> DataFrame:
     """Mean rate and loan count per race group over rows with a rate.
 
     The catch-all group is left out by default, as in the studied report.
@@ -52,15 +52,16 @@ def interest_by_race(apps: DataFrame, exclude: Sequence[str] = (codes.RACE_SEVEN
         g = g.where(~F.col("race_group").isin(list(exclude)))
     avg = F.avg("interest_rate")
     return (g.groupBy("race_group")
-            .agg((F.round(avg, digits) if digits is not None else avg).alias("avg_interest_rate"),
-                 F.count(F.lit(1)).alias("loans"))
-            .orderBy(F.desc("avg_interest_rate"), F.asc("race_group")))
+            .agg(avg.alias("__avg"), F.count(F.lit(1)).alias("loans"))
+            .orderBy(F.desc("__avg"), F.asc("race_group"))
+            .select("race_group", (F.round("__avg", digits) if digits is not None else F.col("__avg"))
+                    .alias("avg_interest_rate"), "loans"))
 
 
 SUMMARY_MEASURES = ["loan_amount", "income", "interest_rate", "loan_to_income"]
 
 
-def summary_statistics(apps: DataFrame, digits: int | None = 6) -> DataFrame:
+def summary_statistics(apps: DataFrame, digits: int | None = None) -> DataFrame:
     """Count, mean, stddev, min, exact quartiles, max of the four measures.
 
     The ratio uses the null variant (no ratio without positive income).

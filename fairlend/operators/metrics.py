@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlend.functions.lineage import materialize
 from fairlend.functions.ordered import auc_from_score_counts
 
 
@@ -18,18 +17,20 @@ def binary_metrics(df: DataFrame, label: str, score: str, prediction: str) -> Da
     """One row (accuracy, auc) from a single pass over ``df``.
 
     The input is reduced once to per-score counts (positives, negatives,
-    correct predictions), checkpointed; accuracy and the rank-sum AUC both
-    read that table.
+    correct predictions); accuracy and the rank-sum AUC come from one plan
+    over them, without a checkpoint.  Rows without a score count for the
+    accuracy only.
     """
-    y, p = F.col(label), F.col(prediction)
-    per = materialize(df.groupBy(F.col(score).cast("double").alias("s")).agg(
+    y, p, s = F.col(label), F.col(prediction), F.col(score).cast("double")
+    scored = F.col("s").isNotNull()
+    per = df.groupBy(s.alias("s")).agg(
         F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(y.isNotNull() & (y != 1), 1).otherwise(0)).alias("neg"),
         F.sum(F.when(y == p, 1).otherwise(0)).alias("correct"),
-        F.count(y == p).alias("compared")))
-    acc = per.agg((F.sum("correct") / F.sum("compared")).alias("accuracy"))
-    auc = auc_from_score_counts(per.where(F.col("s").isNotNull()).select("s", "pos", "neg"))
-    return acc.select("accuracy", auc.select("auc").scalar().alias("auc"))
+        F.count(y == p).alias("compared"))
+    per = per.withColumns({c: F.when(scored, F.col(c)).otherwise(0) for c in ("pos", "neg")})
+    both = auc_from_score_counts(per, extra=["correct", "compared"])
+    return both.select((F.col("correct") / F.nullif(F.col("compared"), F.lit(0))).alias("accuracy"), "auc")
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:

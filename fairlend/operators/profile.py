@@ -50,7 +50,7 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
             .orderBy(F.desc("n"), F.asc(col)))
 
 
-def describe_column(df: DataFrame, col: str, digits: int | None = 6) -> DataFrame:
+def describe_column(df: DataFrame, col: str, digits: int | None = None) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles, max of one column.
 
     Long form ``(statistic, value)``, labelled as a dataframe ``describe``
@@ -64,12 +64,13 @@ def _round(c, digits):
     return F.round(c, digits) if digits is not None else c
 
 
-def summary_long(df: DataFrame, measures: Sequence[str], digits: int | None = 6,
+def summary_long(df: DataFrame, measures: Sequence[str], digits: int | None = None,
                  std_label: str = "stddev") -> DataFrame:
     """``summary()``-like table in long form ``(measure, statistic, value)``.
 
     One pass over the input: all measures are stacked into ``(measure, v)``
-    and reduced to a checkpointed distinct-value table ``(measure, v, c)``.
+    and reduced to a checkpointed distinct-value table ``(measure, v, c)``,
+    dealt to ranges of values.
     Count, mean, min, max, a two-pass sample standard deviation and the
     exact quartiles are all computed from that table, never from the input
     again.
@@ -88,7 +89,7 @@ def summary_long(df: DataFrame, measures: Sequence[str], digits: int | None = 6,
         "measure", F.col("n").cast("double").alias("count"), "mean",
         F.when(F.col("n") > 1, F.sqrt(F.col("ss") / (F.col("n") - 1))).alias("stddev"),
         "min", "max")
-    q = quantiles_from_counts(counts, QUARTILES, by=["measure"], few_groups=True).drop("n")
+    q = quantiles_from_counts(counts, QUARTILES, by=["measure"]).drop("n")
     wide = F.broadcast(basic).join(q, "measure", "right")
     names = [("count", "count"), ("mean", "mean"), (std_label, "stddev"), ("min", "min"),
              ("25%", "q_0"), ("50%", "q_1"), ("75%", "q_2"), ("max", "max")]

@@ -18,6 +18,7 @@ from fairlend.functions import schema as S
 from fairlend.operators import clean, describe, gaps, metrics, models, profile
 from fairlend.operators import features as feats
 from fairlend.plans import fixture as fx
+from fairlend.functions.lineage import stored
 from fairlend.plans.session import shared_dir
 from fairlend.sources import readers, sinks
 
@@ -246,13 +247,13 @@ def value_counts(spark, sf_dir):
 @register("describe_column")
 def describe_column(spark, sf_dir):
     """Describe the coerced interest rate."""
-    return profile.describe_column(fx.applications(spark, sf_dir), "interest_rate")
+    return profile.describe_column(fx.applications(spark, sf_dir), "interest_rate", digits=6)
 
 
 @register("describe_income")
 def describe_income(spark, sf_dir):
     """Describe the coerced income (junk coerced to null, many ties)."""
-    return profile.describe_column(fx.applications(spark, sf_dir), "income")
+    return profile.describe_column(fx.applications(spark, sf_dir), "income", digits=6)
 
 
 @register("value_counts_approved")
@@ -280,18 +281,18 @@ def loan_type_approval(spark, sf_dir):
 
 @register("interest_by_race")
 def interest_by_race(spark, sf_dir):
-    return describe.interest_by_race(fx.applications(spark, sf_dir))
+    return describe.interest_by_race(fx.applications(spark, sf_dir), digits=6)
 
 
 @register("summary_statistics")
 def summary_statistics(spark, sf_dir):
-    return describe.summary_statistics(fx.applications(spark, sf_dir))
+    return describe.summary_statistics(fx.applications(spark, sf_dir), digits=6)
 
 
 @register("summary_statistics_wide")
 def summary_statistics_wide(spark, sf_dir):
     """O40 in the study's layout: statistics as rows, measures as columns."""
-    return describe.summary_wide(describe.summary_statistics(fx.applications(spark, sf_dir)))
+    return describe.summary_wide(describe.summary_statistics(fx.applications(spark, sf_dir), digits=6))
 
 
 @register("income_histogram")
@@ -413,9 +414,10 @@ def binary_metrics(spark, sf_dir):
 @register("regression_metrics")
 def regression_metrics(spark, sf_dir):
     """R² and RMSE of the county-mean rate as a predictor of the rate."""
-    rows = _rate_rows(spark, sf_dir)
-    county_mean = rows.groupBy("county_code").agg(F.avg("interest_rate").alias("county_rate"))
-    scored = rows.join(county_mean, "county_code")
+    rows = _rate_rows(spark, sf_dir).select("county_code", "interest_rate")
+    # One row per county, written first: its real size lets Spark broadcast it before any row is exchanged.
+    means = stored(rows.groupBy("county_code").agg(F.avg("interest_rate").alias("county_rate")), "county-means")
+    scored = rows.join(means, "county_code")
     m = metrics.regression_metrics(scored, "interest_rate", "county_rate")
     return m.select("n", F.round("r2", 9).alias("r2"), F.round("rmse", 9).alias("rmse"))
 

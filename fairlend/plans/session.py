@@ -67,8 +67,9 @@ def size_shuffles(spark: SparkSession, input_bytes: int,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The context's checkpoint folder, registering one only if none is set.
 
-    Reads ``spark.checkpoint.dir`` from the session first; a private
-    temporary folder is used only when the cluster names none (local tests).
+    Reads ``spark.checkpoint.dir`` from the session first.  Where the cluster
+    names none, a private temporary folder serves a local master only; on any
+    other master driver and executors see different disks, so this raises.
     """
     try:
         sc = spark.sparkContext
@@ -78,12 +79,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not is_local(sc.master):
+                raise ValueError("set spark.checkpoint.dir (jobs: --checkpoint-dir) to a folder that the driver "
+                                 f"and all executors of {sc.master} share")
             base = tempfile.mkdtemp(prefix="fairlend-ckpt-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
     return base
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process (``local``, ``local[4]``; not ``local-cluster``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the cluster's shared checkpoint location."""
     base = ensure_checkpoint_dir(spark)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from fairlend.functions.ordered import exact_quantiles, grouped_quantiles, prefix_sums, rank_sum_auc
 from fairlend.operators import metrics
@@ -104,10 +105,29 @@ def test_grouped_quantiles_many_buckets(spark):
             assert abs(got[g][f"q_{i}"] - w) < 1e-9
 
 
-def test_bucket_count_follows_data_size(spark):
-    from fairlend.functions.ordered import buckets_for
-    assert buckets_for(spark.range(10)) == 1
-    assert buckets_for(spark.range(2500), rows_per_bucket=1000) == 3
+def test_range_count_has_a_floor_and_no_maximum(spark):
+    from fairlend.functions.ordered import MIN_RANGES, range_count
+    assert range_count(spark.range(1)) >= MIN_RANGES == 8
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "100000")
+        assert range_count(spark.range(1)) == 100_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 40, None])
+def test_nan_and_infinity_do_not_depend_on_the_ranges(spark, buckets):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1), (1, nan), (0, nan), (1, inf), (0, -inf), (1, -inf), (0, 0.7)] * 5
+    ranked = [(y, inf if s != s else 1e300 if s == inf else s) for y, s in rows]
+    df = spark.createDataFrame(rows, "y int, s double")
+    got = rank_sum_auc(df, "y", "s", buckets=buckets).first()["auc"]
+    assert abs(got - _brute_auc([y for y, _ in ranked], [s for _, s in ranked])) < 1e-12
+    q = exact_quantiles(df, "s", [0.0, 0.1, 0.5, 1.0], buckets=buckets).first()
+    vals = sorted(s for _, s in rows if s == s)
+    assert (q.n, q.q_0, q.q_3) == (len(vals), -inf, inf) and q.q_1 == -inf
+    assert q.q_2 == (vals[len(vals) // 2 - 1] + vals[len(vals) // 2]) / 2
 
 
 def test_materialize_is_reliable_checkpoint(spark):
@@ -122,10 +142,7 @@ def test_materialize_is_reliable_checkpoint(spark):
         assert "localCheckpoint" not in f.read_text(), f
 
 
-def test_sampled_bounds_path_exact(spark, monkeypatch):
-    from fairlend.functions import ordered
-    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 300)
-    monkeypatch.setattr(ordered, "SAMPLE_PER_BUCKET", 10)
+def test_ranges_by_default_exact(spark):
     rnd = random.Random(23)
     rows = [("a", float(rnd.randint(0, 10**6))) for _ in range(2000)] + \
            [("b", rnd.random()) for _ in range(800)] + [("tiny", 1.0), ("tiny", 2.0), ("tiny", 4.0)]
@@ -136,31 +153,27 @@ def test_sampled_bounds_path_exact(spark, monkeypatch):
         vals = np.array([x for k, x in rows if k == g])
         for i, w in enumerate(np.quantile(vals, probs)):
             assert abs(got[g][f"q_{i}"] - w) < 1e-9, (g, i)
-    # the global path samples too
     vals = np.array([x for k, x in rows if k == "a"])
     one = exact_quantiles(df.where("g = 'a'"), "x", probs).first()
     for i, w in enumerate(np.quantile(vals, probs)):
         assert abs(one[f"q_{i}"] - w) < 1e-9
 
 
-def test_few_groups_bucketizer_path_exact(spark, monkeypatch):
+def test_groups_exact_for_any_ranges(spark):
     from fairlend.functions import ordered
-    monkeypatch.setattr(ordered, "ROWS_PER_BUCKET", 25)
-    monkeypatch.setattr(ordered, "SAMPLE_PER_BUCKET", 5)
     rnd = random.Random(29)
     rows = [("a", float(rnd.randint(0, 10**6))) for _ in range(2000)] + \
            [("b", rnd.random()) for _ in range(1000)] + [("tiny", 3.0), ("tiny", 1.0)]
     df = spark.createDataFrame(rows, "g string, x double")
-    counts = ordered.value_counts_table(df, "x", ["g"])
     probs = [0.0, 0.33, 0.5, 0.999, 1.0]
-    for buckets in (None, 100):  # sampled bounds (~120 buckets), explicit 100 buckets
-        got = {r["g"]: r for r in ordered.quantiles_from_counts(
-            counts, probs, ["g"], buckets=buckets, few_groups=True).collect()}
+    for buckets in (None, 1, 100):
+        counts = ordered.value_counts_table(df, "x", ["g"], buckets)
+        got = {r["g"]: r for r in ordered.quantiles_from_counts(counts, probs, ["g"]).collect()}
         for g in ("a", "b", "tiny"):
             vals = np.array([x for k, x in rows if k == g])
             for i, w in enumerate(np.quantile(vals, probs)):
                 assert abs(got[g][f"q_{i}"] - w) < 1e-9, (buckets, g, i)
-    pre = ordered.prefix_sums(counts, "v", ["c"], by=["g"], few_groups=True).collect()
+    pre = ordered.prefix_sums(counts, "v", ["c"], by=["g"]).collect()
     for g in ("a", "b"):
         acc = 0
         for r in sorted((r for r in pre if r.g == g), key=lambda r: r.v):
