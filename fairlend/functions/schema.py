@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # Dirty application rows as they arrive in the yearly delimited files:
-# measures are text so the cleaning step decides what parses.
+# measures are text so the cleaning step decides what parses.  Files are bound
+# to these names by their header, whatever the order of their columns.
 RAW_APPLICATION = T.StructType([
-    T.StructField("l_orderkey", T.LongType()),
-    T.StructField("l_linenumber", T.IntegerType()),
-    T.StructField("l_partkey", T.LongType()),
-    T.StructField("l_suppkey", T.LongType()),
     T.StructField("activity_year", T.IntegerType()),
     T.StructField("state_code", T.StringType()),
     T.StructField("county_code", T.DoubleType()),
     T.StructField("action_taken", T.IntegerType()),
+    T.StructField("applicant_ethnicity_1", T.IntegerType()),
     T.StructField("applicant_race_1", T.IntegerType()),
     T.StructField("loan_type", T.IntegerType()),
     T.StructField("loan_amount", T.StringType()),
+    T.StructField("property_value", T.StringType()),
     T.StructField("income", T.StringType()),
     T.StructField("interest_rate", T.StringType()),
 ])
+# Columns a raw file cannot lack; a year may lack the others.
+REQUIRED_RAW = ["state_code", "county_code", "action_taken", "applicant_race_1", "income"]
 
 # Cleaned, typed application rows.
 APPLICATION = T.StructType([
-    T.StructField("l_orderkey", T.LongType()),
-    T.StructField("l_linenumber", T.IntegerType()),
     T.StructField("activity_year", T.IntegerType()),
     T.StructField("state_code", T.StringType()),
     T.StructField("county_code", T.DoubleType()),
@@ -34,10 +33,14 @@ APPLICATION = T.StructType([
     T.StructField("applicant_race_1", T.IntegerType()),
     T.StructField("loan_type", T.IntegerType()),
     T.StructField("loan_amount", T.DoubleType()),
+    T.StructField("property_value", T.DoubleType()),
     T.StructField("income", T.DoubleType()),
     T.StructField("interest_rate", T.DoubleType()),
 ])
 
+# Columns a cleaned file cannot lack.
+REQUIRED_APPLICATION = ["state_code", "county_code", "approved", "applicant_race_1"]
+
 # County gap result table.
 COUNTY_GAP = T.StructType([
     T.StructField("state_code", T.StringType()),

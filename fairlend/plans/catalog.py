@@ -122,7 +122,7 @@ def drop_null_keys(spark, sf_dir):
 def coerce_numeric(spark, sf_dir):
     """Text measures → double, junk → null, over all raw rows."""
     df = clean.coerce_numeric(fx.raw_applications(spark, sf_dir))
-    return df.select("l_orderkey", "l_linenumber", "loan_amount", "income", "interest_rate")
+    return df.select("l_orderkey", "l_linenumber", "loan_amount", "income", "interest_rate", "property_value")
 
 
 @register("nonneg_or_null")
@@ -244,6 +244,18 @@ def value_counts(spark, sf_dir):
     return profile.value_counts(fx.raw_applications(spark, sf_dir), "applicant_race_1")
 
 
+@register("value_counts_ethnicity")
+def value_counts_ethnicity(spark, sf_dir):
+    """Ethnicity code frequencies of the raw rows (nulls dropped)."""
+    return profile.value_counts(fx.raw_applications(spark, sf_dir), "applicant_ethnicity_1")
+
+
+@register("drop_if_present")
+def drop_if_present(spark, sf_dir):
+    """Raw rows without the unused ethnicity column."""
+    return clean.drop_if_present(fx.raw_applications(spark, sf_dir))
+
+
 @register("describe_column")
 def describe_column(spark, sf_dir):
     """Describe the coerced interest rate."""
@@ -431,7 +443,7 @@ def read_pipe_delimited(spark, sf_dir):
     """O1: raw rows written as a pipe-delimited file with header, read back typed."""
     path = shared_dir(spark, "pipe")
     sinks.write_csv(fx.raw_applications(spark, sf_dir), path, sep="|")
-    return readers.read_delimited(spark, path, sep="|", schema=S.RAW_APPLICATION)
+    return readers.read_delimited(spark, path, sep="|", schema=fx.RAW, required=S.REQUIRED_RAW)
 
 
 @register("read_csv_typed")
@@ -439,7 +451,7 @@ def read_csv_typed(spark, sf_dir):
     """O2: cleaned rows written as CSV, read back under the explicit schema."""
     path = shared_dir(spark, "csv")
     sinks.write_csv(fx.applications(spark, sf_dir), path)
-    return readers.read_csv_typed(spark, path, S.APPLICATION)
+    return readers.read_csv_typed(spark, path, fx.APPLICATION, required=S.REQUIRED_APPLICATION)
 
 
 @register("read_yearly_files")
@@ -449,7 +461,7 @@ def read_yearly_files(spark, sf_dir):
     early, late = shared_dir(spark, "early"), shared_dir(spark, "late")
     sinks.write_csv(raw.where(F.col("activity_year") <= 1997).drop("interest_rate"), early)
     sinks.write_csv(raw.where(F.col("activity_year") > 1997), late)
-    df = readers.read_yearly_files(spark, [early, late], S.RAW_APPLICATION)
+    df = readers.read_yearly_files(spark, [early, late], S.RAW_APPLICATION, required=S.REQUIRED_RAW)
     return df.groupBy("activity_year").agg(F.count(F.lit(1)).alias("n"),
                                            F.count("interest_rate").alias("n_rate"))
 
@@ -527,4 +539,4 @@ def stream_county_gaps(spark, sf_dir):
     q = yearly.start_county_gaps(spark, landing, out, shared_dir(spark, "stream-ckpt"),
                                  max_files_per_trigger=1)
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return yearly.read_county_gaps(spark, out)

@@ -12,9 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fairlend.functions import schema as S
 from fairlend.operators.clean import clean_applications
-from fairlend.sources.readers import balance_splits
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
@@ -28,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty application rows (text measures), see FIXTURES.md §2."""
-    li = balance_splits(table(spark, sf_dir, "lineitem")).select(
+    li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         "l_extendedprice", "l_discount", "l_returnflag")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -56,11 +57,16 @@ def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("county_code"),
         F.when(F.col("l_returnflag") == "R", 3).when(F.col("l_quantity") > 48, 4).otherwise(1)
          .cast("int").alias("action_taken"),
+        F.when(F.col("c_custkey") % 5 == 0, F.lit(None).cast("int"))
+         .otherwise((F.col("c_custkey") % 5).cast("int")).alias("applicant_ethnicity_1"),
         race.alias("applicant_race_1"),
         F.when(F.col("l_suppkey") % 50 == 0, F.lit(None).cast("int"))
          .otherwise(((F.col("l_linenumber") - 1) % 4 + 1).cast("int")).alias("loan_type"),
         F.when(F.col("l_partkey") % 97 == 0, -F.col("l_extendedprice"))
          .otherwise(F.col("l_extendedprice")).cast("string").alias("loan_amount"),
+        F.when(F.col("l_suppkey") % 23 == 0, F.lit(None).cast("string"))
+         .when(F.col("l_partkey") % 89 == 0, F.lit("Exempt"))
+         .otherwise((F.col("l_extendedprice") * 2).cast("string")).alias("property_value"),
         F.when(ok % 37 == 0, F.lit(None).cast("string"))
          .when(ok % 41 == 0, F.lit("Exempt"))
          .when(ok % 43 == 0, F.lit("0"))
@@ -71,10 +77,16 @@ def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The fixture's row keys ride along with the library's schemas.
+_KEYS = [T.StructField("l_orderkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType())]
+RAW = T.StructType([*_KEYS, T.StructField("l_partkey", T.LongType()), T.StructField("l_suppkey", T.LongType()),
+                    *S.RAW_APPLICATION.fields])
+APPLICATION = T.StructType([*_KEYS, *S.APPLICATION.fields])
+
 APPLICATION_COLUMNS = [
     "l_orderkey", "l_linenumber", "activity_year", "state_code", "county_code",
     "action_taken", "approved", "applicant_race_1", "loan_type", "loan_amount",
-    "income", "interest_rate",
+    "property_value", "income", "interest_rate",
 ]
 
 

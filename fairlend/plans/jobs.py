@@ -40,7 +40,7 @@ def prepare(spark: SparkSession, yearly_paths: Sequence[str], out: str,
 
     Returns the cleaning audit (rows left after each rule).
     """
-    raw = readers.read_yearly_files(spark, yearly_paths, S.RAW_APPLICATION, sep=sep)
+    raw = readers.read_yearly_files(spark, yearly_paths, S.RAW_APPLICATION, sep=sep, required=S.REQUIRED_RAW)
     cleaned = clean.clean_applications(raw)
     # the text input is parsed twice (this write and the audit); the per-year
     # CSV files are derived from the columnar combined output, not the text
@@ -90,7 +90,7 @@ def rates(spark: SparkSession, apps: DataFrame, out: str) -> DataFrame:
 
 
 def main(argv: Sequence[str] | None = None) -> None:
-    from fairlend.plans.session import build_session, size_shuffles
+    from fairlend.plans.session import build_session, input_bytes, size_shuffles
 
     p = argparse.ArgumentParser(prog="fairlend.plans.jobs")
     p.add_argument("job", choices=["prepare", "approval", "gaps", "rates"])
@@ -100,11 +100,12 @@ def main(argv: Sequence[str] | None = None) -> None:
     p.add_argument("--counties", default=None, help="county table (GEOID, STATEFP, NAME) as CSV")
     p.add_argument("--sep", default=",")
     p.add_argument("--input-gb", type=float, default=None,
-                   help="input size; sets the shuffle width (about 128 MB per partition)")
+                   help="input size instead of that of the files; sets the shuffle width (about 128 MB per partition)")
+    p.add_argument("--checkpoint-dir", default=None,
+                   help="folder that driver and executors share, for intermediate tables (spark.checkpoint.dir)")
     a = p.parse_args(argv)
-    spark = build_session()
-    if a.input_gb:
-        size_shuffles(spark, int(a.input_gb * 1024 ** 3))
+    spark = build_session(extra={"spark.checkpoint.dir": a.checkpoint_dir} if a.checkpoint_dir else None)
+    size_shuffles(spark, int(a.input_gb * 1024 ** 3) if a.input_gb else input_bytes(spark, a.input))
     if a.job == "prepare":
         prepare(spark, a.input, a.out, a.sep).show(truncate=False)
         return

@@ -15,6 +15,9 @@ RAW = """raw_applications AS (
          CASE WHEN o_orderkey % 53 = 0 THEN NULL
               ELSE CAST(48000 + n_nationkey * 7 + c_custkey % 7 AS DOUBLE) END AS county_code,
          CAST(CASE WHEN l_returnflag = 'R' THEN 3 WHEN l_quantity > 48 THEN 4 ELSE 1 END AS INT) AS action_taken,
+         CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey % 5 AS INT) END AS applicant_ethnicity_1,
+         CASE WHEN l_suppkey % 23 = 0 THEN NULL WHEN l_partkey % 89 = 0 THEN 'Exempt'
+              ELSE CAST(l_extendedprice * 2 AS VARCHAR) END AS property_value,
          CASE CAST(c_custkey % 12 AS INT)
               WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 21 WHEN 3 THEN 27 WHEN 4 THEN 3 WHEN 5 THEN 3
               WHEN 6 THEN 4 WHEN 7 THEN 5 WHEN 8 THEN 5 WHEN 9 THEN 5 WHEN 10 THEN 6 ELSE NULL END AS applicant_race_1,
@@ -34,6 +37,7 @@ APPS = """applications AS (
            CAST(CASE WHEN action_taken IN (1, 2) THEN 1 WHEN action_taken = 3 THEN 0 END AS INT) AS approved,
            applicant_race_1, loan_type,
            TRY_CAST(loan_amount AS DOUBLE) AS loan_amount,
+           TRY_CAST(property_value AS DOUBLE) AS property_value,
            TRY_CAST(income AS DOUBLE) AS income,
            TRY_CAST(interest_rate AS DOUBLE) AS interest_rate
     FROM raw_applications
@@ -176,7 +180,8 @@ WHERE county_code IS NOT NULL AND applicant_race_1 IS NOT NULL AND income IS NOT
 
 ORACLE["coerce_numeric"] = with_ctes(RAW) + """
 SELECT l_orderkey, l_linenumber, TRY_CAST(loan_amount AS DOUBLE) AS loan_amount,
-       TRY_CAST(income AS DOUBLE) AS income, TRY_CAST(interest_rate AS DOUBLE) AS interest_rate
+       TRY_CAST(income AS DOUBLE) AS income, TRY_CAST(interest_rate AS DOUBLE) AS interest_rate,
+       TRY_CAST(property_value AS DOUBLE) AS property_value
 FROM raw_applications"""
 
 ORACLE["nonneg_or_null"] = with_ctes(RAW) + """
@@ -254,16 +259,16 @@ FROM g WHERE race_group IN ('White', 'Asian', 'Black', 'Native American') GROUP
 # --- profiling ------------------------------------------------------------------
 
 _RAW_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "activity_year", "state_code",
-             "county_code", "action_taken", "applicant_race_1", "loan_type", "loan_amount",
-             "income", "interest_rate"]
+             "county_code", "action_taken", "applicant_ethnicity_1", "applicant_race_1", "loan_type",
+             "loan_amount", "property_value", "income", "interest_rate"]
 
 ORACLE["null_counts"] = with_ctes(RAW) + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM raw_applications"
     for c in _RAW_COLS)
 
 ORACLE["row_col_counts"] = BASE + """
-SELECT count(*) AS rows, 13 AS cols, 'raw' AS stage FROM raw_applications
-UNION ALL SELECT count(*), 12, 'clean' FROM applications"""
+SELECT count(*) AS rows, 15 AS cols, 'raw' AS stage FROM raw_applications
+UNION ALL SELECT count(*), 13, 'clean' FROM applications"""
 
 ORACLE["distinct_values"] = with_ctes(RAW) + "SELECT DISTINCT action_taken FROM raw_applications"
 
@@ -271,6 +276,12 @@ ORACLE["value_counts"] = with_ctes(RAW) + """
 SELECT applicant_race_1, count(*) AS n FROM raw_applications
 WHERE applicant_race_1 IS NOT NULL GROUP BY applicant_race_1 ORDER BY n DESC, applicant_race_1"""
 
+ORACLE["value_counts_ethnicity"] = with_ctes(RAW) + """
+SELECT applicant_ethnicity_1, count(*) AS n FROM raw_applications
+WHERE applicant_ethnicity_1 IS NOT NULL GROUP BY applicant_ethnicity_1 ORDER BY n DESC, applicant_ethnicity_1"""
+
+ORACLE["drop_if_present"] = with_ctes(RAW) + "SELECT * EXCLUDE (applicant_ethnicity_1) FROM raw_applications"
+
 
 def _describe_sql(measures: list[str], source: str, std_label: str, with_measure: bool) -> str:
     parts = []

@@ -64,6 +64,16 @@ def size_shuffles(spark: SparkSession, input_bytes: int,
     return parts
 
 
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the files under ``paths``, from the file system's own summary."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(conf).getContentSummary(path).getLength()
+    return total
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The context's checkpoint folder, registering one only if none is set.
 

@@ -5,24 +5,57 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairlend.functions import schema as S
 
 
+def typed(column: str, kind: T.DataType) -> Column:
+    """Text → ``kind``; what does not parse is null.
+
+    A whole number may be written with a decimal point (``5.0``), as dataframe
+    libraries write integer columns that have gaps.
+    """
+    x = F.col(f"`{column}`")
+    if not isinstance(kind, T.IntegralType):
+        return x.try_cast(kind)
+    number = x.try_cast("double")
+    whole = F.when(number == F.floor(number), number).try_cast(kind)
+    return F.coalesce(x.try_cast(kind), whole)
+
+
+def bind(df: DataFrame, schema: T.StructType, required: Sequence[str] = ()) -> DataFrame:
+    """Text columns of ``df`` as ``schema``, matched by name; absent columns are null.
+
+    Raises if a column of ``required`` is absent.  Columns that ``schema``
+    lacks are left out.
+    """
+    absent = [c for c in required if c not in df.columns]
+    if absent:
+        raise ValueError(f"the input lacks {', '.join(absent)}; it has {', '.join(df.columns)}")
+    return df.select(*[(typed(f.name, f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType))
+                       .alias(f.name) for f in schema.fields])
+
+
 def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = "|",
-                   schema: T.StructType | None = None, header: bool = True) -> DataFrame:
+                   schema: T.StructType | None = None, header: bool = True,
+                   required: Sequence[str] = (), multi_line: bool = False) -> DataFrame:
     """O1: delimited text with a header row (pipe by default).
 
-    With ``schema`` the columns are typed on read; without it every column is
-    a string (no inference pass).  PERMISSIVE: a malformed field is null.
+    Every column is read as text, without an inference pass, and with
+    ``schema`` bound by header name (see :func:`bind`).  All files of ``path``
+    must have one header; a file with another one fails the read.  Without a
+    header the columns of ``schema`` are taken in order.  ``multi_line`` reads
+    quoted values that hold line breaks; such files cannot be split.
     """
-    r = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
-    if schema is not None:
-        r = r.schema(schema)
-    return r.csv(path)
+    r = (spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
+         .option("escape", '"').option("multiLine", multi_line).option("enforceSchema", not header))
+    if schema is not None and not header:
+        return r.schema(schema).csv(path)
+    df = r.csv(path)
+    return bind(df, schema, required) if schema is not None else df
 
 
 def preview(df: DataFrame, n: int = 5) -> tuple[list[str], DataFrame]:
@@ -31,36 +64,41 @@ def preview(df: DataFrame, n: int = 5) -> tuple[list[str], DataFrame]:
 
 
 def read_csv_typed(spark: SparkSession, path: str | Sequence[str],
-                   schema: T.StructType | None = S.APPLICATION, infer: bool = False) -> DataFrame:
-    """O2: CSV with header under an explicit schema; ``infer=True`` keeps the
-    study's inference (costs a full extra pass)."""
-    r = spark.read.option("header", True).option("mode", "PERMISSIVE")
+                   schema: T.StructType | None = S.APPLICATION, infer: bool = False,
+                   required: Sequence[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """O2: CSV with header, bound to ``schema`` by name; ``infer=True`` keeps the
+    study's inference (costs a full extra pass).
+
+    ``required`` columns must be there; for the cleaned applications those of
+    ``REQUIRED_APPLICATION`` by default.
+    """
     if infer:
-        return r.option("inferSchema", True).csv(path)
-    return r.schema(schema).csv(path)
+        return spark.read.option("header", True).option("escape", '"').option("inferSchema", True).csv(path)
+    if required is None:
+        required = S.REQUIRED_APPLICATION if schema == S.APPLICATION else ()
+    return read_delimited(spark, path, ",", schema, required=required, multi_line=multi_line)
 
 
 def read_yearly_files(spark: SparkSession, paths: Sequence[str], schema: T.StructType,
-                      sep: str = ",", with_source: bool = False) -> DataFrame:
+                      sep: str = ",", with_source: bool = False,
+                      required: Sequence[str] = ()) -> DataFrame:
     """O3: one file (or folder) per year, columns matched by header name.
 
     Years may lack columns (a column added later): each file is read as text
-    with its own header, cast by name to ``schema`` (missing → null,
+    with its own header, bound by name to ``schema`` (missing → null,
     unparseable → null), and the years are combined with UNION ALL by name.
     Only the header line is read up front; the scans run in parallel.
+    ``required`` columns must be in every year.
     """
     frames = []
     for p in paths:
-        df = spark.read.option("header", True).option("sep", sep).csv(p)
-        cols = []
-        for f in schema.fields:
-            if f.name in df.columns:
-                cols.append(F.col(f.name).try_cast(f.dataType).alias(f.name))
-            else:
-                cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+        df = read_delimited(spark, p, sep)
+        year = bind(df, schema, required)
         if with_source:
-            cols.append(F.col("_metadata.file_path").alias("source_file"))
-        frames.append(df.select(*cols))
+            names = [F.col(f"`{c}`") for c in df.columns]
+            df = df.select(*names, F.col("_metadata.file_path").alias("source_file"))
+            year = bind(df, T.StructType([*schema.fields, T.StructField("source_file", T.StringType())]), required)
+        frames.append(year)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -100,22 +138,13 @@ def read_county_dimension(spark: SparkSession, path: str, fmt: str = "csv") -> D
 
 def read_gap_table(spark: SparkSession, path: str) -> DataFrame:
     """Read back a county gap table written as CSV."""
-    return spark.read.option("header", True).schema(S.COUNTY_GAP).csv(path)
+    return read_delimited(spark, path, ",", S.COUNTY_GAP, required=S.COUNTY_GAP.names)
 
 
-def balance_splits(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan over the cluster when it has fewer splits than cores.
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """``df`` over ``partitions`` tasks, by a round-robin exchange.
 
-    A file with a single Parquet row group (or one gzip CSV) is read by one
-    task, and every narrow step after it stays in that task.  When the scan
-    has fewer partitions than ``min_partitions`` (default: the cluster's
-    default parallelism) the rows are redistributed round-robin; a large
-    dataset with many splits is returned unchanged, so no shuffle is added
-    at scale.  Checked from the plan, no job runs.
+    For inputs with fewer splits than that (one Parquet row group, one gzip
+    file), whose narrow steps would all run in one task.
     """
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # e.g. a Spark Connect session: no RDD view, leave as is
-        return df
-    return df.repartition(want) if have < want else df
+    return df.repartition(partitions)

@@ -24,40 +24,42 @@ def _flatten_vectors(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True,
               sep: str = ",") -> None:
     """Distributed CSV write, one part file per task."""
-    (_flatten_vectors(df).write.mode(mode).option("header", header).option("sep", sep)
+    (_flatten_vectors(df).write.mode(mode).option("header", header).option("sep", sep).option("escape", '"')
      .csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (),
                   mode: str = "overwrite") -> None:
     """Parquet dataset, optionally partitioned (e.g. state, year)."""
-    w = df.write.mode(mode)
     if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+        rebalanced(df, partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode(mode).parquet(path)
+
+
+def rebalanced(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of a partition value together, so that it gets a few files and not one per task.
+
+    AQE splits the large ones by the advisory size: a value with a third of
+    the rows is written by many tasks.
+    """
+    return df.hint("rebalance", *partition_by)
 
 
 def write_partitioned_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ("activity_year",),
                           mode: str = "overwrite") -> None:
     """One CSV folder per year (``activity_year=<y>/``)."""
-    df.write.mode(mode).option("header", True).partitionBy(*partition_by).csv(path)
-
-
-class ResultTooLarge(ValueError):
-    pass
+    (rebalanced(df, partition_by).write.mode(mode).option("header", True).option("escape", '"')
+     .partitionBy(*partition_by).csv(path))
 
 
-def write_single_csv(df: DataFrame, path: str, max_rows: int = 100_000,
-                     mode: str = "overwrite") -> None:
-    """One CSV part file, for small results only (coefficients, top-k).
+def write_single_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One CSV part file.
 
-    ``coalesce(1)`` funnels every row through one task, so the size is checked
-    first with a bounded count (``limit(max_rows + 1)``); larger results must
-    use ``write_csv``.
+    One task writes all rows, which suits results whose size a model's width
+    or a top-k bounds (coefficients, top 25); ``write_csv`` is the sink for
+    rows that grow with the input.
     """
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ResultTooLarge(f"{n}+ rows: use write_csv for a distributed write")
     write_csv(df.coalesce(1), path, mode)
 
 

@@ -14,6 +14,7 @@ result stays exact.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fairlend.functions import codes
@@ -21,16 +22,24 @@ from fairlend.functions import schema as S
 from fairlend.operators.clean import clean_applications, prep_gap
 from fairlend.operators.features import add_comparison_group, add_race_group
 from fairlend.operators.gaps import add_gap, group_gap, min_sample
+from fairlend.sources import readers
 
 
 def read_yearly_stream(spark: SparkSession, folder: str, sep: str = ",",
                        max_files_per_trigger: int | None = None) -> DataFrame:
-    """Raw application files arriving in ``folder`` (header, explicit schema)."""
-    r = (spark.readStream.schema(S.RAW_APPLICATION).option("header", True)
-         .option("sep", sep))
+    """Raw application files arriving in ``folder``, bound by the header they share.
+
+    The header is read once from the files that are there when the stream
+    starts; a later file with another header fails its batch instead of being
+    read into the wrong columns.
+    """
+    names = readers.read_delimited(spark, folder, sep).columns
+    text = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    r = (spark.readStream.schema(text).option("header", True).option("sep", sep).option("escape", '"')
+         .option("enforceSchema", False))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.csv(folder)
+    return readers.bind(r.csv(folder), S.RAW_APPLICATION, S.REQUIRED_RAW)
 
 
 def county_stats_stream(raw: DataFrame) -> DataFrame:
@@ -43,18 +52,31 @@ def county_stats_stream(raw: DataFrame) -> DataFrame:
 def start_county_gaps(spark: SparkSession, folder: str, out_path: str, checkpoint: str,
                       min_n: int = codes.MIN_GROUP_N, available_now: bool = True,
                       max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Run the stream; every micro-batch rewrites the gap table at ``out_path``.
+    """Run the stream; every micro-batch adds the whole gap table to ``out_path`` as ``epoch=<n>``.
 
     Complete output mode: each batch carries the full per-county table
     (bounded by the number of counties), thresholded and with the gap.
+    :func:`read_county_gaps` reads the latest epoch that was written whole, so
+    a reader never meets a table that is being replaced.
     """
     stats = county_stats_stream(read_yearly_stream(spark, folder,
                                                    max_files_per_trigger=max_files_per_trigger))
 
-    def publish(batch: DataFrame, _epoch: int) -> None:
-        add_gap(min_sample(batch, min_n)).write.mode("overwrite").parquet(out_path)
+    def publish(batch: DataFrame, epoch: int) -> None:
+        add_gap(min_sample(batch, min_n)).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
     w = (stats.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
          .foreachBatch(publish))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
+
+
+def read_county_gaps(spark: SparkSession, out_path: str) -> DataFrame:
+    """The gap table of the latest epoch whose write was committed (its ``_SUCCESS`` file is there)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{out_path}/epoch=*/_SUCCESS")
+    found = pattern.getFileSystem(conf).globStatus(pattern)
+    epochs = [int(f.getPath().getParent().getName().split("=")[1]) for f in found]
+    if not epochs:
+        raise ValueError(f"no epoch has been published at {out_path}")
+    return spark.read.parquet(f"{out_path}/epoch={max(epochs)}")
