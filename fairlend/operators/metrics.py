@@ -53,14 +53,14 @@ def model_summary_row(fitted, kind: str, rows: int | None = None) -> DataFrame:
     (one pass over the scored rows).  MLlib's training summary gives the same
     accuracy but bins the ROC curve into 100 points, so its AUC differs in
     about the sixth decimal, and it sorts every score and re-scores the rows
-    several times (2.4x slower at 6M rows).  Linear: R² and RMSE from the
-    MLlib summary (one pass).  ``rows``: the training row count if the caller
-    has it (e.g. from the persisted training set).
+    several times (2.4x slower at 6M rows).  Linear: R² and RMSE from
+    :func:`regression_metrics`, one pass over the scored rows.  ``rows``: the
+    training row count if the caller has it (e.g. from the persisted training
+    set).
     """
     from pyspark.ml.functions import vector_to_array
 
     m = fitted.model
-    spark = fitted.scored.sparkSession
     if kind == "logistic":
         label = m.getLabelCol()
         scored = fitted.scored.withColumn("__p1", vector_to_array("probability")[1])
@@ -69,8 +69,6 @@ def model_summary_row(fitted, kind: str, rows: int | None = None) -> DataFrame:
         return met.select(F.lit(int(n)).cast("long").alias("rows"),
                           F.lit(len(fitted.names)).cast("int").alias("width"),
                           F.lit(float(m.intercept)).alias("intercept"), "accuracy", "auc")
-    s = m.summary
-    row = (int(s.numInstances), len(fitted.names), float(m.intercept), float(s.r2),
-           float(s.rootMeanSquaredError))
-    return spark.createDataFrame(
-        [row], "rows long, width int, intercept double, r2 double, rmse double")
+    met = regression_metrics(fitted.scored, m.getLabelCol(), "prediction")
+    return met.select(F.col("n").cast("long").alias("rows"), F.lit(len(fitted.names)).cast("int").alias("width"),
+                      F.lit(float(m.intercept)).alias("intercept"), "r2", "rmse")

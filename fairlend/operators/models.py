@@ -129,6 +129,11 @@ def fit_rate_model(prepared: DataFrame, label: str = "interest_rate",
     return FittedModel(model, scored, coefs, names)
 
 
+def fit_columns(label: str, categorical=codes.CATEGORICAL_FEATURES, numeric=codes.NUMERIC_FEATURES) -> list[str]:
+    """The columns a fit reads: all that needs to be kept in memory around it."""
+    return [label, *numeric, *categorical]
+
+
 def approval_predictions(fitted: FittedModel) -> DataFrame:
     """Scored rows with the class-1 probability as a plain double."""
     return fitted.scored.select(
@@ -146,14 +151,13 @@ def rate_predictions(fitted: FittedModel) -> DataFrame:
 def category_index(prepared: DataFrame, categorical=codes.CATEGORICAL_FEATURES) -> DataFrame:
     """(column_name, label, idx) as assigned by the fitted indexer.
 
-    Computed by transforming the rows and taking distinct (label, index)
-    pairs, so it runs on the executors and reflects what the model applies.
+    The fitted indexer holds its labels in order on the driver (model width);
+    the rows are read once, for the fit.
     """
     cats = list(categorical)
-    idx = feature_stages(cats)[0].fit(prepared)
-    out = idx.transform(prepared)
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING), CAST(`{c}_idx` AS INT)" for c in cats)
-    return out.selectExpr(f"stack({len(cats)}, {pairs}) as (column_name, label, idx)").distinct()
+    labels = feature_stages(cats)[0].fit(prepared).labelsArray
+    rows = [(c, label, i) for c, own in zip(cats, labels) for i, label in enumerate(own)]
+    return prepared.sparkSession.createDataFrame(rows, "column_name string, label string, idx int")
 
 
 def one_hot_slot_counts(prepared: DataFrame, categorical=codes.CATEGORICAL_FEATURES,

@@ -322,16 +322,21 @@ def loan_amount_histogram(spark, sf_dir):
 # --- adjusted models (O50–O61) -----------------------------------------------------------
 
 def _approval_rows(spark, sf_dir):
-    return feats.model_features(clean.prep_approval(fx.applications(spark, sf_dir)))
+    """The columns that the approval fit reads."""
+    rows = feats.model_features(clean.prep_approval(fx.applications(spark, sf_dir)))
+    return rows.select(*models.fit_columns("approved"))
 
 
 def _rate_rows(spark, sf_dir):
-    return feats.model_features(clean.prep_rate(fx.applications(spark, sf_dir)))
+    """The columns that the rate fit reads."""
+    rows = feats.model_features(clean.prep_rate(fx.applications(spark, sf_dir)))
+    return rows.select(*models.fit_columns("interest_rate"))
 
 
-def _fit(rows, fitter):
+def _fit(rows, name, result):
+    """``result(rows)`` with the rows kept for all its passes: it is written before they are let go."""
     with feats.persisted(rows) as cached:
-        return fitter(cached)
+        return stored(result(cached), name)
 
 
 @register("category_index")
@@ -343,13 +348,13 @@ def category_index(spark, sf_dir):
 @register("one_hot_slot_counts")
 def one_hot_slot_counts(spark, sf_dir):
     """Rows per one-hot slot of the assembled vector."""
-    return _fit(_approval_rows(spark, sf_dir), models.one_hot_slot_counts)
+    return _fit(_approval_rows(spark, sf_dir), "slots", models.one_hot_slot_counts)
 
 
 @register("feature_names")
 def feature_names(spark, sf_dir):
     """Slot names of the assembled vector, in slot order."""
-    return _fit(_approval_rows(spark, sf_dir), models.feature_names)
+    return models.feature_names(_approval_rows(spark, sf_dir))
 
 
 @register("approval_model")
@@ -359,47 +364,46 @@ def approval_model(spark, sf_dir):
     with feats.persisted(rows) as cached:
         n = cached.count()  # fills the cache the fit then reads
         fitted = models.fit_approval_model(cached)
-        return metrics.model_summary_row(fitted, "logistic", rows=n)
+        return stored(metrics.model_summary_row(fitted, "logistic", rows=n), "approval-summary")
 
 
 @register("approval_coefficients")
 def approval_coefficients(spark, sf_dir):
     """Named coefficients with odds ratios, intercept last."""
-    return _fit(_approval_rows(spark, sf_dir), models.fit_approval_model).coefficients
+    return _fit(_approval_rows(spark, sf_dir), "coefficients", lambda d: models.fit_approval_model(d).coefficients)
 
 
 @register("approval_predictions")
 def approval_predictions(spark, sf_dir):
     """In-sample scores with class probability."""
-    return models.approval_predictions(_fit(_approval_rows(spark, sf_dir), models.fit_approval_model))
+    return _fit(_approval_rows(spark, sf_dir), "predictions",
+                lambda d: models.approval_predictions(models.fit_approval_model(d)))
 
 
 @register("logit_group_rates")
 def logit_group_rates(spark, sf_dir):
     """O53 identity: saturated logistic fit reproduces each group's approval rate."""
-    rates = _fit(_approval_rows(spark, sf_dir), models.group_rate_logit)
+    rates = _fit(_approval_rows(spark, sf_dir), "group-rates", models.group_rate_logit)
     return rates.select("race_group", F.round("fitted_rate", 5).alias("fitted_rate"))
 
 
 @register("rate_model")
 def rate_model(spark, sf_dir):
     """Linear fit; one row with width, intercept, R², RMSE."""
-    rows = _rate_rows(spark, sf_dir)
-    with feats.persisted(rows) as cached:
-        fitted = models.fit_rate_model(cached)
-        return metrics.model_summary_row(fitted, "linear")
+    return _fit(_rate_rows(spark, sf_dir), "rate-summary",
+                lambda d: metrics.model_summary_row(models.fit_rate_model(d), "linear"))
 
 
 @register("rate_coefficients")
 def rate_coefficients(spark, sf_dir):
     """Named rate-model coefficients, intercept last."""
-    return _fit(_rate_rows(spark, sf_dir), models.fit_rate_model).coefficients
+    return _fit(_rate_rows(spark, sf_dir), "coefficients", lambda d: models.fit_rate_model(d).coefficients)
 
 
 @register("rate_predictions")
 def rate_predictions(spark, sf_dir):
     """In-sample rate predictions."""
-    return models.rate_predictions(_fit(_rate_rows(spark, sf_dir), models.fit_rate_model))
+    return _fit(_rate_rows(spark, sf_dir), "predictions", lambda d: models.rate_predictions(models.fit_rate_model(d)))
 
 
 def _sig6(c):
@@ -410,10 +414,78 @@ def _sig6(c):
 @register("ridge_one_feature")
 def ridge_one_feature(spark, sf_dir):
     """O54 identity: one-feature L2 fit of rate on income equals the closed form."""
-    fit = _fit(_rate_rows(spark, sf_dir), lambda d: models.ridge_one_feature(d, "income", "interest_rate"))
+    fit = models.ridge_one_feature(_rate_rows(spark, sf_dir), "income", "interest_rate")
     return fit.select(_sig6("intercept").alias("intercept"), _sig6("slope").alias("slope"))
 
 
+@register("approval_prediction_write")
+def approval_prediction_write(spark, sf_dir):
+    """Scored rows written by the executors as CSV and read back by name.
+
+    ``consistent``: the prediction is the class whose probability is above one half.
+    """
+    path = shared_dir(spark, "approval-predictions")
+    with feats.persisted(_approval_rows(spark, sf_dir)) as cached:
+        scored = models.approval_predictions(models.fit_approval_model(cached))
+        sinks.write_csv(scored, path)
+    back = readers.read_csv_typed(spark, path, scored.schema, required=scored.columns)
+    return back.select("income", "loan_amount", "loan_to_income", "race_group", "loan_type", "county_code", "approved",
+                       ((F.col("prediction") == 1.0) == (F.col("probability") > 0.5)).alias("consistent"))
+
+
+@register("rate_prediction_write")
+def rate_prediction_write(spark, sf_dir):
+    """Scored rate rows as CSV, read back; ``bias`` is the mean error, 0 with a free intercept."""
+    path = shared_dir(spark, "rate-predictions")
+    with feats.persisted(_rate_rows(spark, sf_dir)) as cached:
+        scored = models.rate_predictions(models.fit_rate_model(cached))
+        sinks.write_csv(scored, path)
+    back = readers.read_csv_typed(spark, path, scored.schema, required=scored.columns)
+    bias = back.agg(F.round(F.abs(F.avg("prediction") - F.avg("interest_rate")), 6).alias("bias"))
+    return back.select("interest_rate", "race_group", "income", "loan_amount", "county_code",
+                       bias.select("bias").scalar().alias("bias"))
+
+
+@register("approval_coefficient_write")
+def approval_coefficient_write(spark, sf_dir):
+    """The coefficient table as one CSV file, read back; ``odds_check`` is odds_ratio / exp(coefficient)."""
+    path = shared_dir(spark, "approval-coefficients")
+    sinks.write_single_csv(approval_coefficients(spark, sf_dir), path)
+    back = readers.read_csv_typed(spark, path, S.LOGIT_COEFFICIENTS, required=S.LOGIT_COEFFICIENTS.names)
+    return back.select("slot", "feature", F.round(F.col("odds_ratio") / F.exp("coefficient"), 9).alias("odds_check"))
+
+
+@register("rate_coefficient_write")
+def rate_coefficient_write(spark, sf_dir):
+    """The rate model's coefficient table as one CSV file, read back; slots, names, and that all are finite."""
+    path = shared_dir(spark, "rate-coefficients")
+    sinks.write_single_csv(rate_coefficients(spark, sf_dir), path)
+    back = readers.read_csv_typed(spark, path, S.LINEAR_COEFFICIENTS, required=S.LINEAR_COEFFICIENTS.names)
+    return back.select("slot", "feature", (F.abs("coefficient") < float("inf")).alias("finite"))
+
+
+@register("sample_bernoulli_bounds")
+def sample_bernoulli_bounds(spark, sf_dir):
+    """The seeded sample holds rows of the table only, once each, and as many as 5 standard deviations allow."""
+    apps = stored(fx.applications(spark, sf_dir).select("l_orderkey", "l_linenumber"), "sample-input")
+    drawn = stored(clean.sample_bernoulli(apps, 0.1), "sample")
+    n, m = apps.agg(F.count("*").alias("n")), drawn.agg(F.count("*").alias("n"))
+    foreign = drawn.exceptAll(apps).agg(F.count("*").alias("n"))
+    return m.select((foreign.select("n").scalar() == 0).alias("rows_of_the_table"),
+                    (F.abs(F.col("n") - 0.1 * n.select("n").scalar())
+                     <= 5 * F.sqrt(0.09 * n.select("n").scalar())).alias("size_fits"))
+
+
+@register("preview")
+def preview(spark, sf_dir):
+    """O1: column names of a pipe-delimited file, in order, and whether the first rows were read."""
+    path = shared_dir(spark, "preview")
+    sinks.write_csv(fx.raw_applications(spark, sf_dir), path, sep="|")
+    names, head = readers.preview(readers.read_delimited(spark, path))
+    return head.agg(F.count("*").alias("rows")).select(
+        "rows", F.posexplode(F.array(*map(F.lit, names))).alias("place", "column_name"))
+
+
 @register("binary_metrics")
 def binary_metrics(spark, sf_dir):
     """Accuracy and rank-sum AUC of a score/prediction against approval."""

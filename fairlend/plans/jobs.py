@@ -51,7 +51,7 @@ def prepare(spark: SparkSession, yearly_paths: Sequence[str], out: str,
 
 def approval(spark: SparkSession, apps: DataFrame, out: str) -> DataFrame:
     """Approval model: returns the one-row metric summary."""
-    rows = feats.model_features(clean.prep_approval(apps))
+    rows = feats.model_features(clean.prep_approval(apps)).select(*models.fit_columns("approved"))
     with feats.persisted(rows) as cached:
         n = cached.count()
         fitted = models.fit_approval_model(cached)
@@ -79,7 +79,7 @@ def county_gap_job(spark: SparkSession, apps: DataFrame, out: str,
 
 def rates(spark: SparkSession, apps: DataFrame, out: str) -> DataFrame:
     """Rate model: returns the one-row metric summary."""
-    rows = feats.model_features(clean.prep_rate(apps))
+    rows = feats.model_features(clean.prep_rate(apps)).select(*models.fit_columns("interest_rate"))
     with feats.persisted(rows) as cached:
         fitted = models.fit_rate_model(cached)
         sinks.write_csv(models.rate_predictions(fitted), f"{out}/predictions")

@@ -387,6 +387,31 @@ ORACLE["feature_names"] = MODEL_BASE + """
 SELECT 0 AS slot, 'income' AS feature UNION ALL SELECT 1, 'loan_amount'
 UNION ALL SELECT 2, 'loan_to_income' UNION ALL SELECT slot, feature FROM slots"""
 
+_NUMERIC_SLOTS = """SELECT 0 AS slot, 'income' AS feature UNION ALL SELECT 1, 'loan_amount'
+UNION ALL SELECT 2, 'loan_to_income' UNION ALL SELECT slot, feature FROM slots"""
+
+ORACLE["approval_prediction_write"] = with_ctes(RAW, APPS, APPROVAL_ROWS) + """
+SELECT income, loan_amount, loan_to_income, race_group, loan_type, county_code, approved, true AS consistent
+FROM approval_rows"""
+
+ORACLE["approval_coefficient_write"] = MODEL_BASE + f"""
+SELECT slot, feature, 1.0::DOUBLE AS odds_check FROM ({_NUMERIC_SLOTS}
+UNION ALL SELECT CAST(3 + count(*) AS INTEGER), 'Intercept' FROM slots) t"""
+
+RATE_MODEL_ROWS = APPROVAL_ROWS.replace("WHERE approved IN (0, 1) AND activity_year IS NOT NULL",
+                                        "WHERE approved = 1 AND interest_rate > 0 AND interest_rate < 25")
+
+ORACLE["rate_prediction_write"] = with_ctes(RAW, APPS, RATE_MODEL_ROWS) + """
+SELECT interest_rate, race_group, income, loan_amount, county_code, 0.0::DOUBLE AS bias FROM approval_rows"""
+
+ORACLE["rate_coefficient_write"] = with_ctes(RAW, APPS, RATE_MODEL_ROWS, LEVELS, SLOTS) + f"""
+SELECT slot, feature, true AS finite FROM ({_NUMERIC_SLOTS}) t"""
+
+ORACLE["sample_bernoulli_bounds"] = "SELECT true AS rows_of_the_table, true AS size_fits"
+
+ORACLE["preview"] = "SELECT 5::BIGINT AS rows, (row_number() OVER () - 1)::INTEGER AS place, column_name FROM (VALUES " \
+    + ", ".join(f"('{c}')" for c in _RAW_COLS) + ") v(column_name)"
+
 ORACLE["logit_group_rates"] = with_ctes(RAW, APPS, APPROVAL_ROWS) + """
 SELECT race_group, round(avg(approved), 5) AS fitted_rate FROM approval_rows GROUP BY race_group"""
 
