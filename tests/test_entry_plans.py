@@ -27,6 +27,7 @@ def test_flagship_is_top_k_with_one_aggregate_exchange(spark):
     plan = _plan(catalog.county_gap_top25(spark, SF001))
     assert "TakeOrderedAndProject" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert plan.count("Exchange hashpartitioning(state_code") == 1
 
 
 def test_county_stats_partial_aggregation(spark):
@@ -36,19 +37,19 @@ def test_county_stats_partial_aggregation(spark):
 
 
 def test_no_cartesian_products_anywhere(spark):
-    skip = {"approval_model", "rate_model", "approval_coefficients", "rate_coefficients",
-            "approval_predictions", "rate_predictions", "logit_group_rates", "ridge_one_feature",
-            "one_hot_slot_counts", "feature_names", "category_index", "stream_county_gaps",
-            "read_pipe_delimited", "read_csv_typed", "read_yearly_files", "read_parquet_partitioned",
-            "sink_roundtrip_csv", "clean_partitioned_write"}
-    for name, fn in E.queries().items():
-        if name in skip:
-            continue
+    for name, fn in catalog.QUERIES.items():
         plan = _plan(fn(spark, SF001))
         assert "CartesianProduct" not in plan, name
         assert "BroadcastNestedLoopJoin" not in plan, name
 
 
+def test_regression_metrics_exchanges_no_rows_by_county(spark):
+    df = catalog.regression_metrics(spark, SF001)
+    df.collect()
+    plan = _plan(df)
+    assert "hashpartitioning(county_code" not in plan.split("== Initial Plan ==")[0]
+
+
 def test_size_shuffles(spark):
     from fairlend.plans.session import size_shuffles
     before = spark.conf.get("spark.sql.shuffle.partitions")
