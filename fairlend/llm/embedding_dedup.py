@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fairlend.llm.components import connected_components
 from fairlend.llm.tables import stored
+from fairlend.llm.text import in_batches
 
 TABLES = 4
 #: Vectors that the rotation is learned from, at most; rounds of learning.
@@ -142,7 +143,7 @@ def _index(entries: DataFrame, bits: int, models: dict[int, Rotation]) -> DataFr
                          pa.array(out["data"], pa.binary())],
                         ["bucket", "spot", "resident", "rep", "copies", "code", "data"])
 
-    return entries.mapInArrow(run, _ROW)
+    return entries.transform(in_batches, run, _ROW)
 
 
 def _compare(first: dict, second: dict | None, table: int, least: float) -> list[tuple[int, int, int]]:
@@ -220,7 +221,7 @@ def _links(cells: DataFrame, least: float) -> DataFrame:
         if found := close(held):
             yield out(found)
 
-    return cells.mapInArrow(run, "rep long, linked long, low long")
+    return cells.transform(in_batches, run, "rep long, linked long, low long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
@@ -264,3 +265,27 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     rows = (linked.select("vec_id", "n_links", F.col("component").alias("component_id"))
             .union(alone.select("vec_id", F.lit(0).cast("long"), "vec_id")))
     return rows.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: DuckDB SQL for the registered query.
+ORACLE = r"""
+with recursive good as (
+  select row_number() over () as r, vec_id, label, embedding::double[] as v from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+    and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links as (
+  select a.r as a, b.r as b from good a join good b
+  on a.label = b.label and len(a.v) = len(b.v) and a.r <> b.r and list_cosine_similarity(a.v, b.v) >= 0.93),
+reach as (
+  select r as a, r as b from good union select reach.a, links.b from reach join links on links.a = reach.b),
+groups as (select reach.a as r, min(g.vec_id) as component_id from reach join good g on g.r = reach.b group by reach.a),
+counts as (select a as r, count(*) as n_links from links group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from good join groups using (r) left join counts using (r)
+union all
+select vec_id, 0, vec_id, vec_id = vec_id from embeddings e
+where not coalesce(vec_id is not null and label is not null and len(embedding) > 0
+  and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+  and list_bool_or(list_transform(embedding, lambda x: x <> 0)), false)
+"""

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fairlend.llm.repeats import gram_hashes
 from fairlend.llm.tables import stored
-from fairlend.llm.text import byte_view, chunks
+from fairlend.llm.text import byte_view, chunks, in_batches
 from fairlend.llm.toxicity import is_held_out
 
 #: Bytes of an n-gram, buckets they are hashed to, target rows that the target model counts at most.
@@ -60,7 +60,7 @@ def count_grams(docs: DataFrame) -> np.ndarray:
                                           "n": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
     schema = "k int, n binary"
-    rows = docs.select("text").mapInArrow(local, schema).repartition(BUCKETS // _BLOCK, "k").mapInArrow(add, schema)
+    rows = docs.select("text").transform(in_batches, local, schema).repartition(BUCKETS // _BLOCK, "k").mapInArrow(add, schema)
     out = np.zeros(BUCKETS, np.int64)
     for r in rows.collect():
         out[r.k:r.k + _BLOCK] = np.frombuffer(r.n, np.int64)
@@ -94,7 +94,7 @@ def log_weights(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(n.astype(np.int64)),
                                                   pa.array(weight)], ["doc_id", "tag", "n_grams", "log_weight"])
 
-    return docs.select("doc_id", F.xxhash64("text", F.lit(SEED)).alias("tag"), "text").mapInArrow(
+    return docs.select("doc_id", F.xxhash64("text", F.lit(SEED)).alias("tag"), "text").transform(in_batches, 
         run, "doc_id long, tag long, n_grams long, log_weight double")
 
 

@@ -27,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from fairlend.llm.tables import stored
-from fairlend.llm.text import chunks
+from fairlend.llm.text import chunks, in_batches
 
 FULL, COMPARE, CONTEXT, WINDOW, MARK, ROW = range(6)
 _ROW = "kind int, key long, seg long, many boolean, doc_id long, tag long, s long, n long"
 _NAMES = ["kind", "key", "seg", "many", "doc_id", "tag", "s", "n"]
 #: Segments a task holds before it combines and passes them on.
-HELD = 400_000
+HELD = 200_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
                                0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -169,7 +169,7 @@ def _find(docs: DataFrame, w: Windows) -> DataFrame:
         if held:
             yield from close()
 
-    return docs.mapInArrow(run, _ROW)
+    return docs.transform(in_batches, run, _ROW)
 
 
 def _meet(rows: DataFrame, w: Windows, single: bool) -> DataFrame:
@@ -233,7 +233,7 @@ def _meet(rows: DataFrame, w: Windows, single: bool) -> DataFrame:
             yield from settle(*columns(held))
 
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(width, "key").sortWithinPartitions("key").mapInArrow(run, _ROW)
+    return rows.repartition(width, "key").sortWithinPartitions("key").transform(in_batches, run, _ROW)
 
 
 _PART = "kind int, key long, seg long, many boolean, doc_id long, tag long, s long, n long, data binary"
@@ -282,7 +282,7 @@ def _fetch(docs: DataFrame, asked: DataFrame, w: Windows) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([*got.columns, pa.nulls(got.num_rows, pa.binary())],
                                                          [*_NAMES, "data"])
 
-    return _same(docs.select("doc_id", "tag", "text"), wanted, "inner").mapInArrow(run, _PART)
+    return _same(docs.select("doc_id", "tag", "text"), wanted, "inner").transform(in_batches, run, _PART)
 
 
 def _window_sums(units: np.ndarray, window: int) -> np.ndarray:
@@ -330,7 +330,7 @@ def repeated_spans(docs: DataFrame, w: Windows, compare: Callable, name: str) ->
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     compared = (parts.where(F.col("kind").isin(COMPARE, CONTEXT)).select("kind", "key", "doc_id", "tag", "s", "n", "data")
                 .repartition(width, "key").sortWithinPartitions("key", "s", "tag")
-                .mapInArrow(run, "doc_id long, tag long, s long, n long"))
+                .transform(in_batches, run, "doc_id long, tag long, s long, n long"))
     alone = _meet(parts.where(F.col("kind").isin(ROW, FULL)).drop("data"), w, single=True)
     full = met.where(f"kind = {FULL}").union(alone.where(f"kind = {FULL}")).select("doc_id", "tag", "s", "n")
     return (full.union(compared).groupBy("doc_id", "tag")
@@ -379,5 +379,5 @@ def cut(docs: DataFrame, w: Windows, compare: Callable, apply: Callable, fields:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*rest, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1])
-    out = joined.mapInArrow(run, f"{schema}, {fields}")
+    out = joined.transform(in_batches, run, f"{schema}, {fields}")
     return out.withColumnRenamed("_tag", "tag") if "tag" in names else out

@@ -22,7 +22,7 @@ from fairlend.llm.text import byte_texts
 
 WINDOW, GRAM, WIDE = 35, 8, 4_096
 #: Word hashes a worker remembers.
-MEMO = 300_000
+MEMO = 150_000
 
 
 class _Hashes(dict):
@@ -113,3 +113,21 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     return made.select(*(F.col("doc_id") if c == "doc_id" else text.alias("text") if c == "text"
                          else size.cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
                          else F.col(f"`c_{c}`").alias(c) for c in names))
+
+
+#: DuckDB SQL for the registered query.
+ORACLE = r"""
+with docs as (select row_number() over () as r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+windows as (
+  select r, k, md5(array_to_string(list_slice(w, k, k + 34), ' ')) as h
+  from (select r, w, unnest(generate_series(1, len(w) - 34)) as k from docs where len(w) >= 35)),
+repeated as (select r, k from (select r, k, count(*) over (partition by h) as n from windows) where n > 1),
+gone as (select distinct r, unnest(generate_series(k, k + 34)) as j from repeated),
+words as (select r, j, w[j] as word from (select r, w, unnest(generate_series(1, len(w))) as j from docs)),
+left_over as (
+  select r, string_agg(word, ' ' order by j) as kept, count(*) as n
+  from words anti join gone using (r, j) group by r)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from docs left join left_over using (r)
+"""

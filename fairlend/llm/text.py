@@ -6,9 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+#: Bytes of an Arrow batch between Spark and a Python worker, where the session sets no limit of its own.
+BATCH_BYTES = 8 << 20
 #: Bytes of text that one step of a task works on at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+
+
+def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches of bounded bytes, however long a row's text is."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +67,7 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
 class Memo(dict):
     """``key -> make([key])[0]`` with two generations of at most ``limit`` keys each.
 
-    ``fill`` makes all missing keys in one call.  Only the memory is bounded:
+    ``fill`` takes distinct keys and makes all missing ones in one call.  Only the memory is bounded:
     a key that fell out is made anew, with the same value.
     """
 
@@ -69,7 +80,7 @@ class Memo(dict):
             self.old = dict(self)
             self.clear()
         missing = []
-        for key in [k for k in set(keys) if k not in self]:
+        for key in [k for k in keys if k not in self]:
             value = self.old.get(key)
             if value is None:
                 missing.append(key)

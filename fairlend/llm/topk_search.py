@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fairlend.llm.text import in_batches
+
 #: Queries of a panel, candidates of a shard, rows of a pack, lists merged at once.
 PANEL, SHARD, PACK, FAN_IN = 32_768, 65_536, 1_024, 16
 #: Query rows multiplied with one pack at a time.
@@ -58,7 +60,7 @@ def _pack(df: DataFrame, kind: int, cells) -> DataFrame:
                             "data": pa.array([chosen.astype(code).tobytes()], pa.binary()),
                             "code": pa.array([code])})
 
-    return df.mapInArrow(run, _PACKED)
+    return df.transform(in_batches, run, _PACKED)
 
 
 class _Best:
@@ -190,7 +192,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
                     "score": pa.array(score[good].astype(np.int64), pa.int64())})
 
     lists = (packs.repartitionById(panels * shards, "cell").sortWithinPartitions("cell", "kind")
-             .mapInArrow(search, "query_id long, branch int, vec_id long, score long")
+             .transform(in_batches, search, "query_id long, branch int, vec_id long, score long")
              .groupBy("query_id", "branch")
              .agg(F.collect_list(F.struct(F.negate("score").alias("low"), "vec_id")).alias("top")))
     width = shards

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fairlend.llm.text import Memo, chunks, strings
+from fairlend.llm.text import chunks, in_batches, Memo, strings
 
 #: Training rows of each label at most, and bytes of a training text at most.
 TOXIC_ROWS, CLEAN_ROWS, MAX_TRAIN_BYTES = 2_500, 5_000, 16_384
@@ -172,16 +172,15 @@ def score_toxicity(docs: DataFrame, model: Model, out: str = "score") -> DataFra
             for batch in chunks(whole, "text"):
                 split = [x.split() for x in strings(batch.column("text"))]
                 logit = np.full(len(split), model.bias)
-                for k in range(0, len(split), 64):
-                    memo.fill([w for words in split[k:k + 64] for w in words])
-                    for i, words in enumerate(split[k:k + 64], k):
-                        if words:
-                            logit[i] += sum(map(memo.__getitem__, words)) / (len(words) + PAD)
+                memo.fill(set().union(*split))
+                for i, words in enumerate(split):
+                    if words:
+                        logit[i] += sum(map(memo.__getitem__, words)) / (len(words) + PAD)
                 score = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*rest, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{out}` double")
+    return docs.transform(in_batches, run, f"{fields}, `{out}` double")
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
