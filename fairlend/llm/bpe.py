@@ -20,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fairlend.llm.pretokens import pieces
-from fairlend.llm.text import Memo, chunks, strings
+from fairlend.llm.pretokens import piece_keys, piece_text
+from fairlend.llm.text import chunks, in_batches, Memo, strings
 
 #: Pieces a worker remembers per generation.
-MEMO = 400_000
+MEMO = 150_000
 #: A bitmap word has 2 ** SHIFT bits; two levels hold 4 ** SHIFT ranks.
 SHIFT = 8
 
@@ -119,7 +119,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def _memo(path: str) -> Memo:
     ranks = load_ranks(path)
     queue = RankQueue(max(ranks.values()) + 1)
-    return Memo(lambda missing: [array("I", encode_piece(x.encode("utf-8"), ranks, queue)).tobytes()
+    return Memo(lambda missing: [array("I", encode_piece(piece_text(x).encode("utf-8"), ranks, queue)).tobytes()
                                  for x in missing], MEMO)
 
 
@@ -146,14 +146,12 @@ def encode_bpe(df: DataFrame, ranks_path: str, text: str = "text", out: str = "i
         memo = _memo(ranks_path)
         for whole in batches:
             for batch in chunks(whole, text):
-                ids = []
-                split = [pieces(x) for x in strings(batch.column(text))]
-                for part in split:
-                    memo.fill(part)
-                    ids.append(b"".join(map(memo.__getitem__, part)))
+                split = [piece_keys(x) for x in strings(batch.column(text))]
+                memo.fill(set().union(*split))
+                ids = [b"".join(map(memo.__getitem__, part)) for part in split]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*rest, out])
 
-    return df.mapInArrow(run, f"{_ddl(df)}, `{out}` binary" if rest else f"`{out}` binary")
+    return df.transform(in_batches, run, f"{_ddl(df)}, `{out}` binary" if rest else f"`{out}` binary")
 
 
 def decode_bpe(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -172,7 +170,7 @@ def decode_bpe(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "dec
                            for x in batch.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*rest, out])
 
-    return df.mapInArrow(run, f"{_ddl(df)}, `{out}` binary")
+    return df.transform(in_batches, run, f"{_ddl(df)}, `{out}` binary")
 
 
 def _ddl(df: DataFrame) -> str:

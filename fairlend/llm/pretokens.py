@@ -25,9 +25,8 @@ def _classes(codes: np.ndarray) -> np.ndarray:
     return got
 
 
-def piece_starts(text: str) -> np.ndarray:
-    """The index of the first character of each piece."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def piece_starts(codes: np.ndarray) -> np.ndarray:
+    """The index of the first character of each piece of a text, given as its code points."""
     n = len(codes)
     if n == 0:
         return np.zeros(0, np.int64)
@@ -57,5 +56,23 @@ def piece_starts(text: str) -> np.ndarray:
 
 def pieces(text: str) -> list[str]:
     """The pieces of ``text`` in order; joined they give it back."""
-    at = piece_starts(text).tolist()
+    at = piece_starts(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)).tolist()
     return [text[a:b] for a, b in zip(at, [*at[1:], len(text)])]
+
+
+def piece_keys(text: str) -> list[bytes] | list[str]:
+    """The pieces as keys for a memo: Latin-1 bytes where the text has no other characters, which is faster, else strings."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return pieces(text)
+    if not raw:
+        return []
+    if 0 in raw:
+        return pieces(text)
+    codes = np.frombuffer(raw, np.uint8)
+    return np.insert(codes, piece_starts(codes)[1:], 0).tobytes().split(b"\0")
+
+
+def piece_text(key: bytes | str) -> str:
+    return key.decode("latin-1") if isinstance(key, bytes) else key

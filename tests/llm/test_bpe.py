@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import types as T
 
 from fairlend.llm.bpe import RankQueue, bpe_digests, decode_bpe, encode_bpe, encode_piece, load_ranks
-from fairlend.llm.pretokens import pieces
+from fairlend.llm.pretokens import piece_keys, piece_text, pieces
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 QUEUE = RankQueue(60_000)
@@ -26,6 +26,13 @@ def library():
 @given(st.text(alphabet=st.one_of(st.sampled_from("ab sSt'relvmd  \n\t  1٣é!?-"), st.characters(exclude_categories=["Cs"])), max_size=60))
 def test_pieces_are_the_matches_of_the_pattern(text):
     assert pieces(text) == PATTERN.findall(text)
+    assert [piece_text(k) for k in piece_keys(text)] == pieces(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=255), max_size=60))
+def test_latin_pieces(text):
+    assert [piece_text(k) for k in piece_keys(text)] == PATTERN.findall(text)
 
 
 def test_every_character_class_is_the_patterns():
