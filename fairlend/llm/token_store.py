@@ -29,20 +29,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlend.llm.huffman import Code, code_lengths
-from fairlend.llm.pretokens import pieces
-from fairlend.llm.text import Memo, byte_view, chunks, strings
+from fairlend.llm.pretokens import piece_keys, piece_text
+from fairlend.llm.text import byte_view, chunks, in_batches, Memo, strings
 from fairlend.plans.session import shared_dir
 
 BLOCK = 512
 SEGMENT = 1 << 19
 #: Pieces that are encoded together, and that a worker remembers per generation.
 TOGETHER, MEMO = 1024, 400_000
+_IDS, _ID_ROWS = ["doc_id", "tie", "ids", "wide"], "doc_id long, tie long, ids binary, wide boolean"
 _BLOCKS = ("part int, segment int, before long, n_ids long, payload binary, checkpoints binary, "
            "doc_ids array<bigint>, doc_sizes array<bigint>")
 
 
+def id_code(largest: int) -> str:
+    """How ids up to ``largest`` are held before they are coded: little-endian unsigned, 16 bits if they fit."""
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 class HubEncoder:
-    """Ids by a tokenizer file; each distinct piece goes through the library once."""
+    """Ids by a tokenizer file, as ``code``; pieces that a worker remembers do not go through the library again."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,12 +57,15 @@ class HubEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.code = id_code(size - 1)
+        self.width = np.dtype(self.code).itemsize
         # A byte-level token has one character per byte.
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.memo = Memo(self._make, MEMO)
 
-    def _make(self, missing: list[str]) -> list[bytes]:
+    def _make(self, keys: list[bytes | str]) -> list[bytes]:
         """Runs of letters after a blank stay separate when joined; all other pieces go alone."""
+        missing = [piece_text(k) for k in keys]
         got: dict[str, bytes] = {}
         plain = [x for x in missing if x[0] == " " and x[1:].isalpha() and not any(a in x for a in self.added)]
         groups = [plain[i:i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
@@ -64,26 +73,25 @@ class HubEncoder:
         other = [x for x in missing if x not in known]
         for group, found in zip(groups, self._library(["".join(g) for g in groups])):
             ids = np.array(found, np.int64)
+            raw = ids.astype(self.code).tobytes()
             ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(x.encode()) for x in group])) + 1
-            for x, a, b in zip(group, [0, *ends.tolist()], ends.tolist()):
-                got[x] = ids[a:b].astype("<u4").tobytes()
+            ends = (ends * self.width).tolist()
+            for x, a, b in zip(group, [0, *ends], ends):
+                got[x] = raw[a:b]
         for x, found in zip(other, self._library(other)):
-            got[x] = np.array(found, "<u4").tobytes()
+            got[x] = np.array(found, self.code).tobytes()
         return [got[x] for x in missing]
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for x in texts:
-            if any(a in x for a in self.added):  # added tokens are found before the text is split
-                out.append(np.array(self._library([x])[0], "<u4").tobytes())
-            else:
-                part = pieces(x)
-                self.memo.fill(part)
-                out.append(b"".join(map(self.memo.__getitem__, part)))
-        return out
+        # Added tokens are found before a text is split: such a text goes to the library as it is.
+        split = [None if any(a in x for a in self.added) else piece_keys(x) for x in texts]
+        self.memo.fill(set().union(*filter(None, split)))
+        look = self.memo.__getitem__
+        return [np.array(self._library([x])[0], self.code).tobytes() if part is None else b"".join(map(look, part))
+                for x, part in zip(texts, split)]
 
 
 @lru_cache(maxsize=2)
@@ -92,21 +100,22 @@ def _encoder(path: str) -> HubEncoder:
 
 
 def encode_hub(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """(doc_id, tie, ids): little-endian unsigned 32-bit ids of each text, then ``end_id``.
+    """(doc_id, tie, ids, wide): the ids of each text, then ``end_id``, as 32-bit integers if ``wide``, else 16-bit.
 
     The tokenizer must be byte-level BPE.  A null text is empty.  ``tie``
     orders rows of equal doc_id by their text, so that reruns agree.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = _encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode = _encoder(tokenizer_path)
+        end, wide = np.array([end_id], encode.code).tobytes(), encode.width == 4
         for whole in batches:
             for batch in chunks(whole, "text"):
                 ids = [x + end for x in encode(strings(batch.column("text")))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"),
-                                                  pa.array(ids, pa.binary())], ["doc_id", "tie", "ids"])
+                                                  pa.array(ids, pa.binary()), pa.array([wide] * len(ids))], _IDS)
 
-    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(
-        run, "doc_id long, tie long, ids binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").transform(in_batches, 
+        run, _ID_ROWS)
 
 
 def count_ids(tokens: DataFrame) -> np.ndarray:
@@ -122,7 +131,8 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
         for whole in batches:
             for batch in chunks(whole, "ids"):
                 data, at = byte_view(batch.column("ids"))
-                found = np.bincount(data[at[0]:at[-1]].view("<u4"))
+                code = "<u4" if batch.column("wide")[0].as_py() else "<u2"
+                found = np.bincount(np.frombuffer(data[at[0]:at[-1]].tobytes(), code))
                 if len(found) > len(total):
                     total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
                 total[:len(found)] += found
@@ -131,7 +141,7 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
             [np.pad(total[k:k + width], (0, max(0, k + width - len(total)))).tolist() for k in at],
             pa.list_(pa.int64()))})
 
-    rows = (tokens.select("ids").mapInArrow(local, "k long, n array<long>")
+    rows = (tokens.select("ids", "wide").transform(in_batches, local, "k long, n array<long>")
             .select("k", F.posexplode("n")).where("col > 0").groupBy((F.col("k") + F.col("pos")).alias("id"))
             .agg(F.sum("col").alias("n")).collect())
     out = np.zeros(max((r.id for r in rows), default=-1) + 1, np.int64)
@@ -141,7 +151,7 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
 
 
 def write_token_files(tokens: DataFrame, path: str) -> None:
-    """Write (doc_id, tie, ids) to ``path`` in ascending order of doc_id, nulls first (see the module)."""
+    """Write (doc_id, tie, ids, wide) to ``path`` in ascending order of doc_id, nulls first (see the module)."""
     spark = tokens.sparkSession
     lengths = code_lengths(count_ids(tokens))
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/code")
@@ -161,8 +171,8 @@ def write_token_files(tokens: DataFrame, path: str) -> None:
                 "doc_ids": pa.array([ids], pa.list_(pa.int64())), "doc_sizes": pa.array([sizes], pa.list_(pa.int64()))})
 
         for batch in batches:
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                got = np.frombuffer(raw, "<u4").astype(np.int64)
+            for doc_id, raw, wide in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "wide"))):
+                got = np.frombuffer(raw, "<u4" if wide else "<u2").astype(np.int64)
                 held.append(got)
                 ids.append(doc_id)
                 sizes.append(len(got))
@@ -175,8 +185,8 @@ def write_token_files(tokens: DataFrame, path: str) -> None:
 
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc_nulls_first()]
-    (tokens.repartitionByRange(width, *order).sortWithinPartitions(*order).select("doc_id", "ids")
-     .mapInArrow(run, _BLOCKS).write.parquet(f"{path}/blocks"))
+    (tokens.repartitionByRange(width, *order).sortWithinPartitions(*order).select("doc_id", "ids", "wide")
+     .transform(in_batches, run, _BLOCKS).write.parquet(f"{path}/blocks"))
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -208,7 +218,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     "ids": pa.array([bytes(raw[4 * a:4 * b]) for a, b in zip(at.tolist(), ends.tolist())],
                                     pa.binary())})
 
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.transform(in_batches, run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_file_report(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
@@ -222,5 +232,5 @@ def token_file_report(docs: DataFrame, tokenizer_path: str, end_id: int = 2) ->
     held = shared_dir(spark, "ids")
     encode_hub(docs, tokenizer_path, end_id).write.option("compression", "zstd").parquet(held)
     path = shared_dir(spark, "token-files")
-    write_token_files(spark.read.schema("doc_id long, tie long, ids binary").parquet(held), path)
+    write_token_files(spark.read.schema(_ID_ROWS).parquet(held), path)
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

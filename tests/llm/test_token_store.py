@@ -56,7 +56,7 @@ def test_code_round_trip(ids, block):
 def test_ids_are_the_librarys(texts):
     texts = [*texts, "a <|endoftext|> b", " one two three", ""]
     want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER(texts)] == want
+    assert [np.frombuffer(x, ENCODER.code).tolist() for x in ENCODER(texts)] == want
 
 
 ENCODER = HubEncoder(PATH)
