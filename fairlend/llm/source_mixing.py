@@ -18,7 +18,7 @@ from fairlend.llm.tables import stored
 #: A word, as a regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 #: About so many rows share a key range; bounds what one task sorts.
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2_000
 #: Bits of a row's key.
 KEY_BITS = 60
 
