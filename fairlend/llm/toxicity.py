@@ -86,6 +86,17 @@ class Model:
         return (np.add.reduceat(self.weights[buckets], ends - sizes) / sizes).tolist()
 
 
+def _all_grams(words: list[str], together: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """``word_grams`` of many words in narrow integers, some thousand words at a time."""
+    grams, ends, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    for k in range(0, len(words), together):
+        part, stops = word_grams(words[k:k + together])
+        grams.append(part.astype(np.int32))
+        ends.append(stops + size)
+        size += len(part)
+    return np.concatenate(grams), np.concatenate(ends)
+
+
 def train(texts: list[str], toxic: np.ndarray) -> Model:
     """Bucket vectors and softmax together, by Adagrad over shuffled batches of texts."""
     toxic = np.asarray(toxic, np.int64)
@@ -99,7 +110,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     for x in texts:
         at, n = np.unique([names.setdefault(w, len(names)) for w in x.split()] or [-1], return_counts=True)
         bags.append((at[at >= 0], n[at >= 0] / (n[at >= 0].sum() + PAD)))
-    grams, ends = word_grams(list(names)) if names else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    grams, ends = _all_grams(list(names))
     vectors = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     seen = [np.full_like(a, 1e-6) for a in (vectors, out, bias)]
