@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlend.llm.bpe import bpe_digests
-from fairlend.llm.embedding_dedup import near_duplicates
-from fairlend.llm.jaccard_join import jaccard_groups
+from fairlend.llm.embedding_dedup import ORACLE as NEAR_SQL, near_duplicates
+from fairlend.llm.jaccard_join import ORACLE as JACCARD_SQL, jaccard_groups
 from fairlend.llm.quality import resample
 from fairlend.llm.source_mixing import ORACLE as MIX_SQL, mix
-from fairlend.llm.substring_dedup import substring_report
+from fairlend.llm.substring_dedup import ORACLE as SUBSTRING_SQL, substring_report
 from fairlend.llm.suffix_dedup import suffix_report
 from fairlend.llm.token_store import token_file_report
 from fairlend.llm.toxicity import toxicity_report
@@ -86,4 +86,10 @@ QUERIES = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLE: dict[str, str] = {"op1_topk_search": TOP_SQL, "op2_source_mixing": MIX_SQL}
+ORACLE: dict[str, str] = {
+    "op1_topk_search": TOP_SQL,
+    "op2_source_mixing": MIX_SQL,
+    "op3_substring_dedup": SUBSTRING_SQL,
+    "op6_embedding_dedup": NEAR_SQL,
+    "op7_jaccard_join": JACCARD_SQL,
+}
