@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fairlend.llm.text import chunks, in_batches, Memo, strings
 
 #: Training rows of each label at most, and bytes of a training text at most.
-TOXIC_ROWS, CLEAN_ROWS, MAX_TRAIN_BYTES = 2_500, 5_000, 16_384
+TOXIC_ROWS, CLEAN_ROWS, MAX_TRAIN_BYTES = 2_000, 4_000, 12_288
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
 STEPS, BATCH, RATE, GAIN, SEED = 300, 128, 1.0, 30.0, 7
 #: Neutral words that every mean counts besides a text's own, so that one odd word does not decide a short text.
@@ -109,7 +109,8 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     bags = []
     for x in texts:
         at, n = np.unique([names.setdefault(w, len(names)) for w in x.split()] or [-1], return_counts=True)
-        bags.append((at[at >= 0], n[at >= 0] / (n[at >= 0].sum() + PAD)))
+        at, n = at[at >= 0], n[at >= 0]
+        bags.append((at.astype(np.int32), (n / (n.sum() + PAD)).astype(np.float32)))
     grams, ends = _all_grams(list(names))
     vectors = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
@@ -121,7 +122,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         for k in range(0, len(order), BATCH):
             pick = order[k:k + BATCH]
             word = np.concatenate([bags[i][0] for i in pick])
-            part = np.concatenate([bags[i][1] for i in pick]).astype(np.float32) * GAIN
+            part = np.concatenate([bags[i][1] for i in pick]) * np.float32(GAIN)
             owner = np.repeat(np.arange(len(pick)), [len(bags[i][0]) for i in pick])
             if not len(word):
                 continue
@@ -165,7 +166,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
     rows = (docs.select("doc_id", "text").where(f"octet_length(text) <= {MAX_TRAIN_BYTES}")
             .join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").toArrow())
     rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
-    return train(rows["text"].to_pylist(), rows["toxic"].to_numpy())
+    texts, toxic = rows["text"].to_pylist(), rows["toxic"].to_numpy()
+    del rows
+    return train(texts, toxic)
 
 
 def score_toxicity(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
