@@ -8,18 +8,23 @@ a byte; a window is ``window`` consecutive units of one document.
   anchors at equal distances, so a window can repeat only where its anchor
   does.  Neighbouring windows with one anchor form a segment.
 * Segments meet by anchor.  Equal segments (compared by hash) are repeated as
-  a whole and are combined within a task before any shuffle.  A segment whose
-  anchor occurs nowhere else is unique and leaves the job.
+  a whole and are combined within a task before any shuffle; what a task finds
+  so only travels to its document.  A segment whose anchor occurs nowhere else
+  is unique and leaves the job.
+* Anchors are counted first.  One with more than ``wide`` rows meets no task:
+  its equal segments are aggregated, then its different segments are counted.
 * Different segments with one anchor are compared unit by unit by the
   operator's own method, in groups that fit in memory.
 * Where more than ``wide`` different segments share an anchor, the windows go
-  on alone, each by the hash of all its units, which spreads them again.
+  on alone, each by the hash of all its units, which spreads them again; equal
+  windows are aggregated too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from fairlend.llm.tables import stored
 from fairlend.llm.text import chunks, in_batches
 
-FULL, COMPARE, CONTEXT, WINDOW, MARK, ROW = range(6)
+FULL, COMPARE, CONTEXT, WINDOW, ROW = range(5)
 _ROW = "kind int, key long, seg long, many boolean, doc_id long, tag long, s long, n long"
 _NAMES = ["kind", "key", "seg", "many", "doc_id", "tag", "s", "n"]
 #: Segments a task holds before it combines and passes them on.
@@ -108,15 +113,13 @@ def _batch(kind, key, seg, many, doc_id, tag, s, n) -> pa.RecordBatch:
          pa.array(tag), pa.array(s), pa.array(n)], _NAMES)
 
 
-def combine(key, seg, doc_id: pa.Array, tag, s, n, wide: int) -> Iterator[pa.RecordBatch]:
-    """What a task passes on of its segments: one row per different segment, known repeats, marks of wide keys."""
+def combine(key, seg, doc_id: pa.Array, tag, s, n) -> Iterator[pa.RecordBatch]:
+    """What a task passes on of its segments: one row per different segment, and known repeats."""
     order = np.lexsort((seg, key))
     key, seg, tag, s, n = (x[order] for x in (key, seg, tag, s, n))
     doc_id = doc_id.take(pa.array(order))
-    new_key = np.ones(len(key), bool)
-    new_key[1:] = key[1:] != key[:-1]
-    new = new_key.copy()
-    new[1:] |= seg[1:] != seg[:-1]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (seg[1:] != seg[:-1])
     group = np.cumsum(new) - 1
     many = np.bincount(group)[group] > 1
     full = np.flatnonzero(many)
@@ -131,15 +134,10 @@ def combine(key, seg, doc_id: pa.Array, tag, s, n, wide: int) -> Iterator[pa.Rec
         fresh[1:] = np.any([x[1:] != x[:-1] for x in same], axis=0) | (a[1:] != b[:-1])
         at = np.flatnonzero(fresh)
         ends = b[np.append(at[1:], len(back)) - 1]
-        yield _batch(FULL, _mixed(t[at].view(np.uint64)).view(np.int64), np.zeros(len(at), np.int64), True,
-                     ids.take(pa.array(at)), t[at], a[at], ends - a[at])
+        zero = np.zeros(len(at), np.int64)
+        yield _batch(FULL, zero, zero, True, ids.take(pa.array(at)), t[at], a[at], ends - a[at])
     rows = np.flatnonzero(new)
     yield _batch(ROW, key[rows], seg[rows], many[rows], doc_id.take(pa.array(rows)), tag[rows], s[rows], n[rows])
-    per_key = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_key)) if len(key) else np.zeros(0, np.int64)
-    marks = key[np.flatnonzero(new_key)[per_key > wide]]
-    if len(marks):
-        zero = np.zeros(len(marks), np.int64)
-        yield _batch(MARK, marks, zero, False, pa.nulls(len(marks), pa.int64()), zero, zero, zero)
 
 
 def _find(docs: DataFrame, w: Windows) -> DataFrame:
@@ -151,7 +149,7 @@ def _find(docs: DataFrame, w: Windows) -> DataFrame:
             parts = list(zip(*held))
             ids = pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in parts[2]])
             key, seg, tag, s, n = (np.concatenate(parts[i]) for i in (0, 1, 3, 4, 5))
-            yield from combine(key, seg, ids, tag, s, n, w.wide)
+            yield from combine(key, seg, ids, tag, s, n)
 
         for whole in batches:
             for batch in chunks(whole, "text"):
@@ -172,39 +170,27 @@ def _find(docs: DataFrame, w: Windows) -> DataFrame:
     return docs.transform(in_batches, run, _ROW)
 
 
-def _meet(rows: DataFrame, w: Windows, single: bool) -> DataFrame:
-    """Rows that met by key: FULL repeats and, unless ``single``, what has to be compared.
+def _meet(rows: DataFrame) -> DataFrame:
+    """Segments that met by key: FULL repeats and what has to be compared.
 
-    A task streams its keys in order and holds one key at a time, in which a
-    task before has combined equal segments.
+    ``rows`` has no key with more than ``wide`` rows.  A task streams its keys
+    in order and holds one key at a time and a batch.
     """
     def settle(c: dict[str, np.ndarray], doc_id: pa.Array) -> Iterator[pa.RecordBatch]:
-        known = np.flatnonzero(c["kind"] == FULL)
-        part = [(FULL, known)]
-        at = np.flatnonzero(c["kind"] != FULL)
-        key, seg, kind = c["key"][at], c["seg"][at], c["kind"][at]
-        if len(at):
-            order = np.lexsort((seg, kind != MARK, key))
-            at, key, seg, kind = at[order], key[order], seg[order], kind[order]
-            new_key = np.ones(len(at), bool)
-            new_key[1:] = key[1:] != key[:-1]
-            owner = np.cumsum(new_key) - 1
-            real = kind == ROW
-            new = new_key.copy()
-            new[1:] |= (seg[1:] != seg[:-1]) | (kind[1:] != kind[:-1])
-            group = np.cumsum(new) - 1
-            copies = np.bincount(group, real.astype(np.int64) + c["many"][at])[group]
-            different = np.bincount(owner, new & real)[owner]
-            wide = (np.bincount(owner, ~real)[owner] > 0) | (different > w.wide)
-            part.append((FULL, at[real & (copies > 1)]))
-            if not single:
-                alone = real & (different > 1) & (copies == 1)
-                context = real & (different > 1) & (copies > 1) & new
-                part += [(COMPARE, at[alone & ~wide]), (CONTEXT, at[context & ~wide]),
-                         (WINDOW, at[(alone | context) & wide])]
-        for kind_out, pick in part:
+        at = np.lexsort((c["seg"], c["key"]))
+        key, seg = c["key"][at], c["seg"][at]
+        new_key = np.ones(len(at), bool)
+        new_key[1:] = key[1:] != key[:-1]
+        owner = np.cumsum(new_key) - 1
+        new = new_key.copy()
+        new[1:] |= seg[1:] != seg[:-1]
+        group = np.cumsum(new) - 1
+        copies = np.bincount(group, 1 + c["many"][at].astype(np.int64))[group]
+        different = np.bincount(owner, new)[owner]
+        for kind, pick in ((FULL, at[copies > 1]), (COMPARE, at[(different > 1) & (copies == 1)]),
+                           (CONTEXT, at[(different > 1) & (copies > 1) & new])):
             if len(pick):
-                yield _batch(kind_out, c["key"][pick], c["seg"][pick], c["many"][pick], doc_id.take(pa.array(pick)),
+                yield _batch(kind, c["key"][pick], c["seg"][pick], c["many"][pick], doc_id.take(pa.array(pick)),
                              c["tag"][pick], c["s"][pick], c["n"][pick])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +222,27 @@ def _meet(rows: DataFrame, w: Windows, single: bool) -> DataFrame:
     return rows.repartition(width, "key").sortWithinPartitions("key").transform(in_batches, run, _ROW)
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """(key, seg, copies, one of the rows) of equal segments or windows, partly aggregated before any shuffle."""
+    return rows.groupBy("key", "seg").agg(F.sum(F.lit(1) + F.col("many").cast("int")).alias("copies"),
+                                          F.min(F.struct("doc_id", "tag", "s", "n")).alias("one"))
+
+
+def _spread(rows: DataFrame, wide: int, name: str) -> DataFrame:
+    """What ``_meet`` gives, for keys of any number of rows; segments of wide keys go on by window.
+
+    No task gathers a key: its rows join tables with one row per key or per
+    different segment, where Spark deals out what is skewed.
+    """
+    different = stored(_copies(rows), name)
+    full = rows.join(different.where("copies > 1").select("key", "seg"), ["key", "seg"], "left_semi")
+    per_key = stored(different.groupBy("key").agg(F.count("*").alias("different")).where("different > 1"), name)
+    kind = (F.when(F.col("different") > wide, WINDOW).when(F.col("copies") > 1, CONTEXT).otherwise(COMPARE))
+    asked = (different.join(per_key, "key")
+             .select(kind.alias("kind"), "key", "seg", (F.col("copies") > 1).alias("many"), "one.*"))
+    return full.withColumn("kind", F.lit(FULL)).select(*_NAMES).union(asked.select(*_NAMES))
+
+
 _PART = "kind int, key long, seg long, many boolean, doc_id long, tag long, s long, n long, data binary"
 
 
@@ -278,7 +285,7 @@ def _fetch(docs: DataFrame, asked: DataFrame, w: Windows) -> DataFrame:
                 if win:
                     key, seg, row, s = (np.concatenate(x) for x in zip(*win))
                     ids = batch.column("doc_id").take(pa.array(row))
-                    for got in combine(key, seg, ids, tag[row], s, np.ones(len(s), np.int64), 1 << 62):
+                    for got in combine(key, seg, ids, tag[row], s, np.ones(len(s), np.int64)):
                         yield pa.RecordBatch.from_arrays([*got.columns, pa.nulls(got.num_rows, pa.binary())],
                                                          [*_NAMES, "data"])
 
@@ -299,7 +306,11 @@ def repeated_spans(docs: DataFrame, w: Windows, compare: Callable, name: str) ->
     rows of one key or several (key, context, units) in order of key and gives
     (row, first window, windows) of those that repeat among them.
     """
-    met = stored(_meet(_find(docs, w), w, single=False), name)
+    found = stored(_find(docs, w), name)
+    rows = found.where(F.col("kind") == ROW)
+    hot = stored(rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > w.wide).select("key"), name)
+    met = stored(_meet(rows.join(hot, "key", "left_anti").select(*_NAMES))
+                 .union(_spread(rows.join(hot, "key", "left_semi").select(*_NAMES), w.wide, name)), name)
     asked = met.where(F.col("kind").isin(COMPARE, CONTEXT, WINDOW))
     parts = stored(_fetch(docs, asked, w), name)
 
@@ -331,10 +342,11 @@ def repeated_spans(docs: DataFrame, w: Windows, compare: Callable, name: str) ->
     compared = (parts.where(F.col("kind").isin(COMPARE, CONTEXT)).select("kind", "key", "doc_id", "tag", "s", "n", "data")
                 .repartition(width, "key").sortWithinPartitions("key", "s", "tag")
                 .transform(in_batches, run, "doc_id long, tag long, s long, n long"))
-    alone = _meet(parts.where(F.col("kind").isin(ROW, FULL)).drop("data"), w, single=True)
-    full = met.where(f"kind = {FULL}").union(alone.where(f"kind = {FULL}")).select("doc_id", "tag", "s", "n")
-    return (full.union(compared).groupBy("doc_id", "tag")
-            .agg(F.collect_list(F.struct("s", "n")).alias("spans")))
+    alone = parts.where(F.col("kind") == ROW)
+    alone = alone.join(_copies(alone).where("copies > 1").select("key", "seg"), ["key", "seg"], "left_semi")
+    full = [x.select("doc_id", "tag", "s", "n") for x in (*(y.where(F.col("kind") == FULL) for y in (found, met, parts)), alone)]
+    return (reduce(DataFrame.union, full, compared).groupBy("doc_id", "tag")
+            .agg(F.collect_set(F.struct("s", "n")).alias("spans")))
 
 
 #: Bytes of units that ``compare`` gets at once, and one key more.

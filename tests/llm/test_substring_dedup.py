@@ -87,3 +87,24 @@ def test_leaves_below_deep_nodes(texts, window):
     seen = Counter(tuple(t[k:k + window]) for t in texts for k in range(len(t) - window + 1))
     assert got == {(i, k) for i, t in enumerate(texts) for k in range(len(t) - window + 1)
                    if seen[tuple(t[k:k + window])] > 1}
+
+
+def test_no_task_gathers_a_hot_key(spark, monkeypatch):
+    """Exact copies in many tasks, and a gram that is the anchor in many contexts."""
+    monkeypatch.setattr(substring_dedup, "WIDE", 8)
+    monkeypatch.setattr(repeats, "HELD", 20)
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    copy, gram = text(60), text(8)
+    rows = [(i, " ".join(copy)) for i in range(120)]
+    rows += [(500 + i, " ".join(text(34) + gram + text(34))) for i in range(120)]
+    rows += [(800 + i, " ".join(text(20) + copy[5:45] + text(20))) for i in range(60)]
+    widest, meet = [0], repeats._meet
+
+    def watched(df, *args, **kw):
+        widest.extend(r["count"] for r in df.groupBy("key").count().collect())
+        return meet(df, *args, **kw)
+    monkeypatch.setattr(repeats, "_meet", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(12)
+    got = [tuple(r) for r in substring_report(df).collect()]
+    assert sorted(got) == sorted(brute(rows)) and max(widest) <= 8
