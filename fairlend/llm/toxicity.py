@@ -10,17 +10,19 @@ linear, a trained model is one number per bucket and an intercept.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fairlend.llm.text import chunks, in_batches, Memo, strings
 
-#: Training rows of each label at most, and bytes of a training text at most.
-TOXIC_ROWS, CLEAN_ROWS, MAX_TRAIN_BYTES = 2_000, 4_000, 12_288
+#: Training rows of each label at most.
+TOXIC_ROWS, CLEAN_ROWS = 2_500, 5_000
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5)
 STEPS, BATCH, RATE, GAIN, SEED = 300, 128, 1.0, 30.0, 7
 #: Neutral words that every mean counts besides a text's own, so that one odd word does not decide a short text.
@@ -66,13 +68,6 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h ^ h >> np.uint64(29)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def _ragged(ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, sizes) of the slices that end at ``ends[rows]``."""
-    sizes = ends[rows] - np.where(rows > 0, ends[rows - 1], 0)
-    first = np.cumsum(sizes) - sizes
-    return np.arange(sizes.sum()) - np.repeat(first, sizes) + np.repeat(ends[rows] - sizes, sizes), sizes
-
-
 @dataclass
 class Model:
     """A bucket's share of a word's logit, and the intercept."""
@@ -86,61 +81,60 @@ class Model:
         return (np.add.reduceat(self.weights[buckets], ends - sizes) / sizes).tolist()
 
 
-def _all_grams(words: list[str], together: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """``word_grams`` of many words in narrow integers, some thousand words at a time."""
-    grams, ends, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+def text_bag(text: str, together: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, shares): the weights with which bucket vectors add up to the vector of the whole text."""
+    count = Counter(text.split())
+    words, total = list(count), np.zeros(BUCKETS)
     for k in range(0, len(words), together):
-        part, stops = word_grams(words[k:k + together])
-        grams.append(part.astype(np.int32))
-        ends.append(stops + size)
-        size += len(part)
-    return np.concatenate(grams), np.concatenate(ends)
+        part = words[k:k + together]
+        grams, ends = word_grams(part)
+        sizes = np.diff(ends, prepend=0)
+        share = np.array([count[w] for w in part]) / ((count.total() + PAD) * sizes)
+        total += np.bincount(grams, np.repeat(share, sizes), BUCKETS)
+    at = np.flatnonzero(total)
+    return at.astype(np.uint16), total[at].astype(np.float32)
 
 
 def train(texts: list[str], toxic: np.ndarray) -> Model:
-    """Bucket vectors and softmax together, by Adagrad over shuffled batches of texts."""
+    """``fit`` on the bags of ``texts``."""
+    return fit([text_bag(x) for x in texts], toxic)
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> Model:
+    """Bucket vectors and softmax together, by Adagrad over shuffled batches of texts (see ``text_bag``)."""
     toxic = np.asarray(toxic, np.int64)
-    if not len(texts) or not toxic.any():
+    if not len(bags) or not toxic.any():
         return Model(np.zeros(BUCKETS), -9.0)
     if toxic.all():
         return Model(np.zeros(BUCKETS), 9.0)
     rng = np.random.default_rng(SEED)
-    names: dict[str, int] = {}
-    bags = []
-    for x in texts:
-        at, n = np.unique([names.setdefault(w, len(names)) for w in x.split()] or [-1], return_counts=True)
-        at, n = at[at >= 0], n[at >= 0]
-        bags.append((at.astype(np.int32), (n / (n.sum() + PAD)).astype(np.float32)))
-    grams, ends = _all_grams(list(names))
     vectors = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     seen = [np.full_like(a, 1e-6) for a in (vectors, out, bias)]
-    epochs = -(-STEPS * BATCH // len(texts))
+    place = np.zeros(BUCKETS, np.int64)
+    epochs = -(-STEPS * BATCH // len(bags))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
-        order = rng.permutation(len(texts))
+        order = rng.permutation(len(bags))
         for k in range(0, len(order), BATCH):
             pick = order[k:k + BATCH]
-            word = np.concatenate([bags[i][0] for i in pick])
+            all_buckets = np.concatenate([bags[i][0] for i in pick])
             part = np.concatenate([bags[i][1] for i in pick]) * np.float32(GAIN)
             owner = np.repeat(np.arange(len(pick)), [len(bags[i][0]) for i in pick])
-            if not len(word):
+            if not len(all_buckets):
                 continue
-            own, slot = np.unique(word, return_inverse=True)
-            at, sizes = _ragged(ends, own)
-            bucket, used = np.unique(grams[at], return_inverse=True)
-            starts = np.cumsum(sizes) - sizes
-            own_vectors = np.add.reduceat(vectors[bucket][used], starts) / sizes[:, None]
-            text = np.stack([np.bincount(owner, part * own_vectors[slot, d], len(pick)) for d in range(DIM)], 1)
+            bucket = np.flatnonzero(np.bincount(all_buckets, minlength=BUCKETS))
+            place[bucket] = np.arange(len(bucket))
+            used = place[all_buckets]
+            own_vectors = vectors[bucket]
+            text = np.stack([np.bincount(owner, part * own_vectors[used, d], len(pick)) for d in range(DIM)], 1)
             logit = text @ out + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(pick)), toxic[pick]] -= 1
             p /= len(pick)
-            back = (p @ out.T)[owner] * part[:, None]
-            words_back = np.stack([np.bincount(slot, back[:, d], len(own)) for d in range(DIM)], 1) / sizes[:, None]
-            spread = np.repeat(words_back, sizes, axis=0)
-            step = np.stack([np.bincount(used, spread[:, d], len(bucket)) for d in range(DIM)], 1).astype(np.float32)
+            back = p @ out.T
+            step = np.stack([np.bincount(used, back[owner, d] * part, len(bucket)) for d in range(DIM)], 1).astype(np.float32)
             for where, grad, held, total in ((bucket, step, vectors, seen[0]), (slice(None), text.T @ p, out, seen[1]),
                                              (slice(None), p.sum(0), bias, seen[2])):
                 total[where] += grad * grad
@@ -151,24 +145,40 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
 def learn_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the rows of ``labels`` (doc_id, toxic) that are not held out.
 
-    At most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` rows of each label are used, the
-    first by a hash of the id, and of those the texts up to
-    ``MAX_TRAIN_BYTES``; this bounds what is broadcast and what the driver
-    trains on.  Labels other than 0 and 1 and rows without an id are ignored;
+    At most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` ids of each label are used, the
+    first by a hash of the id, with their whole texts; repeated label rows
+    count once.  Tasks reduce each text to its bag, which has at most
+    ``BUCKETS`` entries of six bytes however long the text is; the driver gets
+    only these.  Labels other than 0 and 1 and rows without an id are ignored;
     without toxic rows every score is near 0.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id")]
     sample = None
     for value, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)):
-        part = usable.where(F.col("toxic") == value).select("doc_id", F.lit(value).alias("toxic")).orderBy(*order).limit(n)
+        part = usable.where(F.col("toxic") == value).select("doc_id").distinct().orderBy(*order).limit(n)
+        part = part.withColumn("toxic", F.lit(value))
         sample = part if sample is None else sample.union(part)
-    rows = (docs.select("doc_id", "text").where(f"octet_length(text) <= {MAX_TRAIN_BYTES}")
-            .join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").toArrow())
-    rows = rows.sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
-    texts, toxic = rows["text"].to_pylist(), rows["toxic"].to_numpy()
-    del rows
-    return train(texts, toxic)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                made = [text_bag(x) for x in strings(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("toxic"),
+                     *(pa.array([x[i].tobytes() for x in made], pa.binary()) for i in (0, 1))], names)
+
+    names = ["doc_id", "toxic", "buckets", "shares"]
+    rows = (docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+            .select("doc_id", "toxic", "text").transform(
+                in_batches, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, buckets binary, shares binary")
+            .toArrow())
+    order = pc.sort_indices(rows, [(x, "ascending") for x in names]).to_pylist()
+    buckets, shares = rows["buckets"], rows["shares"]
+    bags = [(np.frombuffer(buckets[i].as_py(), np.uint16), np.frombuffer(shares[i].as_py(), np.float32)) for i in order]
+    toxic = rows["toxic"].to_numpy()[order]
+    del rows, buckets, shares
+    return fit(bags, toxic)
 
 
 def score_toxicity(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
+from fairlend.llm import toxicity
 from fairlend.llm.toxicity import learn_toxicity, score_toxicity, toxicity_report, train, word_grams
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -67,3 +68,16 @@ def test_no_rows_one_label_and_grams(spark):
     assert buckets[:ends[0]].tolist() == buckets[ends[1]:].tolist() and ends[0] == 3 + 2 + 1 + 1
     kept = score_toxicity(one, train([], []))
     assert kept.columns == ["doc_id", "text", "toxic", "score"]
+
+
+def test_long_texts_and_repeated_labels_teach(spark, monkeypatch):
+    docs, labels = made(200)
+    docs = [(i, t + " " + " ".join(t.split() * (20_000 // len(t))), a, b) for i, t, a, b in docs]
+    assert min(len(t) for _, t, *_ in docs) > 16_384
+    df = spark.createDataFrame(docs, DOCS)
+    once = learn_toxicity(df, spark.createDataFrame(labels, LABELS))
+    by = {r.doc_id: r.score for r in score_toxicity(df.select("doc_id", "text"), once).collect()}
+    assert np.mean([(by[i] >= 0.5) == bool(y) for i, y, _ in labels]) > 0.95
+    monkeypatch.setattr(toxicity, "TOXIC_ROWS", 60)
+    repeated = learn_toxicity(df, spark.createDataFrame([x for x in labels for _ in range(5)], LABELS))
+    assert (repeated.weights == once.weights).all() and repeated.bias == once.bias
