@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fairlend.llm.bpe import bpe_digests
 from fairlend.llm.embedding_dedup import ORACLE as NEAR_SQL, near_duplicates
 from fairlend.llm.jaccard_join import ORACLE as JACCARD_SQL, jaccard_groups
+from fairlend.llm.merkle import ORACLE as MANIFEST_SQL, manifest_report
 from fairlend.llm.quality import resample
 from fairlend.llm.source_mixing import ORACLE as MIX_SQL, mix
 from fairlend.llm.substring_dedup import ORACLE as SUBSTRING_SQL, substring_report
@@ -73,6 +74,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether the proof holds after tampering."""
+    return manifest_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_source_mixing": op2_source_mixing,
@@ -84,6 +90,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_files": op10_token_files,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
@@ -92,4 +99,5 @@ ORACLE: dict[str, str] = {
     "op3_substring_dedup": SUBSTRING_SQL,
     "op6_embedding_dedup": NEAR_SQL,
     "op7_jaccard_join": JACCARD_SQL,
+    "op11_merkle_manifest": MANIFEST_SQL,
 }
