@@ -16,6 +16,7 @@ from fairlend.llm.suffix_dedup import suffix_report
 from fairlend.llm.token_store import token_file_report
 from fairlend.llm.toxicity import toxicity_report
 from fairlend.llm.topk_search import ORACLE as TOP_SQL, top_k
+from fairlend.llm.whitening import whitening_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +80,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_report(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector of embeddings along the first 8 components of all of them."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return whitening_report(rows, most=8)
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_source_mixing": op2_source_mixing,
@@ -91,6 +98,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_files": op10_token_files,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE: dict[str, str] = {
