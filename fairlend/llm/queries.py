@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fairlend.llm.bpe import bpe_digests
 from fairlend.llm.embedding_dedup import ORACLE as NEAR_SQL, near_duplicates
 from fairlend.llm.jaccard_join import ORACLE as JACCARD_SQL, jaccard_groups
+from fairlend.llm.lm_scoring import scoring_report
 from fairlend.llm.merkle import ORACLE as MANIFEST_SQL, manifest_report
 from fairlend.llm.quality import resample
 from fairlend.llm.source_mixing import ORACLE as MIX_SQL, mix
@@ -80,6 +81,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_report(table(spark, sf_dir, "documents"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document by counts and by a class bigram model of those not held out."""
+    return scoring_report(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector of embeddings along the first 8 components of all of them."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
@@ -98,6 +104,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_files": op10_token_files,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
