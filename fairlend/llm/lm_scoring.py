@@ -25,6 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fairlend.llm.tables import stored
@@ -124,18 +125,29 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
                       np.array([ends or 0, *(-n for n, _ in rows)], np.int64))
 
 
+class _Ids(dict):
+    """Word to id; what is not there has the id ``rest``."""
+
+    def __init__(self, head: list[bytes]):
+        super().__init__((w, i) for i, w in enumerate(head))
+        self.rest = len(head)
+
+    def __missing__(self, word: bytes) -> int:
+        return self.rest
+
+
 def _coded(head: list[bytes], fields: list[pa.Field]):
     """ids (32 bits each, END last, ``len(head)`` for a tail word) and the tail's words, in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = {w: i for i, w in enumerate(head)}
-        rest, get = len(head), ids.get
+        ids = _Ids(head)
+        rest, get = len(head), ids.__getitem__
         for batch in batches:
             for part in chunks(batch, "text"):
                 coded, tails = [], []
                 for text in byte_texts(part.column("text")):
                     pieces, tail = [], []
                     for words in words_of(text):
-                        piece = np.fromiter((get(w, rest) for w in words), np.int32, len(words))
+                        piece = np.fromiter(map(get, words), np.int32, len(words))
                         tail += [words[i] for i in np.flatnonzero(piece == rest)]
                         pieces.append(piece)
                     coded.append(np.concatenate([*pieces, np.zeros(1, np.int32)]).tobytes())
@@ -158,27 +170,32 @@ def _before(ids: np.ndarray) -> np.ndarray:
 
 
 def _around(classes: np.ndarray, turn: int | None):
-    """(block, group, cells): sums of one task, a row per block of head words, and the class pairs as block -1."""
+    """(block, cells): sums of one task, a row per block of head words, and the class pairs as block -1."""
     head, k = len(classes) - 1, CLASSES + 1
     width = 2 * k + 1
     size = -(-head // PARTS) if turn is not None else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, cells = np.zeros(k * k, np.int64), np.zeros(size * width, np.int64)
+        start = np.full(head + 1, -1, np.int64)  # of a word's cells; -1 for words of other rounds and the tail
+        if turn is not None:
+            mine = np.arange(turn, head, PARTS)
+            start[mine] = mine // PARTS * width
 
         def count(ids: np.ndarray) -> None:
             nonlocal pairs, cells
-            old, new = _before(ids), ids
-            a, b = classes[old].astype(np.int64), classes[new].astype(np.int64)
-            pairs += np.bincount(a * k + b, minlength=k * k)
+            new = classes[ids].astype(np.int64)
+            old = np.concatenate([classes[:1].astype(np.int64), new[:-1]])
+            pairs += np.bincount(old * k + new, minlength=k * k)
             if turn is None:
                 return
-            codes = []
-            for word, other, beside, shift in ((new, old, a, 0), (old, new, b, k)):
-                mine = np.flatnonzero((word % PARTS == turn) & (word < head) & (word != other))
-                codes.append(word[mine].astype(np.int64) // PARTS * width + beside[mine] + shift)
-            twin = np.flatnonzero((old == new) & (new % PARTS == turn) & (new < head))
-            codes.append(new[twin].astype(np.int64) // PARTS * width + 2 * k)
+            at, twin = start[ids], _before(ids) == ids
+            here = np.flatnonzero(at >= 0)
+            # before a word, or the word itself; after it, the next text's first word standing after this one's END
+            codes = [at[here] + np.where(twin[here], 2 * k, old[here])]
+            first, follow = start[_before(ids)], ~twin
+            here = np.flatnonzero((first >= 0) & follow)
+            codes.append(first[here] + k + new[here])
             cells += np.bincount(np.concatenate(codes), minlength=len(cells))
 
         held, have = [], 0
@@ -190,32 +207,43 @@ def _around(classes: np.ndarray, turn: int | None):
                 held, have = [], 0
         if have:
             count(np.concatenate(held))
-        yield pa.record_batch({"block": pa.array([-1], pa.int32()), "cells": pa.array([pairs.tobytes()], pa.binary())})
+        yield pa.record_batch({"block": pa.array([-1], pa.int32()), "cells": pa.array([_packed(pairs)], pa.binary())})
         for at in range(0, size, BLOCK):
             part = cells[at * width:(at + BLOCK) * width]
             if part.any():
                 yield pa.record_batch({"block": pa.array([at // BLOCK], pa.int32()),
-                                       "cells": pa.array([part.tobytes()], pa.binary())})
+                                       "cells": pa.array([_packed(part)], pa.binary())})
     return run
 
 
+def _packed(cells: np.ndarray) -> bytes:
+    """Counts as 32-bit numbers, after a byte that says so, or as 64-bit ones if they need it."""
+    small = cells.max(initial=0) < 1 << 31
+    return (b"4" + cells.astype(np.int32).tobytes()) if small else b"8" + cells.tobytes()
+
+
+def _unpacked(cells: bytes) -> np.ndarray:
+    kind = np.int32 if cells[:1] == b"4" else np.int64
+    return np.frombuffer(cells, kind, offset=1).astype(np.int64)
+
+
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the cells of consecutive rows with equal block and group."""
     at, total = None, None
 
     def done():
         return pa.record_batch({"block": pa.array([at[0]], pa.int32()), "task": pa.array([at[1]], pa.int64()),
-                                "cells": pa.array([total.tobytes()], pa.binary())})
+                                "cells": pa.array([_packed(total)], pa.binary())})
 
     for batch in batches:
         for block, group, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                        byte_texts(batch.column(2))):
             if (block, group) == at:
-                total += np.frombuffer(cells, np.int64)
+                total += _unpacked(cells)
             else:
                 if at is not None:
                     yield done()
-                at, total = (block, group), np.frombuffer(cells, np.int64).copy()
+                at, total = (block, group), _unpacked(cells)
     if at is not None:
         yield done()
 
@@ -239,7 +267,7 @@ def _moved(classes: np.ndarray, pairs: np.ndarray, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, cells in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
-                rows = np.frombuffer(cells, np.int64).reshape(-1, 2 * k + 1)
+                rows = _unpacked(cells).reshape(-1, 2 * k + 1)
                 own = mine[block * BLOCK:(block + 1) * BLOCK]
                 new = exchange(rows[:len(own), :k], rows[:len(own), k:2 * k], rows[:len(own), 2 * k], own, pairs, CLASSES)
                 yield pa.record_batch({"block": pa.array([block], pa.int32()),
@@ -255,7 +283,7 @@ def head_classes(coded: DataFrame, head: int, tokens: int) -> tuple[np.ndarray,
     earlier round's classes are the result.
     """
     cores = coded.sparkSession.sparkContext.defaultParallelism
-    tasks = max(2 * cores, tokens >> 28)
+    tasks = max(cores, tokens >> 28)
     rows = coded.coalesce(tasks)
     k = CLASSES + 1
     classes = np.append(np.arange(head) % CLASSES, CLASSES).astype(np.uint8)
@@ -266,7 +294,7 @@ def head_classes(coded: DataFrame, head: int, tokens: int) -> tuple[np.ndarray,
         sums = stored(merged(sums.withColumn("task", F.spark_partition_id().cast("long")).select("block", "task", "cells"),
                              tasks), "lm-around")
         cells = sums.where("block = -1").first()
-        pairs = np.frombuffer(cells.cells, np.int64).reshape(k, k) if cells else np.zeros((k, k), np.int64)
+        pairs = _unpacked(bytes(cells.cells)).reshape(k, k) if cells else np.zeros((k, k), np.int64)
         value = likelihood(pairs)
         if best is None or value > best[0]:
             best = value, classes.copy(), pairs
@@ -296,23 +324,39 @@ def _tails(classes: np.ndarray, keys: int):
     return run
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, first row of each key, and their number) of rows that come sorted by ``key``; no key is torn between two."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        last = pc.sum(pc.equal(rows.column(key), rows.column(key)[-1])).as_py()
+        if last < len(rows):
+            yield _keyed(rows.slice(0, len(rows) - last), key)
+        held = rows.slice(len(rows) - last)
+    if held is not None:
+        yield _keyed(held, key)
+
+
+def _keyed(rows: pa.Table, key: str) -> tuple[pa.RecordBatch, np.ndarray]:
+    batch = rows.combine_chunks().to_batches()[0]
+    code = batch.column(key).dictionary_encode().indices.to_numpy()
+    return batch, np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(code))
+
+
 def _classed(pairs: np.ndarray):
-    """(word, n, class) from (word, near: list of (near, n)): one exchange for each word."""
+    """(word, n, class) from (word, near, n) sorted by word: one exchange for each word."""
     k = len(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 8192):
-                part = batch.slice(start, 8192)
-                lists = part.column("near")
-                sizes = np.diff(np.asarray(lists.offsets))
-                flat = lists.flatten()
-                word = np.repeat(np.arange(len(sizes)), sizes)
-                near = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                n = flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                own = assigned(word, near // 256 * k + near % 256, n, len(sizes), pairs, CLASSES)
-                yield pa.record_batch({"word": part.column("word"), "n": pa.array(
-                    np.bincount(word, n, len(sizes)).astype(np.int64)), "class": pa.array(own.astype(np.int32))})
+        for part, starts in whole_keys(batches, "word"):
+            words = len(starts) - 1
+            word = np.repeat(np.arange(words), np.diff(starts))
+            near, n = (part.column(c).to_numpy().astype(np.int64) for c in ("near", "n"))
+            own = assigned(word, near // 256 * k + near % 256, n, words, pairs, CLASSES)
+            yield pa.record_batch({"word": part.column("word").take(pa.array(starts[:-1])), "n": pa.array(
+                np.add.reduceat(n, starts[:-1])), "class": pa.array(own.astype(np.int32))})
     return run
 
 
@@ -323,11 +367,32 @@ def tail_classes(tails: DataFrame, pairs: np.ndarray) -> DataFrame:
     no tail word is more frequent than the rarest word of the head.
     """
     seen = (tails.where("not held_out").select("word", "near").repartition("word")
-            .groupBy("word", "near").agg(F.count("*").alias("n"))
-            .groupBy("word").agg(F.array_sort(F.collect_list(F.struct("near", "n"))).alias("near")))
+            .groupBy("word", "near").agg(F.count("*").alias("n")).sortWithinPartitions("word"))
     return in_batches(seen, _classed(pairs), "word binary, n long, class int")
 
 
+_ENTRY = "struct<pos:int,near:int,class:int,n:long>"
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, held_out, tail: list of the other columns) from rows sorted by row and place."""
+    for part, starts in whole_keys(batches, "row"):
+        first = pa.array(starts[:-1])
+        entries = pa.StructArray.from_arrays([part.column(c) for c in ("pos", "near", "class", "n")], ["pos", "near", "class", "n"])
+        yield pa.record_batch([part.column("row").take(first), part.column("held_out").take(first),
+                               pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), entries)],
+                              names=["row", "held_out", "tail"])
+
+
+def tail_lists(tails: DataFrame, known: DataFrame) -> DataFrame:
+    """(row, held_out, tail) of the rows that have tail words: each with its count and class, by place."""
+    found = tails.join(known, "word", "left").select(
+        "row", "held_out", "pos", "near", F.coalesce("class", F.lit(CLASSES)).alias("class"),
+        F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return in_batches(found.repartition("row").sortWithinPartitions("row", "pos"), _listed,
+                      f"row long, held_out boolean, tail array<{_ENTRY}>")
+
+
 def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Of the tail words of all rows, by row and place: row, class before (or after a tail word, its class), class,
     class after, n, and whether the next word is a tail word as well."""
@@ -469,9 +534,7 @@ def score_texts(docs: DataFrame) -> tuple[DataFrame, ClassModel | None]:
     tails = stored(in_batches(coded.where(F.size("tail") > 0).select("row", "held_out", "ids", "tail"), _tails(classes, 2),
                               "row long, held_out boolean, pos int, near int, word binary"), "lm-tails")
     known = stored(tail_classes(tails, pairs), "lm-tail-words")
-    entry = F.struct("pos", "near", F.coalesce("class", F.lit(CLASSES)).alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
-    lists = stored(tails.join(known, "word", "left").groupBy("row", "held_out")
-                   .agg(F.array_sort(F.collect_list(entry)).alias("tail")), "lm-tail-lists")
+    lists = stored(tail_lists(tails, known), "lm-tail-lists")
 
     model = _model(lists, known, classes, pairs, voc)
     by_head = in_batches(coded.select("row", "doc_id", "held_out", "ids"), _head_scores(model, 3),

@@ -136,6 +136,25 @@ def around(seq, w, classes, k):
     return before, after, int(((a == w) & (b == w)).sum())
 
 
+@pytest.mark.parametrize("turn", [0, 3])
+def test_task_sums_equal_recounting(turn):
+    """The counts around a round's words, over texts that end in id 0, against a loop."""
+    import pyarrow as pa
+    r = np.random.default_rng(turn)
+    head, k = 41, lm_scoring.CLASSES + 1
+    classes = np.append(r.integers(0, 9, head), lm_scoring.CLASSES).astype(np.uint8)
+    docs = [np.append(r.integers(1, head + 1, n), 0).astype(np.int32) for n in (0, 3, 200, 1, 50)]
+    batch = pa.record_batch({"ids": pa.array([d.tobytes() for d in docs], pa.binary())})
+    out = pa.Table.from_batches(lm_scoring._around(classes, turn)(iter([batch, batch]))).to_pydict()
+    got = dict(zip(out["block"], map(lm_scoring._unpacked, out["cells"])))
+    seq = np.concatenate([[0], *docs])
+    assert (got[-1].reshape(k, k) == 2 * pairs_of(seq, classes, k)).all()
+    cells = got[0].reshape(-1, 2 * k + 1)
+    for i, w in enumerate(range(turn, head, lm_scoring.PARTS)):
+        before, after, own = around(seq, w, classes, k)
+        assert (cells[i, :k] == 2 * before).all() and (cells[i, k:2 * k] == 2 * after).all() and cells[i, -1] == 2 * own
+
+
 def test_exchange_takes_the_best_move():
     """Against recounting all pairs for every class a word could go to."""
     r = np.random.default_rng(5)
@@ -174,3 +193,14 @@ def test_words_of_long_texts():
     assert [len(w) for ws in words_of(text) for w in ws][-1] == 33
     assert sum(len(ws) for ws in words_of(text)) == 1_600_001
     assert word_classes.f(0) == 0
+
+
+def test_keys_are_not_torn_between_batches():
+    import pyarrow as pa
+    keys = [1, 1, 2, 3, 3, 3, 3, 3, 3, 4]
+    batches = [pa.record_batch({"k": pa.array(keys[a:b]), "v": pa.array(range(a, b))}) for a, b in
+               ((0, 1), (1, 1), (1, 4), (4, 6), (6, 8), (8, 10))]
+    got = [(b.column("k").to_pylist(), s.tolist()) for b, s in lm_scoring.whole_keys(iter(batches), "k")]
+    assert [k for ks, _ in got for k in ks] == keys
+    assert all(len(set(ks[a:b])) == 1 for ks, s in got for a, b in zip(s, s[1:]))
+    assert sum(len(s) - 1 for _, s in got) == 4 and list(lm_scoring.whole_keys(iter([]), "k")) == []
