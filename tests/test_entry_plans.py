@@ -1,8 +1,15 @@
 """Driver contract and physical-plan properties."""
 
+import os
+import shutil
+import subprocess
+import sys
+
+import pytest
+
 import __spark_entry__ as E
 from fairlend.plans import catalog
-from tests.conftest import SF001
+from tests.conftest import ROOT, SF001
 
 
 def _plan(df):
@@ -23,6 +30,20 @@ def test_oracle_keys_are_queries():
     assert len(E.queries()) >= 55
 
 
+@pytest.mark.parametrize("with_pipeline", [True, False])
+def test_entry_without_the_training_data_operators(tmp_path, with_pipeline):
+    """A copy without ``fairlend/llm`` (and without the pipeline) still offers every other query."""
+    shutil.copytree(f"{ROOT}/fairlend", tmp_path / "fairlend", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ["__spark_entry__.py", *(["corpus_pipeline.py"] if with_pipeline else [])]:
+        if os.path.exists(f"{ROOT}/{name}"):
+            shutil.copy(f"{ROOT}/{name}", tmp_path)
+    code = "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()), sorted(E.queries()) == sorted(E.QUERIES))"
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)},
+                         capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stderr
+    assert run.stdout.split()[0] == str(len(catalog.QUERIES)) and run.stdout.split()[2] == "True"
+
+
 def test_flagship_is_top_k_with_one_aggregate_exchange(spark):
     plan = _plan(catalog.county_gap_top25(spark, SF001))
     assert "TakeOrderedAndProject" in plan
