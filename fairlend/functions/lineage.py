@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -32,3 +32,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Tasks that the cluster runs at once."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # Spark Connect
+        return 1

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fairlend.functions import codes
@@ -80,13 +80,8 @@ def clean_applications(raw: DataFrame, states: Sequence[str] = codes.STATES) ->
     return keep_nonneg_or_null(df)
 
 
-def audit_cleaning(raw: DataFrame, states: Sequence[str] = codes.STATES) -> DataFrame:
-    """Rows left after each cleaning rule, from ONE aggregation pass.
-
-    Instead of a ``count()`` job per step, each step is a cumulative
-    predicate and all are counted together (partial + final aggregate).
-    Returns long form ``(step_no, step, rows)``.
-    """
+def _audit_steps(raw: DataFrame, states: Sequence[str]) -> list[tuple[str, Column]]:
+    """Each rule's name and whether a row is left after it and all before it."""
     keys_ok = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in codes.NULL_KEY_COLUMNS])
     state_ok = F.col("state_code").isin(list(states))
     action_ok = F.col("action_taken").isin(codes.APPROVED_ACTIONS + codes.DENIED_ACTIONS)
@@ -101,11 +96,46 @@ def audit_cleaning(raw: DataFrame, states: Sequence[str] = codes.STATES) -> Data
         if c in raw.columns:
             cond = cond & nonneg_or_null(to_double(c))
             steps.append((f"{c}_nonneg", cond))
+    return steps
+
+
+def audit_cleaning(raw: DataFrame, states: Sequence[str] = codes.STATES) -> DataFrame:
+    """Rows left after each cleaning rule, from ONE aggregation pass.
+
+    Instead of a ``count()`` job per step, each step is a cumulative
+    predicate and all are counted together (partial + final aggregate).
+    Returns long form ``(step_no, step, rows)``.
+    """
+    steps = _audit_steps(raw, states)
     counts = raw.agg(*[F.count_if(c).alias(f"s{i}") for i, (_, c) in enumerate(steps)])
     stacked = ", ".join(f"{i}, '{name}', s{i}" for i, (name, _) in enumerate(steps))
     return counts.selectExpr(f"stack({len(steps)}, {stacked}) as (step_no, step, rows)")
 
 
+class CleaningAudit:
+    """O14 as a side result: the counts of :func:`audit_cleaning`, taken while something else reads the rows.
+
+    ``observed`` is ``raw`` with the counters attached; the first action on what
+    is derived from it fills them, in the tasks that read the rows anyway.
+    Spark adds up every finished task, so a stage that runs again after a lost
+    executor can count rows twice: :meth:`table` takes how many rows came out of
+    the action and counts again, in a pass of its own, where the two differ.
+    """
+
+    def __init__(self, raw: DataFrame, states: Sequence[str] = codes.STATES):
+        self.raw, self.states, self.steps = raw, states, _audit_steps(raw, states)
+        self._counts = Observation()
+        self.observed = raw.observe(self._counts, *[F.count_if(c).alias(f"s{i}") for i, (_, c) in enumerate(self.steps)])
+
+    def table(self, kept: int) -> DataFrame:
+        """(step_no, step, rows) after an action whose result holds ``kept`` rows; waits for that action."""
+        found = self._counts.get
+        rows = [(i, name, int(found.get(f"s{i}") or 0)) for i, (name, _) in enumerate(self.steps)]
+        if rows[-1][2] != kept:
+            return audit_cleaning(self.raw, self.states)
+        return self.raw.sparkSession.createDataFrame(rows, "step_no int, step string, rows long")
+
+
 # --- per-study preparation (the three studies filter differently, D8) ------
 
 def fill_defaults(df: DataFrame, defaults: dict | None = None) -> DataFrame:

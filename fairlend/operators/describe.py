@@ -59,6 +59,8 @@ def interest_by_race(apps: DataFrame, exclude: Sequence[str] = (codes.RACE_SEVEN
 
 
 SUMMARY_MEASURES = ["loan_amount", "income", "interest_rate", "loan_to_income"]
+#: The columns that they are made of.
+SUMMARY_INPUTS = ["loan_amount", "income", "interest_rate"]
 
 
 def summary_statistics(apps: DataFrame, digits: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fairlend.functions import codes
 from fairlend.functions.columns import code_to_label, guarded_ratio
+from fairlend.functions.lineage import parallelism
 
 
 def add_loan_to_income(df: DataFrame, zero_as: float | None = 0.0,
@@ -48,6 +49,18 @@ def model_features(df: DataFrame) -> DataFrame:
     return add_race_group(add_loan_to_income(df))
 
 
+def evened(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over as many tasks as the cluster has cores, or shuffles have partitions if more.
+
+    For a prepared set that several passes read: a source of few splits (one
+    row group, one gzip file) or a selective filter would leave all its rows to
+    a few tasks of every pass.  The number is given, since AQE merges what a
+    rebalance by size gives to partitions of 1 MB and more.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 @contextmanager
 def persisted(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
     """Keep a prepared set across the several passes of a model fit.

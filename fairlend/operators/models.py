@@ -27,7 +27,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlend.functions import codes, schema
@@ -148,6 +148,60 @@ def rate_predictions(fitted: FittedModel) -> DataFrame:
                                 "loan_amount", "county_code")
 
 
+@dataclass
+class SavedModel:
+    """A fitted pipeline read back from its folder, with its slot names and the label it was fitted to."""
+    pipeline: PipelineModel
+    names: list[str]
+    label: str
+
+    @property
+    def inputs(self) -> list[str]:
+        """The columns that scoring reads."""
+        index, assembler = self.pipeline.stages[0], self.pipeline.stages[-2]
+        encoded = set(self.pipeline.stages[1].getOutputCols())
+        return [*(c for c in assembler.getInputCols() if c not in encoded), *index.getInputCols()]
+
+
+def save_model(fitted: FittedModel, path: str) -> None:
+    """The pipeline with its encodings, and a table of slots beside it (model width)."""
+    fitted.pipeline.write().overwrite().save(f"{path}/pipeline")
+    spark = fitted.scored.sparkSession
+    rows = [(i, name, fitted.model.getLabelCol()) for i, name in enumerate(fitted.names)]
+    (spark.createDataFrame(rows, "slot int, feature string, label string").coalesce(1)
+     .write.mode("overwrite").parquet(f"{path}/slots"))
+
+
+def load_model(spark: SparkSession, path: str) -> SavedModel:
+    """What :func:`save_model` wrote; raises if the pipeline's width is not that of the slot table."""
+    pipeline = PipelineModel.load(f"{path}/pipeline")
+    slots = sorted(spark.read.parquet(f"{path}/slots").collect())
+    if len(slots) != len(pipeline.stages[-1].coefficients):
+        raise ValueError(f"{path} names {len(slots)} slots of a model with {len(pipeline.stages[-1].coefficients)}")
+    return SavedModel(pipeline, [s.feature for s in slots], slots[0].label)
+
+
+def score_rows(saved: SavedModel, rows: DataFrame, out: str = "prediction") -> DataFrame:
+    """``rows``, a table or a stream, with the model's prediction (and ``probability`` of class 1).
+
+    A category that the fit never saw is in the extra bucket, whose slots are
+    all 0: the row is scored by its other columns.  The label is not needed;
+    other columns of ``rows`` stay.  Columns that the pipeline adds on its way
+    must not be in ``rows`` (raises).
+    """
+    model = saved.pipeline.stages[-1]
+    added = [c for s in saved.pipeline.stages for p in ("outputCols", "outputCol", "predictionCol", "probabilityCol",
+                                                        "rawPredictionCol") if s.hasParam(p) and s.isDefined(p)
+             for c in ([s.getOrDefault(p)] if isinstance(s.getOrDefault(p), str) else s.getOrDefault(p))]
+    clash = sorted(set(added) & set(rows.columns))
+    if clash:
+        raise ValueError(f"the rows have columns that scoring adds: {', '.join(clash)}")
+    scored = saved.pipeline.transform(rows)
+    extra = ([vector_to_array(model.getProbabilityCol())[1].alias("probability")]
+             if model.hasParam("probabilityCol") else [])
+    return scored.select(*rows.columns, F.col(model.getPredictionCol()).alias(out), *extra)
+
+
 def category_index(prepared: DataFrame, categorical=codes.CATEGORICAL_FEATURES) -> DataFrame:
     """(column_name, label, idx) as assigned by the fitted indexer.
 

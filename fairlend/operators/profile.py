@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairlend.functions.ordered import quantiles_from_counts, value_counts_table
+from fairlend.functions.radix import summarize
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -50,11 +50,64 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
             .orderBy(F.desc("n"), F.asc(col)))
 
 
+def frequent_values(df: DataFrame, cols: Sequence[str], share: float) -> dict[str, list]:
+    """Per column, non-null values among which are all that more than ``share`` of the rows hold.
+
+    Spark's ``freqItems`` keeps a Misra-Gries summary per column, at most
+    ``2 / share`` counters each, in one pass over all columns: a frequent value
+    is never missing, others may be there.
+    """
+    found = df.stat.freqItems(list(cols), share / 2).first()
+    # the summary names column x "x_freqItems" and keeps the columns' order
+    return {c: [v for v in items if v is not None] for c, items in zip(cols, found)}
+
+
+def column_profile(df: DataFrame, cols: Sequence[str] | None = None, share: float = 0.01) -> DataFrame:
+    """``(column_name, rows, nulls, value, n)``, the exact counts of all columns' frequent values in two passes.
+
+    A row per column and value that more than ``share`` of the rows hold, the
+    value as text; a column without such a value has one row with a null
+    ``value`` and ``n``.  The first pass finds candidates
+    (:func:`frequent_values`), the second counts them exactly, all columns in
+    one aggregation with a counter per candidate, null and column: no column's
+    distinct values are listed or shuffled.  NaN is a value; an empty table
+    gives a row per column with 0 rows.
+    """
+    cols = list(cols or df.columns)
+    spark = df.sparkSession
+    wanted = frequent_values(df, cols, share)
+    hits = []
+    for i, c in enumerate(cols):
+        x = F.col(f"`{c}`")
+        found = x.isin(wanted[c]) | x.isNull() if wanted[c] else x.isNull()
+        hits.append(F.when(found, F.struct(F.lit(i).alias("i"), x.cast("string").alias("value"))))
+    every = F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("value"))
+    hit = F.explode(F.array_compact(F.array(every, *hits))).alias("hit")
+    counts = df.select(hit).groupBy("hit.i", "hit.value").agg(F.count("*").alias("n"))
+    # as many rows as there are candidates: the window is over the model of the table, not its rows
+    whole, own = Window.partitionBy(F.lit(0)), Window.partitionBy("i")
+    counts = counts.withColumns({"rows": F.max(F.when(F.col("i") == -1, F.col("n"))).over(whole),
+                                 "nulls": F.max(F.when(F.col("value").isNull(), F.col("n"))).over(own)})
+    kept = counts.select(F.col("i").alias("k"), "rows", "nulls",
+                         F.when(F.col("n") > share * F.col("rows"), F.col("value")).alias("value"),
+                         F.when(F.col("value").isNotNull() & (F.col("n") > share * F.col("rows")), F.col("n")).alias("n"))
+    rows = kept.groupBy("k").agg(
+        F.max("rows").alias("rows"), F.max("nulls").alias("nulls"),
+        F.array_compact(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", "n")))).alias("held"))
+    # a column's entry may be missing where it has neither nulls nor candidates
+    total = rows.where("k = -1").agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows"))
+    names = spark.createDataFrame(list(enumerate(cols)), "i int, column_name string")
+    out = names.join(rows.select("k", "nulls", "held"), F.col("i") == F.col("k"), "left")
+    return out.select("column_name", total.select("rows").scalar().alias("rows"),
+                      F.coalesce("nulls", F.lit(0)).cast("long").alias("nulls"),
+                      F.explode_outer("held").alias("one")).select("column_name", "rows", "nulls", "one.value", "one.n")
+
+
 def describe_column(df: DataFrame, col: str, digits: int | None = None) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles, max of one column.
 
     Long form ``(statistic, value)``, labelled as a dataframe ``describe``
-    labels them.  Quartiles are exact and distributed (``functions.ordered``),
+    labels them.  Quartiles are exact and distributed (``functions.radix``),
     never a single-task percentile buffer.
     """
     return summary_long(df, [col], digits, std_label="std").drop("measure")
@@ -68,31 +121,15 @@ def summary_long(df: DataFrame, measures: Sequence[str], digits: int | None = No
                  std_label: str = "stddev") -> DataFrame:
     """``summary()``-like table in long form ``(measure, statistic, value)``.
 
-    One pass over the input: all measures are stacked into ``(measure, v)``
-    and reduced to a checkpointed distinct-value table ``(measure, v, c)``,
-    dealt to ranges of values.
-    Count, mean, min, max, a two-pass sample standard deviation and the
-    exact quartiles are all computed from that table, never from the input
-    again.
+    Counts, moments and extremes come from the first pass of the radix
+    selection (``functions.radix``) that finds the exact quartiles in at most
+    four.  ``df`` is read once per pass, at once; keep the measures' columns
+    around the call where reading them is dear.  A measure without values has
+    a count of 0 and nulls.
     """
-    stack = ", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in measures)
-    long = df.selectExpr(f"stack({len(measures)}, {stack}) as (measure, v)")
-    counts = value_counts_table(long, "v", ["measure"])
-    c, v = F.col("c"), F.col("v")
-    first = counts.groupBy("measure").agg(
-        F.sum(c).alias("n"), (F.sum(v * c) / F.sum(c)).alias("mean"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
-    # one row per measure (a fixed list): a bounded broadcast
-    dev = (counts.join(F.broadcast(first.select("measure", "mean")), "measure")
-           .groupBy("measure").agg(F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))).alias("ss")))
-    basic = F.broadcast(first).join(dev, "measure").select(
-        "measure", F.col("n").cast("double").alias("count"), "mean",
-        F.when(F.col("n") > 1, F.sqrt(F.col("ss") / (F.col("n") - 1))).alias("stddev"),
-        "min", "max")
-    q = quantiles_from_counts(counts, QUARTILES, by=["measure"]).drop("n")
-    wide = F.broadcast(basic).join(q, "measure", "right")
-    names = [("count", "count"), ("mean", "mean"), (std_label, "stddev"), ("min", "min"),
-             ("25%", "q_0"), ("50%", "q_1"), ("75%", "q_2"), ("max", "max")]
-    pairs = ", ".join(f"'{label}', `{col}`" for label, col in names)
-    out = wide.selectExpr("measure", f"stack({len(names)}, {pairs}) as (statistic, value)")
+    names = ["count", "mean", std_label, "min", "25%", "50%", "75%", "max"]
+    rows = [(m, label, None if value is None else float(value))
+            for m, s in zip(measures, summarize(df, measures, QUARTILES))
+            for label, value in zip(names, (s.n, s.mean, s.stddev, s.least, *s.quantiles, s.greatest))]
+    out = df.sparkSession.createDataFrame(rows, "measure string, statistic string, value double")
     return out.withColumn("value", _round(F.col("value"), digits))

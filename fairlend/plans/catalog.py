@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fairlend.functions import codes
 from fairlend.functions import schema as S
 
-from fairlend.operators import clean, describe, gaps, metrics, models, profile
+from fairlend.operators import certificate, clean, describe, gaps, metrics, models, profile
 from fairlend.operators import features as feats
 from fairlend.plans import fixture as fx
 from fairlend.functions.lineage import stored
 from fairlend.plans.session import shared_dir
-from fairlend.sources import readers, sinks
+from fairlend.sources import headers, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -232,6 +233,12 @@ def null_counts(spark, sf_dir):
     return profile.null_counts(fx.raw_applications(spark, sf_dir))
 
 
+@register("column_profile")
+def column_profile(spark, sf_dir):
+    """Nulls and exact counts of the frequent values of every raw column, two passes for all of them."""
+    return profile.column_profile(fx.raw_applications(spark, sf_dir), S.RAW_APPLICATION.names)
+
+
 @register("distinct_values")
 def distinct_values(spark, sf_dir):
     """Distinct action codes of the raw rows."""
@@ -256,16 +263,23 @@ def drop_if_present(spark, sf_dir):
     return clean.drop_if_present(fx.raw_applications(spark, sf_dir))
 
 
+def _measures(spark, sf_dir, *columns):
+    """The columns, kept evenly for the passes over them: the fixture joins four tables to shape them."""
+    return feats.persisted(feats.evened(fx.applications(spark, sf_dir).select(*columns)))
+
+
 @register("describe_column")
 def describe_column(spark, sf_dir):
     """Describe the coerced interest rate."""
-    return profile.describe_column(fx.applications(spark, sf_dir), "interest_rate", digits=6)
+    with _measures(spark, sf_dir, "interest_rate") as kept:
+        return profile.describe_column(kept, "interest_rate", digits=6)
 
 
 @register("describe_income")
 def describe_income(spark, sf_dir):
     """Describe the coerced income (junk coerced to null, many ties)."""
-    return profile.describe_column(fx.applications(spark, sf_dir), "income", digits=6)
+    with _measures(spark, sf_dir, "income") as kept:
+        return profile.describe_column(kept, "income", digits=6)
 
 
 @register("value_counts_approved")
@@ -298,13 +312,14 @@ def interest_by_race(spark, sf_dir):
 
 @register("summary_statistics")
 def summary_statistics(spark, sf_dir):
-    return describe.summary_statistics(fx.applications(spark, sf_dir), digits=6)
+    with _measures(spark, sf_dir, *describe.SUMMARY_INPUTS) as kept:
+        return describe.summary_statistics(kept, digits=6)
 
 
 @register("summary_statistics_wide")
 def summary_statistics_wide(spark, sf_dir):
     """O40 in the study's layout: statistics as rows, measures as columns."""
-    return describe.summary_wide(describe.summary_statistics(fx.applications(spark, sf_dir), digits=6))
+    return describe.summary_wide(summary_statistics(spark, sf_dir))
 
 
 @register("income_histogram")
@@ -335,7 +350,7 @@ def _rate_rows(spark, sf_dir):
 
 def _fit(rows, name, result):
     """``result(rows)`` with the rows kept for all its passes: it is written before they are let go."""
-    with feats.persisted(rows) as cached:
+    with feats.persisted(feats.evened(rows)) as cached:
         return stored(result(cached), name)
 
 
@@ -361,7 +376,7 @@ def feature_names(spark, sf_dir):
 def approval_model(spark, sf_dir):
     """Logistic fit; one row with width, intercept, accuracy, AUC."""
     rows = _approval_rows(spark, sf_dir)
-    with feats.persisted(rows) as cached:
+    with feats.persisted(feats.evened(rows)) as cached:
         n = cached.count()  # fills the cache the fit then reads
         fitted = models.fit_approval_model(cached)
         return stored(metrics.model_summary_row(fitted, "logistic", rows=n), "approval-summary")
@@ -396,7 +411,7 @@ def rate_model(spark, sf_dir):
 
 @register("rate_coefficients")
 def rate_coefficients(spark, sf_dir):
-    """Named rate-model coefficients, intercept last."""
+    """Named rate-model coefficients (slots only)."""
     return _fit(_rate_rows(spark, sf_dir), "coefficients", lambda d: models.fit_rate_model(d).coefficients)
 
 
@@ -425,7 +440,7 @@ def approval_prediction_write(spark, sf_dir):
     ``consistent``: the prediction is the class whose probability is above one half.
     """
     path = shared_dir(spark, "approval-predictions")
-    with feats.persisted(_approval_rows(spark, sf_dir)) as cached:
+    with feats.persisted(feats.evened(_approval_rows(spark, sf_dir))) as cached:
         scored = models.approval_predictions(models.fit_approval_model(cached))
         sinks.write_csv(scored, path)
     back = readers.read_csv_typed(spark, path, scored.schema, required=scored.columns)
@@ -437,7 +452,7 @@ def approval_prediction_write(spark, sf_dir):
 def rate_prediction_write(spark, sf_dir):
     """Scored rate rows as CSV, read back; ``bias`` is the mean error, 0 with a free intercept."""
     path = shared_dir(spark, "rate-predictions")
-    with feats.persisted(_rate_rows(spark, sf_dir)) as cached:
+    with feats.persisted(feats.evened(_rate_rows(spark, sf_dir))) as cached:
         scored = models.rate_predictions(models.fit_rate_model(cached))
         sinks.write_csv(scored, path)
     back = readers.read_csv_typed(spark, path, scored.schema, required=scored.columns)
@@ -446,22 +461,35 @@ def rate_prediction_write(spark, sf_dir):
                        bias.select("bias").scalar().alias("bias"))
 
 
+def _certified(rows, label, kind, fit, schema, place, reg, digits):
+    """The fit's coefficient table written as one CSV file and read back, with the gradient of the loss at what was read."""
+    path = shared_dir(rows.sparkSession, place)
+    with feats.persisted(feats.evened(rows)) as cached:
+        fitted = fit(cached)
+        sinks.write_single_csv(fitted.coefficients, path)
+        back = readers.read_csv_typed(rows.sparkSession, path, schema, required=schema.names)
+        checked = certificate.fit_gradient(fitted.scored, back, label, reg, kind)
+        # adding 0 turns a rounded -0.0 into 0.0
+        return stored(checked.select("slot", "feature", (F.round("gradient", digits) + 0.0).alias("gradient")), place)
+
+
 @register("approval_coefficient_write")
 def approval_coefficient_write(spark, sf_dir):
-    """The coefficient table as one CSV file, read back; ``odds_check`` is odds_ratio / exp(coefficient)."""
-    path = shared_dir(spark, "approval-coefficients")
-    sinks.write_single_csv(approval_coefficients(spark, sf_dir), path)
-    back = readers.read_csv_typed(spark, path, S.LOGIT_COEFFICIENTS, required=S.LOGIT_COEFFICIENTS.names)
-    return back.select("slot", "feature", F.round(F.col("odds_ratio") / F.exp("coefficient"), 9).alias("odds_check"))
+    """Coefficients of the converged fit, written, read back, and the penalised loss's gradient at them.
+
+    The study's 20 iterations stop short of the minimum; here the solver goes on until nothing changes.
+    """
+    def fit(rows):
+        return models.fit_approval_model(rows, maxIter=1000, tol=1e-15)
+    return _certified(_approval_rows(spark, sf_dir), "approved", "logistic", fit, S.LOGIT_COEFFICIENTS,
+                      "approval-coefficients", codes.LOGIT_PARAMS["regParam"], 6)
 
 
 @register("rate_coefficient_write")
 def rate_coefficient_write(spark, sf_dir):
-    """The rate model's coefficient table as one CSV file, read back; slots, names, and that all are finite."""
-    path = shared_dir(spark, "rate-coefficients")
-    sinks.write_single_csv(rate_coefficients(spark, sf_dir), path)
-    back = readers.read_csv_typed(spark, path, S.LINEAR_COEFFICIENTS, required=S.LINEAR_COEFFICIENTS.names)
-    return back.select("slot", "feature", (F.abs("coefficient") < float("inf")).alias("finite"))
+    """The rate model's coefficients, written, read back, and the penalised loss's gradient at them."""
+    return _certified(_rate_rows(spark, sf_dir), "interest_rate", "linear", models.fit_rate_model, S.LINEAR_COEFFICIENTS,
+                      "rate-coefficients", codes.LINEAR_PARAMS["regParam"], 9)
 
 
 @register("sample_bernoulli_bounds")
@@ -556,6 +584,62 @@ def sink_roundtrip_csv(spark, sf_dir):
     return readers.read_csv_typed(spark, path, sch)
 
 
+@register("lossless_csv")
+def lossless_csv(spark, sf_dir):
+    """Whole texts with line breaks, quotes and separators, null and empty values, through files that can be split."""
+    docs = fx.table(spark, sf_dir, "documents")
+    third = F.pmod("doc_id", F.lit(3))
+    rows = docs.select("doc_id", "text", F.when(third == 1, F.lit("")).when(third == 2, F.concat(F.lit(" \\"), "lang"))
+                       .alias("note"), "n_chars")
+    path = shared_dir(spark, "lossless")
+    sinks.write_lossless_csv(rows, path)
+    return readers.read_lossless_csv(spark, path, rows.schema)
+
+
+@register("read_mixed_headers")
+def read_mixed_headers(spark, sf_dir):
+    """O1–O3: one folder of files whose columns stand in two orders, each file under its own header."""
+    raw = fx.raw_applications(spark, sf_dir)
+    path = shared_dir(spark, "mixed")
+    early = F.col("activity_year") <= 1995
+    sinks.write_csv(raw.where(early), path, sep="|")
+    sinks.write_csv(raw.where(~early).select(*reversed(raw.columns)), path, mode="append", sep="|")
+    return headers.read_mixed_headers(spark, path, fx.RAW, sep="|", required=S.REQUIRED_RAW)
+
+
+@register("saved_model_scores")
+def saved_model_scores(spark, sf_dir):
+    """A rate model fitted on years up to 1995, saved and reloaded, scores the later ones as it did before.
+
+    Their years are categories that the fit never saw.
+    """
+    rows = _rate_rows(spark, sf_dir)
+    path = shared_dir(spark, "saved-model")
+    with feats.persisted(feats.evened(rows)) as cached:
+        fitted = models.fit_rate_model(cached.where("activity_year <= 1995"))
+        models.save_model(fitted, path)
+        saved = models.load_model(spark, path)
+        new = cached.where("activity_year > 1995")
+        before = models.score_rows(models.SavedModel(fitted.pipeline, fitted.names, saved.label), new, "before")
+        both = models.score_rows(saved, before, "after")
+        return stored(both.select(*rows.columns, (F.col("before") == F.col("after")).alias("same")), "saved-scores")
+
+
+@register("saved_model_stream")
+def saved_model_stream(spark, sf_dir):
+    """O56 as a stream: the saved model scores prepared rows as their files arrive."""
+    from fairlend.streaming import yearly
+
+    rows = _rate_rows(spark, sf_dir)
+    model, landing, out, ckpt = (shared_dir(spark, n) for n in ("stream-model", "scoring", "scored", "scoring-ckpt"))
+    with feats.persisted(feats.evened(rows)) as cached:
+        models.save_model(models.fit_rate_model(cached.where("activity_year <= 1995")), model)
+        sinks.write_parquet(cached.where("activity_year > 1995"), landing)
+    yearly.start_scoring(spark, model, landing, rows.schema, out, ckpt, max_files_per_trigger=4).awaitTermination()
+    scored = spark.read.parquet(out)
+    return scored.select(*rows.columns, F.col("prediction").isNotNull().alias("scored"))
+
+
 @register("read_county_table")
 def read_county_table(spark, sf_dir):
     """County attributes written with census column names, read back and renamed."""
@@ -577,12 +661,34 @@ def read_gap_table(spark, sf_dir):
 
 @register("single_file_sink")
 def single_file_sink(spark, sf_dir):
-    """The top 25 written as one CSV part file (size-checked), read back."""
+    """The top 25 written as one CSV part file, read back."""
     path = shared_dir(spark, "top25")
     sinks.write_single_csv(county_gap_top25(spark, sf_dir), path)
     return readers.read_gap_table(spark, path)
 
 
+@register("yearly_rewrite")
+def yearly_rewrite(spark, sf_dir):
+    """A dataset whose year 1997 was wrong (amounts doubled, a state that is none), that year replaced, all read."""
+    apps = fx.applications(spark, sf_dir)
+    year = F.col("activity_year") == 1997
+    wrong = apps.withColumns({"loan_amount": F.when(year, F.col("loan_amount") * 2).otherwise(F.col("loan_amount")),
+                              "state_code": F.when(year, F.lit("XX")).otherwise(F.col("state_code"))})
+    path = shared_dir(spark, "rewritten")
+    sinks.write_parquet(wrong, path, ["state_code", "activity_year"])
+    sinks.replace_years(apps.where(year), path, [1997])
+    return readers.read_parquet_partitioned(spark, path).select(*fx.APPLICATION_COLUMNS)
+
+
+@register("observed_audit")
+def observed_audit(spark, sf_dir):
+    """Rows left after each cleaning rule, counted by the write of the cleaned rows."""
+    audit = clean.CleaningAudit(fx.raw_applications(spark, sf_dir))
+    path = shared_dir(spark, "audited")
+    sinks.write_parquet(clean.clean_applications(audit.observed), path)
+    return audit.table(spark.read.parquet(path).count())
+
+
 @register("clean_partitioned_write")
 def clean_partitioned_write(spark, sf_dir):
     """Cleaned rows written per year as CSV; rows per state and year read back."""
@@ -595,6 +701,23 @@ def clean_partitioned_write(spark, sf_dir):
 
 # --- streaming ingest ----------------------------------------------------------------------
 
+@register("stream_mixed_headers")
+def stream_mixed_headers(spark, sf_dir):
+    """O1–O3, O42–O44 as streams: files in two column orders → rows of one schema → per-county state → gaps."""
+    from fairlend.streaming import yearly
+
+    raw = fx.raw_applications(spark, sf_dir)
+    landing, rows, out = (shared_dir(spark, n) for n in ("mixed-landing", "mixed-rows", "mixed-gaps"))
+    early = F.col("activity_year") <= 1995
+    sinks.write_csv(raw.where(early), landing)
+    sinks.write_csv(raw.where(~early).select(*reversed(raw.columns)), landing, mode="append")
+    headers.start_ingest(spark, landing, rows, shared_dir(spark, "mixed-ckpt"), S.RAW_APPLICATION, required=S.REQUIRED_RAW,
+                         max_files_per_trigger=4).awaitTermination()
+    stream = headers.ingested_stream(spark, rows, S.RAW_APPLICATION)
+    yearly.start_county_gaps(spark, landing, out, shared_dir(spark, "mixed-state"), raw=stream).awaitTermination()
+    return yearly.read_county_gaps(spark, out)
+
+
 @register("stream_county_gaps")
 def stream_county_gaps(spark, sf_dir):
     """O3, O42–O44 as a stream: raw files → cleaned → per-county state → gaps.

@@ -8,6 +8,8 @@ sums of doubles are rounded on both sides, so value hashes compare.
 
 from __future__ import annotations
 
+from fairlend.functions import schema as S
+
 RAW = """raw_applications AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
          CAST(year(o_orderdate) AS INT) AS activity_year,
@@ -156,7 +158,9 @@ ORDER BY approval_disparity_gap DESC, county_fips LIMIT 25"""
 
 ORACLE["clean_applications"] = BASE + "SELECT * FROM applications"
 
-ORACLE["clean_audit"] = with_ctes(RAW) + """,
+ORACLE["yearly_rewrite"] = ORACLE["clean_applications"]
+
+ORACLE["clean_audit"] = ORACLE["observed_audit"] = with_ctes(RAW) + """,
 flags AS (
   SELECT county_code IS NOT NULL AND applicant_race_1 IS NOT NULL AND income IS NOT NULL AS k,
          state_code IN ('CA', 'TX') AS s, action_taken IN (1, 2, 3) AS a,
@@ -395,7 +399,7 @@ SELECT income, loan_amount, loan_to_income, race_group, loan_type, county_code,
 FROM approval_rows"""
 
 ORACLE["approval_coefficient_write"] = MODEL_BASE + f"""
-SELECT slot, feature, 1.0::DOUBLE AS odds_check FROM ({_NUMERIC_SLOTS}
+SELECT slot, feature, 0.0::DOUBLE AS gradient FROM ({_NUMERIC_SLOTS}
 UNION ALL SELECT CAST(3 + count(*) AS INTEGER), 'Intercept' FROM slots) t"""
 
 RATE_MODEL_ROWS = APPROVAL_ROWS.replace("WHERE approved IN (0, 1) AND activity_year IS NOT NULL",
@@ -405,7 +409,13 @@ ORACLE["rate_prediction_write"] = with_ctes(RAW, APPS, RATE_MODEL_ROWS) + """
 SELECT interest_rate, race_group, income, loan_amount, county_code, 0.0::DOUBLE AS bias FROM approval_rows"""
 
 ORACLE["rate_coefficient_write"] = with_ctes(RAW, APPS, RATE_MODEL_ROWS, LEVELS, SLOTS) + f"""
-SELECT slot, feature, true AS finite FROM ({_NUMERIC_SLOTS}) t"""
+SELECT slot, feature, 0.0::DOUBLE AS gradient FROM ({_NUMERIC_SLOTS}) t"""
+
+_LATER_RATES = with_ctes(RAW, APPS, RATE_MODEL_ROWS) + """
+SELECT interest_rate, income, loan_amount, loan_to_income, race_group, loan_type, county_code, activity_year, true AS {}
+FROM approval_rows WHERE activity_year > 1995"""
+ORACLE["saved_model_scores"] = _LATER_RATES.format("same")
+ORACLE["saved_model_stream"] = _LATER_RATES.format("scored")
 
 ORACLE["sample_bernoulli_bounds"] = "SELECT true AS rows_of_the_table, true AS size_fits"
 
@@ -457,7 +467,19 @@ ORACLE["read_parquet_partitioned"] = BASE + "SELECT * FROM applications WHERE st
 ORACLE["sink_roundtrip_csv"] = ORACLE["prep_approval"]
 ORACLE["clean_partitioned_write"] = BASE + """
 SELECT state_code, activity_year, count(*) AS n FROM applications GROUP BY ALL"""
-ORACLE["stream_county_gaps"] = GAP_BASE + "SELECT * FROM county_gaps"
+ORACLE["column_profile"] = with_ctes(RAW) + """,
+long AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM raw_applications"
+    for c in S.RAW_APPLICATION.names) + """),
+counted AS (SELECT column_name, value, count(*) AS n FROM long GROUP BY ALL),
+columns AS (SELECT column_name, CAST(sum(n) AS BIGINT) AS rows,
+                   CAST(coalesce(sum(n) FILTER (value IS NULL), 0) AS BIGINT) AS nulls FROM counted GROUP BY column_name)
+SELECT c.column_name, rows, nulls, value, n
+FROM columns c LEFT JOIN counted v ON c.column_name = v.column_name AND value IS NOT NULL AND n > 0.01 * rows"""
+ORACLE["read_mixed_headers"] = ORACLE["read_pipe_delimited"]
+ORACLE["lossless_csv"] = """
+SELECT doc_id, text, CASE doc_id % 3 WHEN 1 THEN '' WHEN 2 THEN ' \\' || lang END AS note, n_chars FROM documents"""
+ORACLE["stream_county_gaps"] = ORACLE["stream_mixed_headers"] = GAP_BASE + "SELECT * FROM county_gaps"
 ORACLE["read_county_table"] = with_ctes(COUNTIES) + "SELECT * FROM counties"
 ORACLE["read_gap_table"] = GAP_BASE + "SELECT * FROM county_gaps"
 ORACLE["single_file_sink"] = ORACLE["county_gap_top25"]

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from fairlend.functions.lineage import parallelism
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "fairlend", extra: dict | None = None) -> SparkSession:
@@ -54,11 +56,7 @@ def size_shuffles(spark: SparkSession, input_bytes: int,
     splits skewed ones.  100 TB of input gives ~800k partitions for a shuffle
     of the full rows; aggregations shuffle far less and are coalesced.
     """
-    try:
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # Spark Connect
-        cores = 1
-    parts = max(cores, -(-int(input_bytes) // int(target_bytes)))
+    parts = max(parallelism(spark), -(-int(input_bytes) // int(target_bytes)))
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes))
     return parts

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairlend.functions import schema as S
+from fairlend.sources import sinks
 
 
 def typed(column: str, kind: T.DataType) -> Column:
@@ -79,6 +80,18 @@ def read_csv_typed(spark: SparkSession, path: str | Sequence[str],
     return read_delimited(spark, path, ",", schema, required=required, multi_line=multi_line)
 
 
+def read_lossless_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,
+                      sep: str = ",", required: Sequence[str] | None = None) -> DataFrame:
+    """The rows of ``sinks.write_lossless_csv``, bound to ``schema`` by name.
+
+    Every column of ``schema`` must be there unless ``required`` names fewer.
+    """
+    text = read_delimited(spark, path, sep)
+    names = {sinks._escaped_name(f.name): f.name for f in schema.fields}
+    known = text.select(*[sinks.unescaped(F.col(f"`{c}`")).alias(names.get(c, c)) for c in text.columns])
+    return bind(known, schema, schema.names if required is None else required)
+
+
 def read_yearly_files(spark: SparkSession, paths: Sequence[str], schema: T.StructType,
                       sep: str = ",", with_source: bool = False,
                       required: Sequence[str] = ()) -> DataFrame:
@@ -128,12 +141,10 @@ def read_county_dimension(spark: SparkSession, path: str, fmt: str = "csv") -> D
         r = r.option("header", True)
     df = r.load(path)
     ren = {"GEOID": "county_fips", "STATEFP": "statefp", "NAME": "name"}
-    for old, new in ren.items():
-        if old in df.columns:
-            df = df.withColumnRenamed(old, new)
-    return df.select(F.lpad(F.col("county_fips").cast("string"), 5, "0").alias("county_fips"),
-                     F.lpad(F.col("statefp").cast("string"), 2, "0").alias("statefp"),
-                     F.col("name").cast("string").alias("name"))
+    df = df.withColumnsRenamed({old: new for old, new in ren.items() if old in df.columns})
+    df = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns if c in ren.values()])
+    bound = bind(df, S.COUNTY_DIMENSION, S.COUNTY_DIMENSION.names)
+    return bound.withColumns({"county_fips": F.lpad("county_fips", 5, "0"), "statefp": F.lpad("statefp", 2, "0")})
 
 
 def read_gap_table(spark: SparkSession, path: str) -> DataFrame:

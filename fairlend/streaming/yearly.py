@@ -19,10 +19,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fairlend.functions import codes
 from fairlend.functions import schema as S
+from fairlend.operators import models
 from fairlend.operators.clean import clean_applications, prep_gap
 from fairlend.operators.features import add_comparison_group, add_race_group
 from fairlend.operators.gaps import add_gap, group_gap, min_sample
-from fairlend.sources import readers
+from fairlend.sources import readers, store
 
 
 def read_yearly_stream(spark: SparkSession, folder: str, sep: str = ",",
@@ -51,32 +52,75 @@ def county_stats_stream(raw: DataFrame) -> DataFrame:
 
 def start_county_gaps(spark: SparkSession, folder: str, out_path: str, checkpoint: str,
                       min_n: int = codes.MIN_GROUP_N, available_now: bool = True,
-                      max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Run the stream; every micro-batch adds the whole gap table to ``out_path`` as ``epoch=<n>``.
+                      max_files_per_trigger: int | None = None, keep: int = 2,
+                      raw: DataFrame | None = None) -> StreamingQuery:
+    """Run the stream; every micro-batch publishes the whole gap table at ``out_path``.
 
     Complete output mode: each batch carries the full per-county table
-    (bounded by the number of counties), thresholded and with the gap.
-    :func:`read_county_gaps` reads the latest epoch that was written whole, so
-    a reader never meets a table that is being replaced.
+    (bounded by the number of counties), thresholded and with the gap.  It is
+    published with the last ``keep`` ones kept (:func:`publish`), so a reader
+    never meets a table that is being replaced.  ``raw``: the raw rows as a
+    stream, where they do not come from files under one header in ``folder``
+    (``sources.headers.ingested_stream``).
     """
-    stats = county_stats_stream(read_yearly_stream(spark, folder,
-                                                   max_files_per_trigger=max_files_per_trigger))
+    if raw is None:
+        raw = read_yearly_stream(spark, folder, max_files_per_trigger=max_files_per_trigger)
+    stats = county_stats_stream(raw)
 
-    def publish(batch: DataFrame, epoch: int) -> None:
-        add_gap(min_sample(batch, min_n)).write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+    def each(batch: DataFrame, epoch: int) -> None:
+        publish(add_gap(min_sample(batch, min_n)), out_path, epoch, keep)
 
     w = (stats.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-         .foreachBatch(publish))
+         .foreachBatch(each))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
 
-def read_county_gaps(spark: SparkSession, out_path: str) -> DataFrame:
-    """The gap table of the latest epoch whose write was committed (its ``_SUCCESS`` file is there)."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{out_path}/epoch=*/_SUCCESS")
-    found = pattern.getFileSystem(conf).globStatus(pattern)
-    epochs = [int(f.getPath().getParent().getName().split("=")[1]) for f in found]
-    if not epochs:
+def start_scoring(spark: SparkSession, model_path: str, folder: str, schema: T.StructType, out: str, checkpoint: str,
+                  available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """O56 as a stream: Parquet files of prepared rows as they arrive, scored by a saved model, appended as Parquet.
+
+    The file sink's own log makes each row appear once, also after a restart.
+    """
+    saved = models.load_model(spark, model_path)
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    scored = models.score_rows(saved, r.parquet(folder))
+    w = scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
+    return w.start()
+
+
+_POINTER = "_current"
+
+
+def publish(table: DataFrame, out_path: str, epoch: int, keep: int = 2) -> None:
+    """Write ``table`` as ``epoch=<n>``, point to it, then remove all but the last ``keep`` epochs.
+
+    The pointer is a small file that is replaced in one step once the epoch is
+    whole; whoever reads it before finds the epoch before, which stays for
+    ``keep - 1`` further epochs.  An epoch that runs again after a failure is
+    written anew; epochs that a failed run left without pointing to them go
+    with the older ones.
+    """
+    spark = table.sparkSession
+    table.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+    store.write_text(spark, f"{out_path}/{_POINTER}", str(epoch))
+    folders = {int(f.rstrip("/").rsplit("=", 1)[1]): f for f in store.matching(spark, f"{out_path}/epoch=*", folders=True)}
+    for old in sorted(folders)[:-max(1, keep)]:
+        if old < epoch:
+            store.delete(spark, folders[old])
+
+
+def published_epoch(spark: SparkSession, out_path: str) -> int:
+    """The epoch that the pointer names."""
+    text = store.read_text(spark, f"{out_path}/{_POINTER}")
+    if text is None:
         raise ValueError(f"no epoch has been published at {out_path}")
-    return spark.read.parquet(f"{out_path}/epoch={max(epochs)}")
+    return int(text)
+
+
+def read_county_gaps(spark: SparkSession, out_path: str) -> DataFrame:
+    """The gap table that was published last."""
+    return spark.read.parquet(f"{out_path}/epoch={published_epoch(spark, out_path)}")
