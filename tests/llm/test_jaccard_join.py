@@ -64,10 +64,12 @@ def made(seed=1, vocabulary=400):
     return rows
 
 
-@pytest.mark.parametrize("rounds,chunk,seed,vocabulary", [(3, 256, 1, 400), (0, 256, 2, 400), (1, 2, 3, 12)])
-def test_equals_brute_force(spark, monkeypatch, rounds, chunk, seed, vocabulary):
-    monkeypatch.setattr(jaccard_join, "ROUNDS", max(1, rounds))
+@pytest.mark.parametrize("rounds,chunk,wide,seed,vocabulary",
+                         [(3, 256, 32, 1, 400), (1, 256, 2, 2, 400), (1, 2, 32, 3, 12), (1, 256, 4, 1, 400)])
+def test_equals_brute_force(spark, monkeypatch, rounds, chunk, wide, seed, vocabulary):
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
     monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard_join, "WIDE", wide)
     rows = made(seed, vocabulary)
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA).repartition(4)
     got = [tuple(r) for r in jaccard_groups(df).collect()]
@@ -79,3 +81,52 @@ def test_empty_table_and_no_links(spark):
     assert jaccard_groups(none).columns == ["doc_id", "n_shingles", "component_id"] and jaccard_groups(none).count() == 0
     one = spark.createDataFrame([(4, "a b c d e f g", "", ""), (2, None, "", "")], SCHEMA)
     assert sorted(map(tuple, jaccard_groups(one).collect())) == [(2, 0, 2), (4, 4, 4)]
+
+
+def test_a_large_family_below_the_threshold(spark, monkeypatch):
+    """Rows that share many rare shingles and mostly do not link: they meet in tiles, and no pair of them is listed."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(180):
+        w = list(base)
+        for k in rng.sample(range(60), 3 if i % 3 else 1):
+            w[k] = f"x{i}_{k}" if i % 5 else f"y{k}"
+        rows.append((i, " ".join(w)))
+    seen = []
+    verified = jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, texts: seen.append(pairs.count()) or verified(pairs, texts))
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA).repartition(4)
+    got = [tuple(r) for r in jaccard_groups(df).collect()]
+    assert sorted(got, key=key) == sorted(brute(rows), key=key)
+    assert seen[-1] <= jaccard_join.WIDE * len(rows) and len({c for _, _, c in got}) > 20
+
+
+def test_many_equal_rows_without_an_id(spark, monkeypatch):
+    """One row per set goes to the tiles, however many equal rows stand for it."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, text)] * 60 + [(5, text)] * 40 + [(7, text + " more"), (None, "w " + text), (9, "quite another text here")]
+    held, texts = [], jaccard_join._texts
+
+    def counted(*args):
+        out = texts(*args)
+        held.append((out.count(), out.select("id").distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_texts", counted)
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA).repartition(4)
+    got = [tuple(r) for r in jaccard_groups(df).collect()]
+    assert sorted(got, key=key) == sorted(brute(rows), key=key)
+    assert held == [(3, 3)]
+
+
+def test_one_of_each_group_tells_rows_apart_by_id_and_text(spark):
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, near, "a", "y"), (2, near + " end", "b", "y"), (2, "another clean text under the id two", "c", "y"),
+            (3, near, "d", "y"), (3, near, "e", "y"), (None, near, "f", "y"), (4, None, "g", "y"), (4, "", "h", "y"),
+            (6, "rows that are equal in all", "i", "y"), (6, "rows that are equal in all", "i", "y"),
+            (None, "only without an id here", "j", "y"), (None, "only without an id here", "j", "y")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = jaccard_join.one_of_each_group(df)
+    assert got.columns == df.columns
+    assert sorted(r.tag for r in got.collect()) == ["a", "c", "f", "g", "h", "i", "j", "j"]
