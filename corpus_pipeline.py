@@ -12,14 +12,16 @@ texts and repeated rows are handled as each operator's docstring says.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from fairlend.llm.bpe import bpe_digests
-from fairlend.llm.jaccard_join import jaccard_groups
+from fairlend.llm.jaccard_join import one_of_each_group
 from fairlend.llm.source_mixing import mixed_documents
 from fairlend.llm.substring_dedup import without_repeats
-from fairlend.llm.tables import stored
+from fairlend.llm.tables import scratch
 from fairlend.llm.toxicity import learn_toxicity, score_toxicity
+from fairlend.plans.session import shared_dir
+from fairlend.sources.store import delete
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,18 +36,11 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest id.
 
-    Documents without words, and without an id, are in no group and stay;
-    of several rows with the group's id, one row stays.
+    Rows are told apart by id and text, so a repeated id takes no other text
+    with it; documents without words, and without an id, are in no group and
+    stay.
     """
-    docs = docs.select(*COLUMNS)
-    groups = jaccard_groups(docs)
-    extra = stored(groups.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    # Repeated ids: rows of one id that link share a component; equal rows are one document.
-    left = docs.join(extra, "doc_id", "left_anti")
-    again = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null")
-                   .select("doc_id"), "repeated-ids")
-    once = left.join(again, "doc_id", "left_anti").select(*COLUMNS)
-    return once.union(left.join(again, "doc_id", "left_semi").select(*COLUMNS).distinct())
+    return one_of_each_group(docs.select(*COLUMNS))
 
 
 def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,8 +71,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, from documents.  A stage's inner tables go once its result is written, and its input then, too."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        path = shared_dir(spark, f"pipeline-{k}")
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.schema(made.schema).parquet(path), path
     return docs

@@ -3,7 +3,7 @@
 A word's vector is the mean of the vectors of its character n-grams and of the
 word itself, hashed to buckets; a text's vector is the mean over its words; a
 softmax on it gives the class.  Bucket vectors and softmax are trained
-together in numpy on a bounded sample of labelled rows, so misspellings that
+together in numpy, in a task, on a bounded sample of labelled rows, so misspellings that
 were never seen share the n-grams of those that were.  As all of this is
 linear, a trained model is one number per bucket and an intercept.
 """
@@ -148,8 +148,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
     At most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` ids of each label are used, the
     first by a hash of the id, with their whole texts; repeated label rows
     count once.  Tasks reduce each text to its bag, which has at most
-    ``BUCKETS`` entries of six bytes however long the text is; the driver gets
-    only these.  Labels other than 0 and 1 and rows without an id are ignored;
+    ``BUCKETS`` entries of six bytes however long the text is; one task trains
+    on these, and the driver gets a number per bucket.  Labels other than 0 and 1 and rows without an id are ignored;
     without toxic rows every score is near 0.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
@@ -169,16 +169,24 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
                      *(pa.array([x[i].tobytes() for x in made], pa.binary()) for i in (0, 1))], names)
 
     names = ["doc_id", "toxic", "buckets", "shares"]
-    rows = (docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
-            .select("doc_id", "toxic", "text").transform(
-                in_batches, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, buckets binary, shares binary")
-            .toArrow())
-    order = pc.sort_indices(rows, [(x, "ascending") for x in names]).to_pylist()
-    buckets, shares = rows["buckets"], rows["shares"]
-    bags = [(np.frombuffer(buckets[i].as_py(), np.uint16), np.frombuffer(shares[i].as_py(), np.float32)) for i in order]
-    toxic = rows["toxic"].to_numpy()[order]
-    del rows, buckets, shares
-    return fit(bags, toxic)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    bags = (docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+            .select("doc_id", "toxic", "text")
+            .transform(in_batches, run, f"doc_id {kind}, toxic int, buckets binary, shares binary"))
+    found = in_batches(bags.repartition(1), _fitted, "weights binary, bias double").first()
+    return Model(np.frombuffer(found.weights, np.float64), found.bias) if found else fit([], np.zeros(0))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all bags of the sample, in an order that does not depend on the tasks they come from."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        rows = pa.Table.from_batches(held)
+        order = pc.sort_indices(rows, [(x, "ascending") for x in rows.column_names]).to_pylist()
+        buckets, shares = rows["buckets"], rows["shares"]
+        bags = [(np.frombuffer(buckets[i].as_py(), np.uint16), np.frombuffer(shares[i].as_py(), np.float32)) for i in order]
+        model = fit(bags, rows["toxic"].to_numpy()[order])
+        yield pa.record_batch({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": pa.array([model.bias])})
 
 
 def score_toxicity(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
