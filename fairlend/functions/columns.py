@@ -34,6 +34,15 @@ def nonneg_or_null(c: str | Column) -> Column:
     return F.coalesce(col_of(c) >= 0, F.lit(True))
 
 
+def inside_open(c: str | Column, lo: float, hi: float) -> Column:
+    """``lo < c < hi``, written so ``c`` is evaluated once; false for null and NaN.
+
+    The value clamped to the bounds is one of them exactly if it is not inside.
+    """
+    clamped = F.least(F.greatest(col_of(c), F.lit(float(lo))), F.lit(float(hi)))
+    return ~clamped.isin(float(lo), float(hi))
+
+
 def guarded_ratio(num: str | Column, den: str | Column,
                   zero_as: float | None = 0.0) -> Column:
     """``num / den`` when both are positive, else ``zero_as`` (``None`` = null).

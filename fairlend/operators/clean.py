@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fairlend.functions import codes
-from fairlend.functions.columns import key_hash_unit, nonneg_or_null, to_double
+from fairlend.functions.columns import inside_open, key_hash_unit, nonneg_or_null, to_double
 
 
 def drop_if_present(df: DataFrame, cols: Iterable[str] = codes.DROPPED_COLUMNS) -> DataFrame:
@@ -120,6 +120,7 @@ class CleaningAudit:
     Spark adds up every finished task, so a stage that runs again after a lost
     executor can count rows twice: :meth:`table` takes how many rows came out of
     the action and counts again, in a pass of its own, where the two differ.
+    ``raw`` should come from ``plans.session.side_session``.
     """
 
     def __init__(self, raw: DataFrame, states: Sequence[str] = codes.STATES):
@@ -162,10 +163,7 @@ def prep_gap(df: DataFrame) -> DataFrame:
 
 def prep_rate(df: DataFrame, bounds: tuple[float, float] = codes.RATE_BOUNDS) -> DataFrame:
     """Approved loans with a rate in the open interval, county present."""
-    lo, hi = bounds
-    rate = F.col("interest_rate")
-    df = df.where((F.col("approved") == 1) & rate.isNotNull() & (rate > lo) & (rate < hi)
-                  & F.col("county_code").isNotNull())
+    df = df.where((F.col("approved") == 1) & inside_open("interest_rate", *bounds) & F.col("county_code").isNotNull())
     return fill_defaults(df)
 
 

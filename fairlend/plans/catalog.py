@@ -20,7 +20,7 @@ from fairlend.operators import certificate, clean, describe, gaps, metrics, mode
 from fairlend.operators import features as feats
 from fairlend.plans import fixture as fx
 from fairlend.functions.lineage import stored
-from fairlend.plans.session import shared_dir
+from fairlend.plans.session import shared_dir, side_session
 from fairlend.sources import headers, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -683,7 +683,7 @@ def yearly_rewrite(spark, sf_dir):
 @register("observed_audit")
 def observed_audit(spark, sf_dir):
     """Rows left after each cleaning rule, counted by the write of the cleaned rows."""
-    audit = clean.CleaningAudit(fx.raw_applications(spark, sf_dir))
+    audit = clean.CleaningAudit(fx.raw_applications(side_session(spark), sf_dir))
     path = shared_dir(spark, "audited")
     sinks.write_parquet(clean.clean_applications(audit.observed), path)
     return audit.table(spark.read.parquet(path).count())

@@ -27,6 +27,7 @@ from fairlend.functions import schema as S
 from fairlend.functions.lineage import materialize
 from fairlend.operators import clean, describe, gaps, metrics, models, profile
 from fairlend.operators import features as feats
+from fairlend.plans.session import side_session
 from fairlend.sources import readers, sinks
 
 
@@ -46,7 +47,7 @@ def prepare(spark: SparkSession, yearly_paths: Sequence[str], out: str,
     they are.  Returns the cleaning audit (rows left after each rule), counted
     by the tasks that read the text for the write.
     """
-    raw = readers.read_yearly_files(spark, yearly_paths, S.RAW_APPLICATION, sep=sep, required=S.REQUIRED_RAW)
+    raw = readers.read_yearly_files(side_session(spark), yearly_paths, S.RAW_APPLICATION, sep=sep, required=S.REQUIRED_RAW)
     audit = clean.CleaningAudit(raw)
     cleaned = clean.clean_applications(audit.observed)
     combined, by_year = f"{out}/combined", f"{out}/cleaned_by_year"

@@ -42,6 +42,21 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def side_session(spark: SparkSession) -> SparkSession:
+    """Another session of the same application, under the SQL settings of ``spark``.
+
+    Once a session has taken observed metrics, Spark 4.1 fails to ship the
+    scoring functions of ML models that belong to it (they reach the session's
+    observation manager, which cannot be serialised).  Observed reads get a
+    session of their own.
+    """
+    side = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            side.conf.set(key, value)
+    return side
+
+
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 
 

@@ -7,8 +7,9 @@ the few distinct ones ("layouts") are parsed by the driver, and each line is
 parsed by ``from_csv`` under its file's layout and bound to the schema by name.
 
 The text is passed over twice: once for the header lines (a substring test per
-line, in the first split of a file), once for the rows.  The table of files, one row per file, is written so that Spark joins it by
-its real size.  Values cannot hold line breaks (``sinks.write_lossless_csv`` escapes them).
+line, in the first split of a file), once for the rows.  The table of files, one
+row per file, is written so that Spark joins it by its real size.  Values cannot
+hold line breaks (``sinks.write_lossless_csv`` escapes them).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from fairlend.functions.lineage import stored
 from fairlend.sources import store
 from fairlend.sources.readers import typed
 
-_BOM = "﻿"
+_BOM = "\ufeff"
 
 
 def with_file(lines: DataFrame) -> DataFrame:

@@ -79,7 +79,8 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (),
         df.write.mode(mode).parquet(path)
 
 
-def replace_years(df: DataFrame, path: str, years: Sequence[int], partition_by: Sequence[str] = ("state_code", "activity_year"),
+def replace_years(df: DataFrame, path: str, years: Sequence[int],
+                  partition_by: Sequence[str] = ("state_code", "activity_year"),
                   year_col: str = "activity_year", fmt: str = "parquet") -> None:
     """The rows of ``years`` in place of what the dataset holds of them; other years' files stay untouched.
 

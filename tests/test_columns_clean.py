@@ -111,3 +111,20 @@ def test_coercion_property(spark):
             assert g == want, (v, g, want)
 
     check()
+
+
+def test_inside_open(spark):
+    from fairlend.functions.columns import inside_open
+    xs = [None, float("nan"), -1.0, 0.0, -0.0, 5e-324, 1e-17, 12.5, 24.999999999999996, 25.0, 26.0, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r[0] for r in df.select(inside_open("x", 0.0, 25.0)).collect()]
+    assert got == [x is not None and 0.0 < x < 25.0 for x in xs]
+
+
+def test_the_rate_filter_reads_the_rate_once(spark):
+    """Over text, each mention parses it: one in the range, one in the cleaning rule for negative rates."""
+    text = clean.coerce_numeric(spark.createDataFrame([(1, "3.5", 6037.0, 1, 1.0, 2.0)], "approved int, interest_rate string, "
+                                "county_code double, loan_type int, income double, loan_amount double"), ["interest_rate"])
+    plan = clean.prep_rate(text)._jdf.queryExecution().optimizedPlan().toString()
+    condition = next(line for line in plan.splitlines() if "Filter" in line)
+    assert condition.count("interest_rate") == 1

@@ -75,3 +75,17 @@ def test_county_map_left_join_and_rank(spark):
     assert [(r["rank"], r.fips) for r in ranked] == [(1, "06002"), (2, "48001")]
     sm = gaps.state_gap_map(m).collect()
     assert {r.map_state for r in sm} == {"CA", "TX"} and len(sm) == 4
+
+
+def test_evened_rows_fill_all_cores(spark):
+    """A source of one partition is kept in as many as the cluster has cores, each with rows."""
+    from pyspark.sql import functions as F
+
+    from fairlend.operators import clean, models
+    from fairlend.plans import fixture as fx
+    from tests.conftest import SF001
+    rows = feats.model_features(clean.prep_rate(fx.applications(spark, SF001))).select(*models.fit_columns("interest_rate"))
+    with feats.persisted(feats.evened(rows.coalesce(1))) as kept:
+        sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= spark.sparkContext.defaultParallelism and min(sizes) > 0
+        assert sum(sizes) == rows.count() and max(sizes) <= 2 * min(sizes)

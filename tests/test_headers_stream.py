@@ -3,7 +3,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairlend.functions import schema as S
@@ -44,7 +43,7 @@ def test_shuffled_columns_equal_the_ordered_ones(spark):
 
 def test_odd_files(spark):
     path = shared_dir(spark, "odd")
-    put(path, a="id,name,x\n1,one,1.5\n2,\"two, too\",2\n\n", b="﻿x, \"name\" ,other,id\r\n3.5,three,zzz,3\r\n,,,4\r\n",
+    put(path, a="id,name,x\n1,one,1.5\n2,\"two, too\",2\n\n", b="\ufeffx, \"name\" ,other,id\r\n3.5,three,zzz,3\r\n,,,4\r\n",
         c="name,id\nid and name,5\nname,id\n\"say \"\"hi\"\"\",6.0\n", d="", e="id,name,x\n")
     got = headers.read_mixed_headers(spark, path, AB, required=["id", "name"], with_source=True)
     assert got.columns == ["id", "name", "x", "source_file"]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fairlend.operators import clean
 from fairlend.plans import fixture as fx
 from fairlend.plans import jobs
-from fairlend.plans.session import shared_dir
+from fairlend.plans.session import shared_dir, side_session
 from fairlend.sources import readers, sinks
 from tests.conftest import ROOT, SF001
 
@@ -82,7 +82,7 @@ def test_prepare_replaces_a_year(spark):
 
 
 def test_observed_audit_equals_the_pass(spark):
-    raw = fx.raw_applications(spark, SF001)
+    raw = fx.raw_applications(side_session(spark), SF001)
     audit = clean.CleaningAudit(raw)
     kept = clean.clean_applications(audit.observed)
     path = shared_dir(spark, "observed")
@@ -94,6 +94,19 @@ def test_observed_audit_equals_the_pass(spark):
     assert {r.rows for r in audit.table(n + 1).collect()} == {0}
 
 
+def test_models_score_after_an_audit(spark):
+    """Observed metrics stay in a session of their own: one that took some cannot ship ML scoring to tasks."""
+    from fairlend.operators import features as feats
+    from fairlend.operators import models
+    raw = fx.raw_applications(side_session(spark), SF001)
+    audit = clean.CleaningAudit(raw)
+    audit.observed.write.format("noop").mode("overwrite").save()
+    assert audit.table(-1).count() == 7
+    assert raw.sparkSession.conf.get("spark.sql.session.timeZone") == spark.conf.get("spark.sql.session.timeZone")
+    rows = feats.model_features(clean.prep_rate(fx.applications(spark, SF001))).select(*models.fit_columns("interest_rate"))
+    models.fit_rate_model(rows).scored.select("prediction").write.format("noop").mode("overwrite").save()
+
+
 _JOB = """
 import sys
 from pyspark.sql import functions as F
