@@ -66,21 +66,24 @@ class HubEncoder:
     def _make(self, keys: list[bytes | str]) -> list[bytes]:
         """Runs of letters after a blank stay separate when joined; all other pieces go alone."""
         missing = [piece_text(k) for k in keys]
-        got: dict[str, bytes] = {}
-        plain = [x for x in missing if x[0] == " " and x[1:].isalpha() and not any(a in x for a in self.added)]
+        added = [a for a in self.added if a in "".join(missing)]
+        out: list[bytes] = [b""] * len(missing)
+        plain, other = [], []
+        for i, x in enumerate(missing):
+            (plain if x[0] == " " and x[1:].isalpha() and not (added and any(a in x for a in added)) else other).append(i)
         groups = [plain[i:i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        known = set(plain)
-        other = [x for x in missing if x not in known]
-        for group, found in zip(groups, self._library(["".join(g) for g in groups])):
+        words = [[missing[i] for i in g] for g in groups]
+        for group, texts, found in zip(groups, words, self._library(["".join(x) for x in words])):
             ids = np.array(found, np.int64)
             raw = ids.astype(self.code).tobytes()
-            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(x.encode()) for x in group])) + 1
-            ends = (ends * self.width).tolist()
-            for x, a, b in zip(group, [0, *ends], ends):
-                got[x] = raw[a:b]
-        for x, found in zip(other, self._library(other)):
-            got[x] = np.array(found, self.code).tobytes()
-        return [got[x] for x in missing]
+            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(x.encode()) for x in texts])) + 1
+            a = 0
+            for i, b in zip(group, (ends * self.width).tolist()):
+                out[i] = raw[a:b]
+                a = b
+        for i, found in zip(other, self._library([missing[i] for i in other])):
+            out[i] = np.array(found, self.code).tobytes()
+        return out
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
