@@ -12,8 +12,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fairlend.llm.pretokens import piece_keys, piece_text
-from fairlend.llm.text import chunks, in_batches, Memo, strings
+from fairlend.llm.text import chunks, in_batches, kept, Memo, strings
 
 #: Pieces a worker remembers per generation.
 MEMO = 150_000
@@ -108,14 +107,15 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> lis
     return out
 
 
-@lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to rank from a file of base64 tokens and ranks."""
-    with open(path, "rb") as lines:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
+    def read() -> dict[bytes, int]:
+        with open(path, "rb") as lines:
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
+
+    return kept("bpe", ("ranks", path), read)
 
 
-@lru_cache(maxsize=4)
 def _memo(path: str) -> Memo:
     ranks = load_ranks(path)
     queue = RankQueue(max(ranks.values()) + 1)
@@ -123,7 +123,6 @@ def _memo(path: str) -> Memo:
                                  for x in missing], MEMO)
 
 
-@lru_cache(maxsize=4)
 def _tokens(path: str) -> list[bytes]:
     ranks = load_ranks(path)
     table = [b""] * (max(ranks.values()) + 1)
@@ -141,9 +140,12 @@ def encode_bpe(df: DataFrame, ranks_path: str, text: str = "text", out: str = "i
     """
     rest = [c for c in df.columns if c != out]
     df = df.select(*(F.col(f"`{c}`") for c in rest))
+    return df.transform(in_batches, _encoding(ranks_path, text, rest, out), f"{_ddl(df)}, `{out}` binary" if rest else f"`{out}` binary")
+
 
+def _encoding(ranks_path: str, text: str, rest: list[str], out: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(ranks_path)
+        memo = kept("bpe", ("memo", ranks_path), lambda: _memo(ranks_path))
         for whole in batches:
             for batch in chunks(whole, text):
                 split = [piece_keys(x) for x in strings(batch.column(text))]
@@ -151,7 +153,7 @@ def encode_bpe(df: DataFrame, ranks_path: str, text: str = "text", out: str = "i
                 ids = [b"".join(map(memo.__getitem__, part)) for part in split]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*rest, out])
 
-    return df.transform(in_batches, run, f"{_ddl(df)}, `{out}` binary" if rest else f"`{out}` binary")
+    return run
 
 
 def decode_bpe(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -161,16 +163,30 @@ def decode_bpe(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "dec
     """
     rest = [c for c in df.columns if c != out]
     df = df.select(*(F.col(f"`{c}`") for c in rest))
+    return df.transform(in_batches, _decoding(ranks_path, ids, rest, out), f"{_ddl(df)}, `{out}` binary")
 
+
+def _decoding(ranks_path: str, ids: str, rest: list[str], out: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _tokens(ranks_path)
+        table = kept("bpe", ("tokens", ranks_path), lambda: _tokens(ranks_path))
         for whole in batches:
             for batch in chunks(whole, ids):
                 decoded = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist()))
                            for x in batch.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*rest, out])
 
-    return df.transform(in_batches, run, f"{_ddl(df)}, `{out}` binary")
+    return run
+
+
+def round_trip_bpe(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """(doc_id, ids, decoded): ``encode_bpe`` of ``text``, then ``decode_bpe`` of its ids, one Python worker a task for both."""
+    encode, decode = _encoding(ranks_path, "text", ["doc_id", "text"], "ids"), _decoding(ranks_path, "ids", ["doc_id", "ids"], "decoded")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return decode(batch.select(["doc_id", "ids"]) for batch in encode(batches))
+
+    docs = docs.select("doc_id", "text")
+    return docs.transform(in_batches, run, f"{_ddl(docs.select('doc_id'))}, ids binary, decoded binary")
 
 
 def _ddl(df: DataFrame) -> str:
@@ -183,7 +199,6 @@ def bpe_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     A null text counts as empty; a null doc_id is kept; repeated rows give one
     row each; other columns of ``docs`` are ignored.
     """
-    ids = encode_bpe(docs.select("doc_id", "text"), ranks_path).select("doc_id", "ids")
-    return decode_bpe(ids, ranks_path).select(
+    return round_trip_bpe(docs, ranks_path).select(
         "doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

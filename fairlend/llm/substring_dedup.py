@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from fairlend.llm.repeats import Windows, cut
-from fairlend.llm.text import byte_texts
+from fairlend.llm.text import byte_texts, kept
 
 WINDOW, GRAM, WIDE = 35, 8, 4_096
 #: Word hashes a worker remembers.
@@ -33,12 +33,10 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
-
-
 def word_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each text, and where the texts begin; words end at blanks and \\t to \\r."""
-    parts = [np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    known = kept("substring", "words", _Hashes)
+    parts = [np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
              for words in (x.split() for x in byte_texts(column))]
     at = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(x) for x in parts], out=at[1:])

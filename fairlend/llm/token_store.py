@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlend.llm.huffman import Code, code_lengths
 from fairlend.llm.pretokens import piece_keys, piece_text
-from fairlend.llm.text import byte_view, chunks, in_batches, Memo, strings
+from fairlend.llm.text import byte_view, chunks, in_batches, kept, Memo, strings
 from fairlend.plans.session import shared_dir
 
 BLOCK = 512
@@ -97,11 +96,6 @@ class HubEncoder:
                 for x, part in zip(texts, split)]
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> HubEncoder:
-    return HubEncoder(path)
-
-
 def encode_hub(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """(doc_id, tie, ids, wide): the ids of each text, then ``end_id``, as 32-bit integers if ``wide``, else 16-bit.
 
@@ -109,7 +103,7 @@ def encode_hub(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     orders rows of equal doc_id by their text, so that reruns agree.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer_path)
+        encode = kept("token files", tokenizer_path, lambda: HubEncoder(tokenizer_path))
         end, wide = np.array([end_id], encode.code).tobytes(), encode.width == 4
         for whole in batches:
             for batch in chunks(whole, "text"):

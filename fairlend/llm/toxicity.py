@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fairlend.llm.text import chunks, in_batches, Memo, strings
+from fairlend.llm.text import byte_view, chunks, in_batches, Memo, strings
 
 #: Training rows of each label at most.
 TOXIC_ROWS, CLEAN_ROWS = 2_500, 5_000
@@ -177,14 +177,24 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(np.frombuffer(found.weights, np.float64), found.bias) if found else fit([], np.zeros(0))
 
 
+def _views(batches: list[pa.RecordBatch], column: str, kind: type) -> list[np.ndarray]:
+    """The arrays of a binary column, not copied."""
+    out = []
+    for batch in batches:
+        data, at = byte_view(batch.column(column))
+        out += [np.frombuffer(data, kind, (b - a) // np.dtype(kind).itemsize, a) if b > a else np.zeros(0, kind)
+                for a, b in zip(at.tolist(), at[1:].tolist())]
+    return out
+
+
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The model of all bags of the sample, in an order that does not depend on the tasks they come from."""
     held = [b for b in batches if b.num_rows]
     if held:
         rows = pa.Table.from_batches(held)
         order = pc.sort_indices(rows, [(x, "ascending") for x in rows.column_names]).to_pylist()
-        buckets, shares = rows["buckets"], rows["shares"]
-        bags = [(np.frombuffer(buckets[i].as_py(), np.uint16), np.frombuffer(shares[i].as_py(), np.float32)) for i in order]
+        bags = list(zip(_views(held, "buckets", np.uint16), _views(held, "shares", np.float32)))
+        bags = [bags[i] for i in order]
         model = fit(bags, rows["toxic"].to_numpy()[order])
         yield pa.record_batch({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": pa.array([model.bias])})
 
