@@ -9,6 +9,7 @@ classes come from the ``regex`` library, so they are those of the pattern.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
@@ -25,24 +26,28 @@ def _classes(codes: np.ndarray) -> np.ndarray:
     return got
 
 
-def piece_starts(codes: np.ndarray) -> np.ndarray:
-    """The index of the first character of each piece of a text, given as its code points."""
+def piece_starts(codes: np.ndarray, texts: np.ndarray | None = None) -> np.ndarray:
+    """The index of the first character of each piece of a text, given as its code points; ``texts``: where more texts begin."""
     n = len(codes)
     if n == 0:
         return np.zeros(0, np.int64)
     kind = _classes(codes)
     begins = np.ones(n, bool)  # a run of one class
     begins[1:] = kind[1:] != kind[:-1]
+    follows = np.ones(n, bool)  # the text goes on from the character before
+    if texts is not None:
+        follows[texts] = False
+        begins[texts] = True
     starts = begins.copy()
     # The last space before other characters is a piece of its own, or with a blank the head of the next.
-    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE))
+    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & follows[1:])
     starts[last] = True
     starts[last[codes[last] == 32] + 1] = False
     # A lone apostrophe that no blank precedes takes the letters of a contraction with it.
-    quote = np.flatnonzero((codes[:-1] == 39) & starts[:-1] & begins[:-1] & (kind[1:] == LETTER))
+    quote = np.flatnonzero((codes[:-1] == 39) & starts[:-1] & begins[:-1] & (kind[1:] == LETTER) & follows[1:])
     if len(quote):
         one = codes[quote + 1]
-        two = np.where(quote + 2 < n, codes[np.minimum(quote + 2, n - 1)], 0)
+        two = np.where((quote + 2 < n) & follows[np.minimum(quote + 2, n - 1)], codes[np.minimum(quote + 2, n - 1)], 0)
         short = np.isin(one, [ord(c) for c in "stmd"])
         long = np.zeros(len(quote), bool)
         for a, b in ("re", "ve", "ll"):
@@ -74,5 +79,21 @@ def piece_keys(text: str) -> list[bytes] | list[str]:
     return np.insert(codes, piece_starts(codes)[1:], 0).tobytes().split(b"\0")
 
 
+def piece_bytes(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of the UTF-8 texts that ``at`` cuts ``data`` into, as one binary array, and where each text's begin in it."""
+    raw = data[at[0]:at[-1]]
+    at = at - at[0]
+    text = raw.tobytes()
+    if text.isascii():
+        starts = piece_starts(raw, at[at < len(raw)])
+    else:
+        first = np.flatnonzero((raw & 0xC0) != 0x80)  # the first byte of each character
+        codes = np.frombuffer(text.decode("utf-8").encode("utf-32-le"), np.uint32)
+        starts = first[piece_starts(codes, np.searchsorted(first, at[at < len(raw)]))]
+    offsets = np.append(starts, len(raw)).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
+    return pieces, np.searchsorted(starts, at)
+
+
 def piece_text(key: bytes | str) -> str:
     return key.decode("latin-1") if isinstance(key, bytes) else key

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlend.llm.huffman import Code, code_lengths
-from fairlend.llm.pretokens import piece_keys, piece_text
+from fairlend.llm.pretokens import piece_bytes
 from fairlend.llm.text import byte_view, chunks, in_batches, kept, Memo, strings
 from fairlend.plans.session import shared_dir
 
@@ -62,9 +62,9 @@ class HubEncoder:
         self.widths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.memo = Memo(self._make, MEMO)
 
-    def _make(self, keys: list[bytes | str]) -> list[bytes]:
+    def _make(self, keys: list[bytes]) -> list[bytes]:
         """Runs of letters after a blank stay separate when joined; all other pieces go alone."""
-        missing = [piece_text(k) for k in keys]
+        missing = b"\0".join(keys).decode("utf-8").split("\0") if b"\0" not in b"".join(keys) else [k.decode("utf-8") for k in keys]
         added = [a for a in self.added if a in "".join(missing)]
         out: list[bytes] = [b""] * len(missing)
         plain, other = [], []
@@ -75,7 +75,7 @@ class HubEncoder:
         for group, texts, found in zip(groups, words, self._library(["".join(x) for x in words])):
             ids = np.array(found, np.int64)
             raw = ids.astype(self.code).tobytes()
-            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(x.encode()) for x in texts])) + 1
+            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(keys[i]) for i in group])) + 1
             a = 0
             for i, b in zip(group, (ends * self.width).tolist()):
                 out[i] = raw[a:b]
@@ -88,12 +88,19 @@ class HubEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text.  The pieces of all texts are cut and numbered together; a distinct one is looked up once."""
         # Added tokens are found before a text is split: such a text goes to the library as it is.
-        split = [None if any(a in x for a in self.added) else piece_keys(x) for x in texts]
-        self.memo.fill(set().union(*filter(None, split)))
-        look = self.memo.__getitem__
-        return [np.array(self._library([x])[0], self.code).tobytes() if part is None else b"".join(map(look, part))
-                for x, part in zip(texts, split)]
+        whole = {i for i, x in enumerate(texts) if any(a in x for a in self.added)}
+        data, at = byte_view(pa.array(["" if i in whole else x for i, x in enumerate(texts)], pa.large_string()))
+        pieces, first = piece_bytes(data, at)
+        numbered = pieces.dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        self.memo.fill(distinct)
+        made = pa.array(list(map(self.memo.__getitem__, distinct)), pa.large_binary())
+        raw, ends = byte_view(made.take(numbered.indices))
+        raw, ends = memoryview(raw), ends[first].tolist()
+        return [np.array(self._library([texts[i]])[0], self.code).tobytes() if i in whole else bytes(raw[a:b])
+                for i, (a, b) in enumerate(zip(ends, ends[1:]))]
 
 
 def encode_hub(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
