@@ -1,17 +1,20 @@
 """Operator 8: byte-level BPE encoding and decoding.
 
-Each piece of a text (see ``pretokens``) is encoded by a queue of merge ranks:
+A piece of a text (see ``pretokens``) is encoded by a queue of merge ranks:
 one bucket per rank holds the positions in a linked list of tokens at which a
 pair of that rank begins, a two-level bitmap marks the buckets in use, and
 find-first-set picks the lowest rank.  An entry whose pair has changed since
 is stale and skipped.  A merge costs a few steps whatever the piece's length,
 so a piece of millions of bytes takes time in proportion to its size.
+
+Short pieces of equal length, which most are, take their merges together: each
+is a row of tokens, and a round makes the lowest merge of every row, so that
+the rows stay equally long; those without a merge left are done.
 """
 
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
@@ -19,13 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fairlend.llm.pretokens import piece_keys, piece_text
-from fairlend.llm.text import chunks, in_batches, kept, Memo, strings
+from fairlend.llm.pretokens import by_pieces
+from fairlend.llm.text import byte_view, chunks, in_batches, kept, Memo, strings
 
 #: Pieces a worker remembers per generation.
 MEMO = 150_000
 #: A bitmap word has 2 ** SHIFT bits; two levels hold 4 ** SHIFT ranks.
 SHIFT = 8
+#: At least ``FEW`` pieces of a length of ``SHORT`` bytes at most are merged together, about ``CELLS`` bytes at a time.
+FEW, SHORT, CELLS = 16, 128, 1 << 18
+#: The rank of a pair that makes no token.
+NONE = np.iinfo(np.int64).max
 
 
 class RankQueue:
@@ -116,19 +123,82 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return kept("bpe", ("ranks", path), read)
 
 
-def _memo(path: str) -> Memo:
-    ranks = load_ranks(path)
-    queue = RankQueue(max(ranks.values()) + 1)
-    return Memo(lambda missing: [array("I", encode_piece(piece_text(x).encode("utf-8"), ranks, queue)).tobytes()
-                                 for x in missing], MEMO)
-
-
-def _tokens(path: str) -> list[bytes]:
+class PieceEncoder:
+    """Ids of pieces, as little-endian unsigned 32-bit integers; short ones of equal length are merged together."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.size = ranks, max(ranks.values()) + 1
+        self.queue = RankQueue(self.size)
+        # A pair is looked up by two ids: every byte must have one, and no two tokens the same.
+        self.together = all(bytes([x]) in ranks for x in range(256)) and len(set(ranks.values())) == len(ranks)
+        if self.together:
+            self.bytes = np.array([ranks[bytes([x])] for x in range(256)], np.int64)
+            pairs = {ranks[x[:k]] * self.size + ranks[x[k:]]: rank for x, rank in ranks.items()
+                     for k in range(1, len(x)) if x[:k] in ranks and x[k:] in ranks} | {NONE: NONE}
+            keys = np.fromiter(pairs, np.int64, len(pairs))
+            order = np.argsort(keys)
+            self.pairs, self.made = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the token that two tokens make."""
+        key = left * self.size + right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.made[at], NONE)
+
+    def _alike(self, pieces: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row numbers, their ids) of the rows of a matrix of bytes, in the order in which they are done."""
+        rows, ids = np.arange(len(pieces)), self.bytes[pieces]
+        rank = self._rank(ids[:, :-1], ids[:, 1:])
+        while rank.shape[1]:
+            at = rank.argmin(1)  # the lowest, leftmost
+            best = rank[np.arange(len(at)), at]
+            more = best != NONE
+            if not more.all():
+                yield rows[~more], ids[~more]
+                rows, ids, rank, at, best = rows[more], ids[more], rank[more], at[more], best[more]
+            if not len(rows):
+                return
+            every, column = np.arange(len(rows)), np.arange(ids.shape[1] - 1)
+            ids = np.where(column <= at[:, None], ids[:, :-1], ids[:, 1:])
+            ids[every, at] = best
+            rank = np.where(column[:-1] < at[:, None], rank[:, :-1], rank[:, 1:])
+            k = np.flatnonzero(at > 0)
+            rank[k, at[k] - 1] = self._rank(ids[k, at[k] - 1], best[k])
+            k = np.flatnonzero(at < rank.shape[1])
+            rank[k, at[k]] = self._rank(best[k], ids[k, at[k] + 1])
+        yield rows, ids
+
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        out, lengths = [b""] * len(pieces), {}
+        for i, x in enumerate(pieces):
+            whole = self.ranks.get(x)
+            if whole is None:
+                lengths.setdefault(len(x), []).append(i)
+            else:
+                out[i] = whole.to_bytes(4, "little")
+        for length, alike in lengths.items():
+            if not self.together or length > SHORT or len(alike) < FEW:
+                for i in alike:
+                    out[i] = np.array(encode_piece(pieces[i], self.ranks, self.queue), "<u4").tobytes()
+                continue
+            step = CELLS // length
+            for start in range(0, len(alike), step):
+                part = alike[start:start + step]
+                together = np.frombuffer(b"".join([pieces[i] for i in part]), np.uint8).reshape(len(part), length)
+                for rows, ids in self._alike(together):
+                    raw, width = ids.astype("<u4").tobytes(), 4 * ids.shape[1]
+                    for k, i in enumerate(rows.tolist()):
+                        out[part[i]] = raw[k * width:(k + 1) * width]
+        return out
+
+
+def _tokens(path: str) -> pa.Array:
+    """The bytes of every id, null where the vocabulary has none."""
     ranks = load_ranks(path)
-    table = [b""] * (max(ranks.values()) + 1)
+    table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    return table
+    return pa.array(table, pa.large_binary())
 
 
 def encode_bpe(df: DataFrame, ranks_path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -145,12 +215,10 @@ def encode_bpe(df: DataFrame, ranks_path: str, text: str = "text", out: str = "i
 
 def _encoding(ranks_path: str, text: str, rest: list[str], out: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = kept("bpe", ("memo", ranks_path), lambda: _memo(ranks_path))
+        memo = kept("bpe", ("memo", ranks_path), lambda: Memo(PieceEncoder(load_ranks(ranks_path)), MEMO))
         for whole in batches:
             for batch in chunks(whole, text):
-                split = [piece_keys(x) for x in strings(batch.column(text))]
-                memo.fill(set().union(*split))
-                ids = [b"".join(map(memo.__getitem__, part)) for part in split]
+                ids = by_pieces(strings(batch.column(text)), memo)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*rest, out])
 
     return run
@@ -171,8 +239,16 @@ def _decoding(ranks_path: str, ids: str, rest: list[str], out: str) -> Callable:
         table = kept("bpe", ("tokens", ranks_path), lambda: _tokens(ranks_path))
         for whole in batches:
             for batch in chunks(whole, ids):
-                decoded = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist()))
-                           for x in batch.column(ids).to_pylist()]
+                data, at = byte_view(batch.column(ids))
+                data, at = data[at[0]:at[-1]], at - at[0]
+                if (at % 4).any():
+                    raise ValueError("ids are 4 bytes each")
+                tokens = table.take(pa.array(np.frombuffer(data.tobytes(), "<u4")))
+                if tokens.null_count:
+                    raise IndexError("an id that the vocabulary lacks")
+                raw, ends = byte_view(tokens)
+                raw, ends = memoryview(raw), ends[at // 4].tolist()
+                decoded = [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*rest, out])
 
     return run

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 
+from fairlend.llm.text import byte_view, Memo
+
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 _CLASS = np.full(0x110000, UNKNOWN, np.uint8)
 _TESTS = [(regex.compile(p), c) for p, c in ((r"\s", SPACE), (r"\p{L}", LETTER), (r"\p{N}", NUMBER))]
@@ -95,5 +97,17 @@ def piece_bytes(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]
     return pieces, np.searchsorted(starts, at)
 
 
+def by_pieces(texts: list[str], memo: Memo) -> list[bytes]:
+    """What ``memo`` has for the pieces of each text, joined.  The pieces of all texts are cut and numbered together; a distinct one is looked up once."""
+    pieces, first = piece_bytes(*byte_view(pa.array(texts, pa.large_string())))
+    numbered = pieces.dictionary_encode()
+    distinct = numbered.dictionary.to_pylist()
+    memo.fill(distinct)
+    made = pa.array(list(map(memo.__getitem__, distinct)), pa.large_binary())
+    raw, ends = byte_view(made.take(numbered.indices))
+    raw, ends = memoryview(raw), ends[first].tolist()
+    return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
+
+
 def piece_text(key: bytes | str) -> str:
     return key.decode("latin-1") if isinstance(key, bytes) else key

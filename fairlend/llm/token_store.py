@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fairlend.llm.huffman import Code, code_lengths
-from fairlend.llm.pretokens import piece_bytes
+from fairlend.llm.pretokens import by_pieces
 from fairlend.llm.text import byte_view, chunks, in_batches, kept, Memo, strings
 from fairlend.plans.session import shared_dir
 
@@ -88,19 +88,13 @@ class HubEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text.  The pieces of all texts are cut and numbered together; a distinct one is looked up once."""
+        """The ids of each text, by its pieces."""
         # Added tokens are found before a text is split: such a text goes to the library as it is.
         whole = {i for i, x in enumerate(texts) if any(a in x for a in self.added)}
-        data, at = byte_view(pa.array(["" if i in whole else x for i, x in enumerate(texts)], pa.large_string()))
-        pieces, first = piece_bytes(data, at)
-        numbered = pieces.dictionary_encode()
-        distinct = numbered.dictionary.to_pylist()
-        self.memo.fill(distinct)
-        made = pa.array(list(map(self.memo.__getitem__, distinct)), pa.large_binary())
-        raw, ends = byte_view(made.take(numbered.indices))
-        raw, ends = memoryview(raw), ends[first].tolist()
-        return [np.array(self._library([texts[i]])[0], self.code).tobytes() if i in whole else bytes(raw[a:b])
-                for i, (a, b) in enumerate(zip(ends, ends[1:]))]
+        out = by_pieces(["" if i in whole else x for i, x in enumerate(texts)], self.memo)
+        for i in whole:
+            out[i] = np.array(self._library([texts[i]])[0], self.code).tobytes()
+        return out
 
 
 def encode_hub(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
